@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def cents(money: Column) -> Column:
-    """Money as whole cents, so that sums are exact and stay in long registers."""
-    return F.round(money * 100).cast("bigint")
+    """Money as whole cents, so that sums are exact whatever the order of rows."""
+    return F.rint(money * 100).cast("bigint")
 
 
 def dollars(total_cents: Column) -> Column:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.session import materialise
+from larder.session import small_table
 
 # A sketch locates each wanted rank between two grid points; only the values
 # between them are ordered. Sketch error (1/_ACCURACY) is far below one cell.
 _CELLS = 500
 _ACCURACY = 20_000
-_MAX_BROADCAST_TARGETS = 50_000
 
 
 def values_at_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], tag: Sequence[str]) -> DataFrame:
@@ -26,9 +26,10 @@ def values_at_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], ta
     Ties collapse before they are shuffled.
     """
     keys, tag = list(keys), list(tag)
-    grid = [i / _CELLS for i in range(_CELLS + 1)]
+    grid = ", ".join(f"{i / _CELLS}D" for i in range(_CELLS + 1))
     sketch = values.groupBy(*keys).agg(
-        F.percentile_approx("value", grid, _ACCURACY).alias("grid"), F.count(F.lit(1)).alias("n")
+        F.expr(f"percentile_approx(value, array({grid}), {_ACCURACY})").alias("grid"),
+        F.count(F.lit(1)).alias("n"),
     )
     cell = F.floor((F.col("rank") - 1) / F.col("n") * _CELLS).cast("int")
     targets = (
@@ -42,10 +43,7 @@ def values_at_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], ta
             F.when(cell + 3 <= _CELLS + 1, F.element_at("grid", F.least(cell + 3, F.lit(_CELLS + 1)))).alias("high"),
         )
     )
-    # keys x tags rows: the caller's handful of cut points, checked before broadcasting
-    targets = materialise(targets, "rank-targets")
-    if targets.count() <= _MAX_BROADCAST_TARGETS:
-        targets = F.broadcast(targets)
+    targets = small_table(targets)
     low, high = F.col("low"), F.col("high")
     located = (
         values.join(targets, keys)
@@ -136,16 +134,18 @@ def with_ntiles(df: DataFrame, specs: Sequence[Ntile], tie_break: str) -> DataFr
         for spec in specs
         for bucket in range(2, spec.buckets + 1)
     ]
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(starts, "variable STRING, bucket INT, rank BIGINT")
+    names, buckets, ranks = zip(*starts)
+    wanted = df.sparkSession.createDataFrame(
+        pa.table({"variable": names, "bucket": pa.array(buckets, pa.int32()), "rank": ranks})
+    )
     values = (
         df.select(tie_break, *[s.sort_value().alias(s.output) for s in specs])
         .unpivot([tie_break], [s.output for s in specs], "variable", "value")
         .filter(F.col("value").isNotNull())
     )
-    cuts = materialise(values_at_ranks(values, wanted, ["variable"], ["bucket"]), "ntile-cuts")
+    cuts = small_table(values_at_ranks(values, wanted, ["variable"], ["bucket"]))
     # the cut value may be shared by many rows: find the opening key among them
-    tied = values.join(F.broadcast(cuts.select("variable", "value", "bucket")), ["variable", "value"]).select(
+    tied = values.join(cuts.select("variable", "value", "bucket"), ["variable", "value"]).select(
         "variable", "bucket", F.col(tie_break).cast("bigint").alias("value")
     )
     inner = cuts.select("variable", "bucket", (F.col("rank") - F.col("below")).alias("rank"))

@@ -325,6 +325,15 @@ scored_arms AS (
   FROM arms
 )"""
 
+# money columns as DOUBLE, derived amounts computed from those
+BASE_AS_DOUBLE = """
+SELECT * REPLACE (
+  CAST(sales_value AS DOUBLE) AS sales_value, CAST(retail_disc AS DOUBLE) AS retail_disc,
+  CAST(coupon_disc AS DOUBLE) AS coupon_disc, CAST(coupon_match_disc AS DOUBLE) AS coupon_match_disc,
+  CAST(sales_value AS DOUBLE) - CAST(coupon_disc AS DOUBLE) - CAST(coupon_match_disc AS DOUBLE) AS net_revenue,
+  CAST(sales_value AS DOUBLE) + CAST(retail_disc AS DOUBLE) AS shelf_price)
+FROM """
+
 _STAGES = {
     "panel": _PANEL,
     "rows": _PANEL + "," + _ROWS,

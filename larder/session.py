@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Applied only where the session leaves them at their default.
 _SQL_DEFAULTS = {
@@ -18,11 +19,15 @@ _SQL_DEFAULTS = {
 _roots: dict[str, str] = {}
 
 
-def build_session(app_name: str = "larder", master: str | None = None) -> SparkSession:
+def build_session(
+    app_name: str = "larder", master: str | None = None, shuffle_partitions: int | None = None
+) -> SparkSession:
     """A session with adaptive execution, a UTC clock and Arrow transfer."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in _SQL_DEFAULTS.items():
         builder = builder.config(key, value)
     return (
@@ -74,3 +79,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+MAX_SMALL_ROWS = 20_000
+
+
+def small_table(df: DataFrame) -> DataFrame:
+    """A summary table as a broadcast literal relation if it is small, else stored.
+
+    For tables with one row per group, cut point or parameter. The size is
+    checked first, so nothing that grows with the panel is broadcast.
+    """
+    rows = df.limit(MAX_SMALL_ROWS + 1).toArrow()
+    if rows.num_rows > MAX_SMALL_ROWS:
+        return materialise(df, "summary")
+    return F.broadcast(df.sparkSession.createDataFrame(rows))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.contract import TABLES, Study
+from larder.functions.columns import dollars
 
 
 @dataclass(frozen=True)
@@ -59,15 +60,17 @@ DERIVED_WEIGHT_SOLD = (7, 77, 177)
 def derive_panel(spark: SparkSession, sf_dir: str) -> Panel:
     """A panel with the declared shape, derived from order-management tables.
 
-    Dates fold into one study year. Money is DECIMAL(12,2).
+    Dates fold into one study year. Money has whole cents.
     """
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    lines = _order_lines(table("lineitem"), table("orders"))
+    baskets = _baskets(table("orders"))
+    lines = _order_lines(table("lineitem"), baskets)
     transactions = lines.drop("l_returnflag", "l_linestatus")
-    shoppers = transactions.select("household_id").distinct()
+    filled = table("lineitem").select(F.col("l_orderkey").alias("basket_id"))
+    shoppers = baskets.join(filled, "basket_id", "left_semi").select("household_id").distinct()
     descriptions = _campaign_descriptions(spark)
     signups = _signups(table("events"))
     return Panel(
@@ -94,9 +97,15 @@ def derive_panel(spark: SparkSession, sf_dir: str) -> Panel:
     )
 
 
-def _order_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle by ``key`` only when the scan yields too few tasks to use the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
+def _baskets(orders: DataFrame) -> DataFrame:
     offset = F.pmod(F.datediff(F.col("o_orderdate"), F.lit(EPOCH)), F.lit(DAYS))
-    baskets = (
+    return (
         orders.select(
             F.col("o_orderkey").alias("basket_id"),
             F.col("o_custkey").cast("int").alias("household_id"),
@@ -105,26 +114,44 @@ def _order_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         # leaves some households without history before the split
         .filter(~((F.col("household_id") % 61 == 5) & (F.col("day_off") < 273)))
     )
+
+
+def _order_lines(lineitem: DataFrame, baskets: DataFrame) -> DataFrame:
     adjustment = F.col("l_linenumber") == 7
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    zero = F.lit(0).cast("decimal(12,2)")
-    discount = F.when(adjustment, zero).otherwise(
-        F.round(price * F.col("l_discount").cast("decimal(4,2)"), 2).cast("decimal(12,2)")
-    )
     free = adjustment | ((F.col("l_linenumber") == 6) & (F.col("l_quantity") <= 2))
-    items = lineitem.select(
-        F.col("l_orderkey").alias("basket_id"),
-        F.col("l_suppkey").cast("int").alias("store_id"),
-        F.col("l_partkey").cast("int").alias("product_id"),
-        F.when(adjustment, 0).otherwise(F.col("l_quantity").cast("int")).alias("quantity"),
-        F.when(free, zero).otherwise((price - discount).cast("decimal(12,2)")).alias("sales_value"),
-        discount.alias("retail_disc"),
-        F.when(adjustment, (F.col("l_tax") * 100).cast("decimal(12,2)")).otherwise(zero).alias("coupon_disc"),
-        F.when(adjustment & (F.col("l_returnflag") == "R"), F.lit("0.50").cast("decimal(12,2)"))
-        .otherwise(zero)
-        .alias("coupon_match_disc"),
-        "l_returnflag",
-        "l_linestatus",
+    # whole cents: price times percent, rounded half up
+    price, percent = F.col("price"), F.rint(F.col("l_discount") * 100).cast("bigint")
+    discount = F.when(adjustment, 0).otherwise(F.floor((price * percent + 50) / 100)).cast("bigint")
+    items = _spread(
+        lineitem.select(
+            "l_orderkey",
+            "l_suppkey",
+            "l_partkey",
+            "l_linenumber",
+            "l_quantity",
+            "l_extendedprice",
+            "l_discount",
+            "l_tax",
+            "l_returnflag",
+            "l_linestatus",
+        ),
+        "l_orderkey",
+    )
+    items = (
+        items.withColumn("price", F.rint(F.col("l_extendedprice") * 100).cast("bigint"))
+        .withColumn("discount", discount)
+        .select(
+            F.col("l_orderkey").alias("basket_id"),
+            F.col("l_suppkey").cast("int").alias("store_id"),
+            F.col("l_partkey").cast("int").alias("product_id"),
+            F.when(adjustment, 0).otherwise(F.col("l_quantity").cast("int")).alias("quantity"),
+            dollars(F.when(free, 0).otherwise(price - F.col("discount"))).alias("sales_value"),
+            dollars(F.col("discount")).alias("retail_disc"),
+            F.when(adjustment, dollars(F.rint(F.col("l_tax") * 10_000))).otherwise(0.0).alias("coupon_disc"),
+            F.when(adjustment & (F.col("l_returnflag") == "R"), 0.5).otherwise(0.0).alias("coupon_match_disc"),
+            "l_returnflag",
+            "l_linestatus",
+        )
     )
     return items.join(baskets, "basket_id").select(
         "household_id",

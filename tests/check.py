@@ -60,7 +60,7 @@ def main() -> int:
     import __spark_entry__ as entry
     from larder.session import build_session
 
-    spark = build_session(master="local[8]")
+    spark = build_session(master="local[8]", shuffle_partitions=16)
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries), set(oracle) - set(queries)
