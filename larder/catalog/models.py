@@ -1 +1,346 @@
+"""Segmentation and value models as queries."""
 
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from larder.catalog import query
+from larder.functions import columns as fc
+from larder.operators import segmentation as sg
+from larder.operators import value_models as vm
+from larder.operators.ranks import medians, quantiles
+from larder.operators.tabulate import crosstab_margins
+from larder.session import materialise, scratch_path, small_table
+from larder.sources import files
+
+_IMPUTED = """
+imputed AS (
+  SELECT * REPLACE (COALESCE(std_gap_days, 0.0) AS std_gap_days,
+                    COALESCE(top_category_spend_share, 0.0) AS top_category_spend_share,
+                    COALESCE(basket_trend_direction, 2) AS basket_trend_direction)
+  FROM household_features WHERE mean_gap_days IS NOT NULL
+)"""
+_FILLED = "household_id, std_gap_days, top_category_spend_share, basket_trend_direction"
+
+
+@query("prj_impute_kmeans", "features", f"WITH {_IMPUTED} SELECT {_FILLED} FROM imputed")
+def impute_kmeans(stages):
+    return sg.impute_for_clustering(stages.features).select(*_FILLED.split(", "))
+
+
+_SQL_HOW = {
+    "as is": "CAST({c} AS DOUBLE)",
+    "log1p": "LN(1 + CAST({c} AS DOUBLE))",
+    "log": "LN(GREATEST(CAST({c} AS DOUBLE), 0.01))",
+    "sqrt": "SQRT(CAST({c} AS DOUBLE))",
+}
+_STRAIGHT = {c: _SQL_HOW[how].format(c=c) for c, how in sg.CANDIDATES.items()}
+
+
+@query(
+    "prj_transforms",
+    "features",
+    f"WITH {_IMPUTED} SELECT household_id, " + ", ".join(f"ROUND({x}, 8) AS {c}" for c, x in _STRAIGHT.items()) + " FROM imputed",
+)
+def transforms(stages):
+    rows = sg.transform_features(sg.impute_for_clustering(stages.features))
+    return rows.select("household_id", *[fc.round_to(F.col(c), 8).alias(c) for c in sg.CANDIDATES])
+
+
+_GIVEN = ("is_single_trip_obs", "has_trend_obs", "is_redemption_eligible")
+
+
+@query(
+    "prj_impute_clv",
+    "split",
+    """SELECT household_id, CASE WHEN obs_mean_gap_days IS NULL THEN 1.0 ELSE 0.0 END AS is_single_trip_obs,
+              CASE WHEN obs_basket_trend_direction IS NULL THEN 0.0 ELSE 1.0 END AS has_trend_obs,
+              CASE WHEN obs_redemption_propensity IS NULL THEN 0.0 ELSE 1.0 END AS is_redemption_eligible,
+              COALESCE(obs_mean_gap_days, obs_recency_days) AS obs_mean_gap_days,
+              COALESCE(obs_std_gap_days, 0.0) AS obs_std_gap_days,
+              CAST(COALESCE(obs_basket_trend_direction, 2) AS DOUBLE) AS obs_basket_trend_direction,
+              COALESCE(obs_redemption_propensity, 0.0) AS obs_redemption_propensity,
+              COALESCE(obs_top_category_spend_share, 0.0) AS obs_top_category_spend_share,
+              CASE WHEN is_concurrent_arm THEN 1.0 ELSE 0.0 END AS is_concurrent_arm,
+              CAST(COALESCE(n_campaigns_exposed, 0) AS DOUBLE) AS n_campaigns_exposed
+       FROM clv_split WHERE NOT is_pred_only""",
+)
+def impute_clv(stages):
+    return vm.impute_for_value(stages.split).select(
+        "household_id",
+        *_GIVEN,
+        "obs_mean_gap_days",
+        "obs_std_gap_days",
+        "obs_basket_trend_direction",
+        "obs_redemption_propensity",
+        "obs_top_category_spend_share",
+        "is_concurrent_arm",
+        "n_campaigns_exposed",
+    )
+
+
+_SCALED = ("frequency", "monetary", "recency_days", "tenure_days", "retail_disc_rate")
+
+
+@query(
+    "ml_robust_scale",
+    "features",
+    "SELECT household_id, "
+    + ", ".join(
+        f"ROUND(({c} - quantile_cont(CAST({c} AS DOUBLE), 0.5) OVER ()) / (quantile_cont(CAST({c} AS DOUBLE), 0.75) OVER () "
+        f"- quantile_cont(CAST({c} AS DOUBLE), 0.25) OVER ()), 8) AS {c}"
+        for c in _SCALED
+    )
+    + " FROM household_features",
+)
+def robust_scale(stages):
+    scaled = sg.robust_scale(stages.features, _SCALED)
+    return scaled.select("household_id", *[fc.round_to(F.col(c), 8).alias(c) for c in _SCALED])
+
+
+@query("ml_feature_choice")
+def feature_choice(stages):
+    rows = materialise(sg.transform_features(sg.impute_for_clustering(stages.features)), "choice")
+    return sg.collinear_pairs(rows)
+
+
+@query("ml_kmeans_sweep")
+def kmeans_sweep(stages):
+    return _sweep(stages)
+
+
+def _sweep(stages):
+    if not hasattr(stages, "_sweep_table"):
+        fit = stages.segmentation
+        stages._sweep_table = sg.sweep_k(fit.scaled, fit.features)
+    return stages._sweep_table
+
+
+@query("ml_silhouette")
+def silhouette(stages):
+    return _sweep(stages).filter(F.col("k") == sg.CHOSEN_K).select("k", "silhouette")
+
+
+@query("ml_choose_k")
+def choose_k(stages):
+    return sg.choose_k(_sweep(stages))
+
+
+@query(
+    "ml_calinski_harabasz",
+    "analysis",
+    f"""WITH x AS (SELECT segment, UNNEST([{', '.join(f'CAST({c} AS DOUBLE)' for c in _SCALED)}]) AS v,
+                          UNNEST([{', '.join(f"'{c}'" for c in _SCALED)}]) AS c FROM labelled),
+        g AS (SELECT segment, c, COUNT(*) AS n, AVG(v) AS m, VAR_POP(v) AS s FROM x GROUP BY segment, c),
+        t AS (SELECT g.*, SUM(n * m) OVER (PARTITION BY c) / SUM(n) OVER (PARTITION BY c) AS mid FROM g)
+        SELECT ROUND((SUM(n * POWER(m - mid, 2)) / (COUNT(DISTINCT segment) - 1))
+                     / (SUM(n * s) / (SUM(n) / {len(_SCALED)} - COUNT(DISTINCT segment))), 6) AS calinski_harabasz FROM t""",
+)
+def calinski_harabasz(stages):
+    return sg.calinski_harabasz(stages.labelled, "segment", _SCALED).withColumn(
+        "calinski_harabasz", fc.round_to(F.col("calinski_harabasz"), 6)
+    )
+
+
+@query("ml_assign_segments")
+def assign_segments(stages):
+    return stages.assignments
+
+
+_CLASSES = ["Champions", "Loyal", "Mid-tier", "New/Returning", "At-Risk", "Lost"]
+_PROFILE = ("frequency", "monetary", "recency_days", "mean_gap_days", "tenure_days", "private_label_spend_share")
+
+
+@query("ml_profile")
+def profile(stages):
+    """Medians and class counts per k-means segment."""
+    joined = stages.assignments.select("household_id", "cluster_name").join(
+        stages.labelled.select("household_id", "segment", *_PROFILE), "household_id"
+    )
+    stored = materialise(joined, "profile")
+    counts = crosstab_margins(stored, "cluster_name", "segment", _CLASSES)
+    return counts.join(small_table(medians(stored, ["cluster_name"], _PROFILE)), "cluster_name", "left")
+
+
+@query(
+    "prj_segment_name",
+    "features",
+    """WITH m AS (SELECT f_decile AS cluster, quantile_cont(monetary, 0.5) AS med FROM household_features GROUP BY f_decile)
+       SELECT cluster, CASE rn WHEN 1 THEN 'Champions' WHEN 2 THEN 'Loyal Actives' WHEN 3 THEN 'Declining' WHEN 4 THEN 'Truly Lapsed'
+                       ELSE 'Segment ' || CAST(rn AS VARCHAR) END AS cluster_name
+       FROM (SELECT cluster, ROW_NUMBER() OVER (ORDER BY med DESC, cluster) AS rn FROM m)""",
+)
+def segment_name(stages):
+    return sg.name_segments(stages.features.withColumnRenamed("f_decile", "cluster"), "cluster")
+
+
+@query(
+    "prj_heuristic_name",
+    "features",
+    """WITH m AS (SELECT f_decile AS cluster, quantile_cont(frequency, 0.5) AS f, quantile_cont(monetary, 0.5) AS m,
+                         quantile_cont(recency_days, 0.5) AS r, quantile_cont(mean_gap_days, 0.5) AS g
+                  FROM household_features GROUP BY f_decile)
+       SELECT cluster, CASE WHEN r <= 14 AND f >= 80 AND m >= 2500 THEN 'Champions'
+                            WHEN r <= 30 AND f >= 30 AND m >= 1000 THEN 'Loyal Regulars'
+                            WHEN r <= 20 AND f < 30 THEN 'New/Returning'
+                            WHEN g >= 20 OR r >= 60 THEN 'Lapsed / Lost'
+                            WHEN f < 30 AND m < 800 THEN 'Occasional' ELSE 'Mid-tier' END AS heuristic_name FROM m""",
+)
+def heuristic_name(stages):
+    rows = stages.features.withColumnRenamed("f_decile", "cluster")
+    table = medians(rows, ["cluster"], ["frequency", "monetary", "recency_days", "mean_gap_days"])
+    return sg.heuristic_names(table).select("cluster", "heuristic_name")
+
+
+@query("snk_model")
+def model_folder(stages):
+    """Store the return model with its settings, load it again and score with it."""
+    models, path = stages.value_models, scratch_path(stages.spark, "model")
+    pipeline = PipelineModel([VectorAssembler(inputCols=list(vm.FEATURES), outputCol="inputs"), models.returning])
+    details = {
+        "features": list(vm.FEATURES),
+        "split_date": stages.panel.study.split_date.isoformat(),
+        "segment_features": stages.segmentation.features,
+        "segment_centres": stages.segmentation.centres.tolist(),
+        "spend_alpha": models.returning_ridge.alpha,
+    }
+    files.save_model(pipeline, path, details)
+    loaded, _ = files.load_model(stages.spark, path)
+    return loaded.transform(models.frame).select("household_id", vector_to_array("probabilities")[1].alias("p_return"))
+
+
+# ---- value models -----------------------------------------------------------
+
+
+@query("ml_split_strat")
+def split_strat(stages):
+    return stages.value_models.frame.groupBy("returned", "is_holdout").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml_ols")
+def ols(stages):
+    return stages.value_models.coefficients()
+
+
+@query("ml_coef_table")
+def coef_table(stages):
+    return stages.value_models.coefficients().select("feature", "coef", "pct_per_unit", "sig")
+
+
+@query("so_topk_coef")
+def topk_coef(stages):
+    table = stages.value_models.coefficients()
+    top = table.filter("coef > 0").orderBy(F.desc("coef")).limit(5)
+    bottom = table.filter("coef < 0").orderBy("coef").limit(5)
+    return top.unionByName(bottom).select("feature", "coef")
+
+
+@query("ml_ridge_cv")
+def ridge_cv(stages):
+    fit = stages.value_models.ridge
+    rows = [(float(a), float(s), a == fit.alpha) for a, s in fit.fold_scores.items()]
+    return stages.spark.createDataFrame(rows, "alpha DOUBLE, mean_r2 DOUBLE, chosen BOOLEAN")
+
+
+@query("ml_gbm")
+def gbm(stages):
+    models = stages.value_models
+    return vm.metrics(materialise(models.with_boosted(models.holdout), "gbm"), "clv_pred_window", ["gbm"])
+
+
+@query("ml_importance")
+def importance(stages):
+    return stages.value_models.importances().limit(10)
+
+
+@query("ml_hurdle")
+def hurdle(stages):
+    models = stages.value_models
+    return models.with_hurdle(models.holdout).select("household_id", "p_return", "hurdle")
+
+
+@query("ml_logit_coefs")
+def logit_coefs(stages):
+    return stages.value_models.return_coefficients()
+
+
+@query("ml_breusch_pagan")
+def breusch_pagan(stages):
+    return stages.value_models.diagnostics()
+
+
+@query("ml_model_comparison")
+def comparison(stages):
+    return stages.value_models.comparison()
+
+
+@query("ml_score_panel")
+def score_panel(stages):
+    return stages.predictions
+
+
+@query("so_topk_resid")
+def topk_resid(stages):
+    models = stages.value_models
+    scored = models.with_linear(models.holdout)
+    return vm.worst_residuals(scored, "clv_pred_window", "ols").select(
+        "household_id", "cluster_name", "clv_pred_window", "ols", "abs_error", "obs_monetary", "obs_frequency", "log_recency"
+    )
+
+
+# metrics checked with a deterministic prediction: spend per observed day times 92
+_PREDICTED = """
+WITH p AS (SELECT e.*, obs_monetary / 273.0 * 92 AS pred FROM estimation e)"""
+
+
+def _predicted(stages):
+    return stages.estimation.withColumn("pred", F.col("obs_monetary") / 273.0 * 92)
+
+
+@query(
+    "ml_metrics",
+    "analysis",
+    _PREDICTED
+    + """SELECT 'pred' AS model, COUNT(*) AS n, ROUND(SQRT(AVG(POWER(outcome - GREATEST(pred, 0), 2))), 3) AS rmse,
+                ROUND(AVG(ABS(outcome - GREATEST(pred, 0))), 3) AS mae,
+                ROUND(1 - SUM(POWER(outcome - GREATEST(pred, 0), 2)) / (VAR_POP(outcome) * COUNT(*)), 6) AS r2,
+                ROUND(100 * AVG(CASE WHEN pred < 0 THEN 1.0 ELSE 0.0 END), 6) AS neg_pct FROM p""",
+)
+def metrics(stages):
+    table = vm.metrics(_predicted(stages), "outcome", ["pred"])
+    digits = {"rmse": 3, "mae": 3, "r2": 6, "neg_pct": 6}
+    return table.withColumns({c: fc.round_to(F.col(c), d) for c, d in digits.items()})
+
+
+@query(
+    "ml_metrics_by_segment",
+    "analysis",
+    _PREDICTED
+    + """SELECT segment, COUNT(*) AS n, ROUND(100 * AVG(CASE WHEN outcome = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_pct,
+                ROUND(SQRT(AVG(POWER(outcome - GREATEST(pred, 0), 2))), 3) AS rmse,
+                ROUND(AVG(ABS(outcome - GREATEST(pred, 0))), 3) AS mae,
+                ROUND(quantile_cont(ABS(outcome - GREATEST(pred, 0)), 0.5), 3) AS medae FROM p GROUP BY segment""",
+)
+def metrics_by_segment(stages):
+    table = vm.metrics_by_segment(materialise(_predicted(stages), "predicted"), "segment", "outcome", "pred")
+    return table.withColumns({c: fc.round_to(F.col(c), 6 if c == "zero_pct" else 3) for c in ("zero_pct", "rmse", "mae", "medae")})
+
+
+@query(
+    "ml_null_baseline",
+    "analysis",
+    """WITH b AS (SELECT quantile_cont(outcome, 0.5) AS med FROM estimation)
+       SELECT ROUND(med, 6) AS prediction, ROUND(SQRT(AVG(POWER(outcome - med, 2))), 3) AS rmse, ROUND(AVG(ABS(outcome - med)), 3) AS mae
+       FROM estimation, b GROUP BY med""",
+)
+def null_baseline(stages):
+    middle = quantiles(stages.estimation, [], ["outcome"], [0.5]).first()["quantile"]
+    error = F.col("outcome") - middle
+    return stages.estimation.agg(
+        fc.round_to(F.lit(middle), 6).alias("prediction"),
+        fc.round_to(F.sqrt(F.avg(error * error)), 3).alias("rmse"),
+        fc.round_to(F.avg(F.abs(error)), 3).alias("mae"),
+    )

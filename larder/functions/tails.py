@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -115,27 +116,27 @@ def _each(function):
     return apply
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided)(t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_quantile)(p, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _each(f_tail)(f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _each(lambda v, d: gamma_sf(v / 2, d / 2))(x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def range_p(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return _each(lambda a, b, c: studentized_range_tail(a, int(b), c))(q, k, df)
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +38,7 @@ SEGMENT_NAMES = ("Champions", "Loyal Actives", "Declining", "Truly Lapsed")
 SINGLE_TRIP = "Single-Trip"
 CHOSEN_K = 4
 SWEEP = range(2, 11)
-N_INIT, MAX_ITER, SEED = 20, 500, 42
+N_INIT, MAX_ITER, SEED, SEED_DRAW = 20, 500, 42, 2_000
 CORRELATED, NEARLY_SAME = 0.70, 0.80
 
 
@@ -95,19 +94,91 @@ def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
-def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
+def _spread_out(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k starting centres, each drawn with odds of its squared distance to the earlier ones."""
+    chosen = [points[rng.integers(len(points))]]
+    for _ in range(k - 1):
+        nearest = ((points[:, None, :] - np.array(chosen)[None]) ** 2).sum(axis=2).min(axis=1)
+        odds = nearest / nearest.sum() if nearest.sum() > 0 else None
+        chosen.append(points[rng.choice(len(points), p=odds)])
+    return np.array(chosen)
 
 
-def best_kmeans(vectors: DataFrame, k: int, n_init: int = N_INIT, threads: int = 8) -> KMeansModel:
-    """The cheapest of several seeded fits, run concurrently on the cluster."""
+def starting_centres(df: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int) -> dict:
+    """Centres for every (k, start), spread over a fixed-size draw of households.
+
+    The draw only seeds the search; every pass after it reads all rows.
+    """
+    draw = df.orderBy(F.xxhash64("household_id", F.lit(SEED)), "household_id").limit(SEED_DRAW)
+    points = draw.select(*columns).toPandas().to_numpy(float)
+    return {
+        (k, start): _spread_out(points, k, np.random.default_rng([SEED, k, start]))
+        for k in ks
+        for start in range(n_init)
+    }
 
-    def fit(start: int) -> KMeansModel:
-        return KMeans(k=k, maxIter=MAX_ITER, seed=SEED + start).fit(vectors)
 
-    with ThreadPool(threads) as pool:
-        models = pool.map(fit, range(n_init))
-    return min(models, key=lambda model: model.summary.trainingCost)
+def _assignment_sums(df: DataFrame, columns: Sequence[str], centres: dict) -> dict:
+    """For every run: households, coordinate sums and cost per centre, from one pass."""
+    names, width = list(columns), len(columns)
+    stacked = np.vstack(list(centres.values()))
+    edges = np.cumsum([0, *[len(c) for c in centres.values()]])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(stacked), width + 2))
+        for batch in batches:
+            x = batch.to_numpy(float)
+            z = np.column_stack([np.ones(len(x)), x])
+            far = (x**2).sum(axis=1)[:, None] - 2 * x @ stacked.T + (stacked**2).sum(axis=1)[None, :]
+            for low, high in zip(edges[:-1], edges[1:]):
+                label = far[:, low:high].argmin(axis=1)
+                member = (label[:, None] == np.arange(high - low)[None, :]).astype(float)
+                sums[low:high, :-1] += member.T @ z
+                sums[low:high, -1] += member.T @ np.maximum(far[np.arange(len(x)), low + label], 0.0)
+        yield pd.DataFrame({"centre": np.arange(len(stacked)), "sums": list(sums)})
+
+    parts = df.select(*names).mapInPandas(partial, "centre INT, sums ARRAY<DOUBLE>")
+    table = parts.groupBy("centre").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width + 2)])
+    totals = table.orderBy("centre").toPandas().to_numpy(float)[:, 1:]
+    return {run: totals[low:high] for run, low, high in zip(centres, edges[:-1], edges[1:])}
+
+
+def kmeans_runs(
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int = N_INIT, max_iter: int = MAX_ITER
+) -> dict[int, tuple[np.ndarray, float]]:
+    """Best centres and inertia per k over all restarts.
+
+    All restarts of all k move together: a pass over the households serves
+    every run still moving, so the data is read some dozens of times and not
+    once per run and iteration.
+    """
+    centres = starting_centres(df, columns, ks, n_init)
+    variance = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
+    tolerance = 1e-4 * float(np.mean([variance[c] or 0.0 for c in columns]))
+    moving = dict(centres)
+    for _ in range(max_iter):
+        for run, sums in _assignment_sums(df, columns, moving).items():
+            filled = sums[:, :1] > 0
+            moved = np.where(filled, sums[:, 1:-1] / np.maximum(sums[:, :1], 1.0), centres[run])
+            shift = float(((moved - centres[run]) ** 2).sum())
+            centres[run] = moved
+            if shift <= tolerance:
+                del moving[run]
+            else:
+                moving[run] = moved
+        if not moving:
+            break
+    cost = {run: float(sums[:, -1].sum()) for run, sums in _assignment_sums(df, columns, centres).items()}
+    best = {k: min((run for run in cost if run[0] == k), key=cost.get) for k in ks}
+    return {k: (centres[run], cost[run]) for k, run in best.items()}
+
+
+def nearest_centre(columns: Sequence[str], centres: np.ndarray) -> Column:
+    """Index of the closest centre as a column expression."""
+    distances = F.array(
+        *[sum(F.pow(F.col(c) - float(v), 2) for c, v in zip(columns, centre)) for centre in centres]
+    )
+    return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
 
 
 def total_spread(df: DataFrame, columns: Sequence[str]) -> tuple[int, float]:
@@ -116,23 +187,24 @@ def total_spread(df: DataFrame, columns: Sequence[str]) -> tuple[int, float]:
     return row["n"], row["n"] * sum(row[c] or 0.0 for c in columns)
 
 
-def sweep_k(
-    vectors: DataFrame, columns: Sequence[str], ks: Sequence[int] = SWEEP, n_init: int = N_INIT
-) -> DataFrame:
-    """Silhouette, inertia and Calinski-Harabasz per k.
+def silhouette(df: DataFrame, columns: Sequence[str], centres: np.ndarray) -> float:
+    """Mean silhouette with squared distances, whose means have a closed form per cluster.
 
-    The silhouette uses squared distances, whose means have a closed form per
-    cluster; the plain Euclidean one needs all pairs of households.
+    The plain Euclidean one needs all pairs of households.
     """
-    n, total = total_spread(vectors, columns)
-    evaluator = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
-    rows = []
-    for k in ks:
-        model = best_kmeans(vectors, k, n_init)
-        inertia = model.summary.trainingCost
-        score = ((total - inertia) / (k - 1)) / (inertia / (n - k))
-        rows.append((k, float(evaluator.evaluate(model.transform(vectors))), float(inertia), float(score)))
-    return vectors.sparkSession.createDataFrame(
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
+    labelled = vectors.select("features", nearest_centre(columns, centres).cast("double").alias("prediction"))
+    return float(ClusteringEvaluator(featuresCol="features", metricName="silhouette").evaluate(labelled))
+
+
+def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = SWEEP, n_init: int = N_INIT) -> DataFrame:
+    """Silhouette, inertia and Calinski-Harabasz of the best run per k."""
+    n, total = total_spread(df, columns)
+    rows = [
+        (k, silhouette(df, columns, centres), inertia, ((total - inertia) / (k - 1)) / (inertia / (n - k)))
+        for k, (centres, inertia) in kmeans_runs(df, columns, ks, n_init).items()
+    ]
+    return df.sparkSession.createDataFrame(
         rows, "k INT, silhouette DOUBLE, inertia DOUBLE, calinski_harabasz DOUBLE"
     )
 
@@ -211,36 +283,33 @@ def heuristic_names(cluster_medians: DataFrame) -> DataFrame:
 
 @dataclass
 class Segmentation:
+    """Chosen inputs, scaled rows, centres and the named households."""
+
     features: list[str]
-    vectors: DataFrame
-    model: KMeansModel
+    scaled: DataFrame
+    centres: np.ndarray
     assignments: DataFrame
 
-    def pipeline(self) -> PipelineModel:
-        assembler = VectorAssembler(inputCols=self.features, outputCol="features")
-        return PipelineModel([assembler, self.model])
-
 
 def cluster_input(features: DataFrame) -> tuple[list[str], DataFrame]:
-    """Chosen inputs and the scaled vectors, stored and kept in memory for the fits."""
+    """Chosen inputs and their scaled values, stored and kept in memory for the passes."""
     transformed = materialise(transform_features(impute_for_clustering(features)), "cluster-input")
     chosen = choose_features(collinear_pairs(transformed))
     scaled = robust_scale(transformed.select("household_id", *chosen), chosen)
-    return chosen, materialise(scaled, "cluster-scaled")
+    return chosen, materialise(scaled, "cluster-scaled").persist()
 
 
 def segment_households(features: DataFrame, k: int = CHOSEN_K, n_init: int = N_INIT) -> Segmentation:
-    """Fit k-means on the chosen inputs and name each household's segment."""
+    """Cluster on the chosen inputs and name each household's segment."""
     chosen, scaled = cluster_input(features)
-    vectors = assemble(scaled, chosen).persist()
-    model = best_kmeans(vectors, k, n_init)
-    labels = model.transform(vectors).select("household_id", F.col("prediction").alias("cluster"))
+    centres, _ = kmeans_runs(scaled, chosen, [k], n_init)[k]
+    labels = scaled.select("household_id", nearest_centre(chosen, centres).alias("cluster"))
     labelled = materialise(labels.join(features, "household_id"), "clustered")
     named = labelled.join(small_table(name_segments(labelled, "cluster")), "cluster")
     return Segmentation(
         chosen,
-        vectors,
-        model,
+        scaled,
+        centres,
         named.select(
             "household_id", "cluster", "cluster_name", "r_score", "f_score", "m_score", "rfm_code", "has_demographics"
         ),
