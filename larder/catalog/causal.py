@@ -1 +1,326 @@
+"""Campaign-effect operators as queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.catalog import query
+from larder.catalog.statistics import rounded
+from larder.functions import columns as fc
+from larder.operators import causal as ca
+from larder.operators.statistics import sample_size
+from larder.session import materialise
+
+_WEIGHED = """
+WITH raw AS (
+  SELECT *, CASE WHEN treated = 1 THEN 1 / LEAST(GREATEST(ps, 0.02), 0.98) ELSE 1 / (1 - LEAST(GREATEST(ps, 0.02), 0.98)) END AS w_raw
+  FROM scored_arms),
+weighed AS (SELECT *, quantile_cont(w_raw, 0.99) OVER () AS cap, LEAST(w_raw, quantile_cont(w_raw, 0.99) OVER ()) AS w FROM raw)"""
+
+
+@query(
+    "ca_naive_effect",
+    "analysis",
+    """SELECT CASE WHEN GROUPING(segment) = 1 THEN 'All Segments' ELSE segment END AS segment_name,
+              COUNT(CASE WHEN treated = 1 THEN 1 END) AS n_treated, COUNT(CASE WHEN treated = 0 THEN 1 END) AS n_control,
+              ROUND(AVG(CASE WHEN treated = 1 THEN outcome END), 3) AS mean_treated,
+              ROUND(AVG(CASE WHEN treated = 0 THEN outcome END), 3) AS mean_control,
+              ROUND(AVG(CASE WHEN treated = 1 THEN outcome END) - AVG(CASE WHEN treated = 0 THEN outcome END), 3) AS effect,
+              ROUND(100 * (AVG(CASE WHEN treated = 1 THEN outcome END) - AVG(CASE WHEN treated = 0 THEN outcome END))
+                    / NULLIF(AVG(CASE WHEN treated = 0 THEN outcome END), 0), 6) AS lift_pct,
+              ROUND((AVG(CASE WHEN treated = 1 THEN outcome END) - AVG(CASE WHEN treated = 0 THEN outcome END))
+                    / SQRT(VAR_SAMP(CASE WHEN treated = 1 THEN outcome END) / COUNT(CASE WHEN treated = 1 THEN 1 END)
+                           + VAR_SAMP(CASE WHEN treated = 0 THEN outcome END) / COUNT(CASE WHEN treated = 0 THEN 1 END)), 6) AS t
+       FROM arms GROUP BY ROLLUP (segment)""",
+)
+def naive_effect(stages):
+    table = ca.naive_effects(stages.arms, "segment", "outcome").drop("df")
+    return rounded(rounded(table, 3, "mean_treated", "mean_control", "effect"), 6, "lift_pct", "t")
+
+
+@query("ca_naive_effect_p")
+def naive_effect_p(stages):
+    return ca.with_t_test(ca.naive_effects(stages.arms, "segment", "outcome"))
+
+
+@query(
+    "ca_segment_mix",
+    "analysis",
+    """SELECT exposure_group, segment, COUNT(*) AS n,
+              ROUND(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY exposure_group), 6) AS pct_of_arm
+       FROM arms GROUP BY exposure_group, segment""",
+)
+def segment_mix(stages):
+    return rounded(ca.segment_mix(stages.arms, "segment"), 6, "pct_of_arm")
+
+
+_COVARIATES = ("obs_monetary", "obs_frequency", "obs_recency_days", "obs_tenure_days")
+
+
+@query(
+    "ca_smd",
+    "analysis",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS covariate, ROUND(mt, 3) AS mean_treated, ROUND(mc, 3) AS mean_control,
+                   ROUND((mt - mc) / SQRT((vt + vc) / 2), 6) AS smd
+            FROM (SELECT AVG(CASE WHEN treated = 1 THEN {c} END) AS mt, AVG(CASE WHEN treated = 0 THEN {c} END) AS mc,
+                         VAR_SAMP(CASE WHEN treated = 1 THEN {c} END) AS vt, VAR_SAMP(CASE WHEN treated = 0 THEN {c} END) AS vc
+                  FROM arms)"""
+        for c in _COVARIATES
+    ),
+)
+def smd(stages):
+    table = ca.standardised_differences(stages.arms, _COVARIATES)
+    return rounded(rounded(table, 3, "mean_treated", "mean_control"), 6, "smd")
+
+
+def _weighed(stages):
+    return ca.with_weights(stages.arms)
+
+
+@query(
+    "ag_weighted_moments",
+    "analysis",
+    _WEIGHED
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS covariate, ROUND(mt, 3) AS mean_treated, ROUND(mc, 3) AS mean_control,
+                   ROUND((mt - mc) / SQRT((vt + vc) / 2), 6) AS smd
+            FROM (SELECT ANY_VALUE(mt) AS mt, ANY_VALUE(mc) AS mc,
+                         SUM(CASE WHEN treated = 1 THEN w * POWER({c} - mt, 2) END) / SUM(CASE WHEN treated = 1 THEN w END) AS vt,
+                         SUM(CASE WHEN treated = 0 THEN w * POWER({c} - mc, 2) END) / SUM(CASE WHEN treated = 0 THEN w END) AS vc
+                  FROM weighed, (SELECT SUM(CASE WHEN treated = 1 THEN w * {c} END) / SUM(CASE WHEN treated = 1 THEN w END) AS mt,
+                                        SUM(CASE WHEN treated = 0 THEN w * {c} END) / SUM(CASE WHEN treated = 0 THEN w END) AS mc FROM weighed))"""
+        for c in _COVARIATES
+    ),
+)
+def weighted_moments(stages):
+    table = ca.standardised_differences(_weighed(stages), _COVARIATES, "w")
+    return rounded(rounded(table, 3, "mean_treated", "mean_control"), 6, "smd")
+
+
+@query("prj_clip", "analysis", _WEIGHED + "SELECT household_id, ROUND(w_raw, 8) AS w_raw, ROUND(w, 8) AS w FROM weighed")
+def clipped(stages):
+    return rounded(_weighed(stages).select("household_id", "w_raw", "w"), 8, "w_raw", "w")
+
+
+@query(
+    "ca_ipw_ate",
+    "analysis",
+    _WEIGHED
+    + """SELECT ROUND(SUM(CASE WHEN treated = 1 THEN w * outcome END) / SUM(CASE WHEN treated = 1 THEN w END)
+                      - SUM(CASE WHEN treated = 0 THEN w * outcome END) / SUM(CASE WHEN treated = 0 THEN w END), 3) AS effect,
+                COUNT(CASE WHEN treated = 1 THEN 1 END) AS n_treated, COUNT(CASE WHEN treated = 0 THEN 1 END) AS n_control
+         FROM weighed""",
+)
+def ipw_ate(stages):
+    return rounded(ca.weighted_effect(_weighed(stages), "outcome"), 3, "effect")
+
+
+_ESS = """POWER(SUM(CASE WHEN treated = {t} THEN w END), 2) / SUM(CASE WHEN treated = {t} THEN w * w END)"""
+_TRIM = (
+    _WEIGHED
+    + f"""SELECT ROUND(MAX(cap), 8) AS cap, COUNT(CASE WHEN w_raw > cap THEN 1 END) AS n_trimmed,
+                 ROUND(100.0 * COUNT(CASE WHEN w_raw > cap THEN 1 END) / COUNT(*), 6) AS pct_trimmed,
+                 COUNT(CASE WHEN treated = 1 THEN 1 END) AS n_treated, COUNT(CASE WHEN treated = 0 THEN 1 END) AS n_control,
+                 ROUND({_ESS.format(t=1)}, 6) AS ess_treated, ROUND({_ESS.format(t=0)}, 6) AS ess_control FROM weighed"""
+)
+
+
+@query("ca_trim_report", "analysis", _TRIM)
+def trim_report(stages):
+    return rounded(rounded(ca.trim_report(_weighed(stages)), 8, "cap"), 6, "pct_trimmed", "ess_treated", "ess_control")
+
+
+@query(
+    "ag_ess",
+    "analysis",
+    _WEIGHED + f"SELECT ROUND({_ESS.format(t=1)}, 6) AS ess_treated, ROUND({_ESS.format(t=0)}, 6) AS ess_control FROM weighed",
+)
+def ess(stages):
+    return rounded(ca.trim_report(_weighed(stages)).select("ess_treated", "ess_control"), 6, "ess_treated", "ess_control")
+
+
+# recency per tenure day: a score with few ties, so that the bands differ
+_SCORE = """
+WITH s AS (SELECT treated, 1.0 / (1.0 + obs_recency_days / (1.0 + obs_tenure_days)) AS score FROM arms),
+q AS (SELECT quantile_cont(score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM s),
+b AS (SELECT i + 1 AS band, e[i + 1] AS low, e[i + 2] AS high FROM q, range(0, 10) AS r(i))
+SELECT CAST(b.band AS INTEGER) AS band, ROUND(b.low, 8) AS low, ROUND(b.high, 8) AS high, COUNT(s.treated) AS n_total,
+       COUNT(CASE WHEN s.treated = 1 THEN 1 END) AS n_treated, COUNT(CASE WHEN s.treated = 0 THEN 1 END) AS n_control,
+       ROUND(COALESCE(100.0 * COUNT(CASE WHEN s.treated = 1 THEN 1 END) / NULLIF(COUNT(s.treated), 0), 0), 6) AS pct_treated,
+       COALESCE(100.0 * COUNT(CASE WHEN s.treated = 1 THEN 1 END) / NULLIF(COUNT(s.treated), 0), 0) > 90
+         OR COALESCE(100.0 * COUNT(CASE WHEN s.treated = 1 THEN 1 END) / NULLIF(COUNT(s.treated), 0), 0) < 10 AS poor_overlap
+FROM b LEFT JOIN s ON s.score >= b.low AND (s.score < b.high OR (b.band = 10 AND s.score <= b.high)) GROUP BY b.band, b.low, b.high"""
+
+
+def _bands(stages):
+    score = 1 / (1 + F.col("obs_recency_days") / (1.0 + F.col("obs_tenure_days")))
+    scored = materialise(stages.arms.select("treated", score.alias("score")), "band-scores")
+    return rounded(rounded(ca.overlap_by_band(scored, "score"), 8, "low", "high"), 6, "pct_treated")
+
+
+query("wn_ps_decile", "analysis", _SCORE)(_bands)
+
+
+@query("ca_overlap_table")
+def overlap_table(stages):
+    """Bands of the fitted propensity."""
+    return ca.overlap_by_band(_scored(stages), "ps")
+
+
+def _scored(stages):
+    if not hasattr(stages, "_scored_arms"):
+        arms = ca.effect_arms(stages.effect_frame)
+        stages._scored_arms = materialise(ca.with_propensity(arms, ca.PANEL_INPUTS), "effect-scored")
+    return stages._scored_arms
+
+
+@query("ca_propensity")
+def propensity(stages):
+    return _scored(stages).select("household_id", "treated", "ps")
+
+
+@query("ca_balance_after_weighting")
+def balance(stages):
+    weighed = ca.with_weights(_scored(stages))
+    before = ca.standardised_differences(weighed, ca.COVARIATES).select("covariate", F.col("smd").alias("smd_before"))
+    after = ca.standardised_differences(weighed, ca.COVARIATES, "w").select("covariate", F.col("smd").alias("smd_after"))
+    return before.join(after, "covariate").withColumn("balanced", F.abs("smd_after") < 0.10)
+
+
+@query("ca_aipw")
+def aipw(stages):
+    return ca.doubly_robust_effect(_scored(stages), ca.PANEL_INPUTS, "hurdle_pred_clv")
+
+
+def _arms(stages):
+    if not hasattr(stages, "_effect_arms"):
+        stages._effect_arms = materialise(ca.effect_arms(stages.effect_frame), "effect-arms")
+    return stages._effect_arms
+
+
+@query("ca_bootstrap_ipw")
+def bootstrap_ipw(stages):
+    """Two thousand refits over the panel."""
+    return ca.panel_effect(_arms(stages))
+
+
+@query("ca_segment_ate")
+def segment_ate(stages):
+    """Five hundred refits within each segment, corrected for multiple tests."""
+    return ca.segment_effects(_arms(stages))
+
+
+# shares as p-values, so that the correction can be checked
+@query(
+    "ca_bh",
+    "analysis",
+    """WITH p AS (SELECT segment, AVG(treated) AS p FROM arms GROUP BY segment),
+            r AS (SELECT segment, p, ROW_NUMBER() OVER (ORDER BY p, segment) AS k, COUNT(*) OVER () AS m FROM p)
+       SELECT segment, ROUND(p, 8) AS p,
+              k <= COALESCE(MAX(CASE WHEN p <= k / CAST(m AS DOUBLE) * 0.6 THEN k END) OVER (), 0) AS bh_reject FROM r""",
+)
+def bh(stages):
+    from larder.operators.statistics import benjamini_hochberg
+
+    shares = stages.arms.groupBy("segment").agg(F.avg("treated").alias("p"))
+    return rounded(benjamini_hochberg(shares, "p", 0.6), 8, "p")
+
+
+@query(
+    "ca_truncation_flags",
+    "analysis",
+    """SELECT c.household_id, COALESCE(r, FALSE) AS right_trunc, COALESCE(l, FALSE) AS left_trunc,
+              COALESCE(r, FALSE) OR COALESCE(l, FALSE) AS any_trunc
+       FROM (SELECT household_id FROM clv_split WHERE NOT is_pred_only) c
+       LEFT JOIN (SELECT household_id, BOOL_OR(window_truncation = 'right_truncated') AS r,
+                         BOOL_OR(window_truncation = 'left_truncated') AS l
+                  FROM campaign_exposure WHERE n_concurrent_campaigns = 0 GROUP BY household_id) x
+         ON x.household_id = c.household_id""",
+)
+def truncation_flags(stages):
+    spine = stages.split.filter(~F.col("is_pred_only")).select("household_id", "obs_monetary")
+    frame = ca.effect_frame(spine, stages.split, stages.exposure)
+    return frame.select("household_id", "right_trunc", "left_trunc", "any_trunc")
+
+
+_Z = "1.959963984540054"
+
+
+@query(
+    "ca_required_n",
+    "analysis",
+    f"""SELECT segment, CAST(CEIL(2 * POWER({_Z} + 0.8416212335729143, 2) * POWER(STDDEV_SAMP(outcome) / (0.1 * AVG(outcome)), 2)) AS BIGINT) AS n_fixed,
+               CAST(CEIL(2 * POWER(2.361 + 0.8416212335729143, 2) * POWER(STDDEV_SAMP(outcome) / (0.1 * AVG(outcome)), 2)) AS BIGINT) AS n_sequential
+        FROM estimation GROUP BY segment""",
+)
+def required_n(stages):
+    """Households per arm to see a tenth of the mean, for one look and for four."""
+    from larder.functions.tails import normal_quantile
+
+    moments = stages.estimation.groupBy("segment").agg(
+        F.stddev_samp("outcome").alias("sigma"), (0.1 * F.avg("outcome")).alias("delta")
+    )
+    z_beta = normal_quantile(0.80)
+    fixed = sample_size(moments, "sigma", "delta", normal_quantile(0.975), z_beta).withColumnRenamed("n_per_arm", "n_fixed")
+    both = sample_size(fixed, "sigma", "delta", 2.361, z_beta).withColumnRenamed("n_per_arm", "n_sequential")
+    return both.select("segment", "n_fixed", "n_sequential")
+
+
+@query(
+    "prj_dummies",
+    "analysis",
+    """SELECT household_id, CASE WHEN segment = 'Champions' THEN 1.0 ELSE 0.0 END AS seg_champions,
+              CASE WHEN segment = 'Loyal' THEN 1.0 ELSE 0.0 END AS seg_loyal,
+              CASE WHEN segment = 'New/Returning' THEN 1.0 ELSE 0.0 END AS seg_new_returning,
+              ROUND(LN(1 + GREATEST(obs_monetary, 0)), 8) AS log1p_monetary, ROUND(LN(1 + obs_frequency), 8) AS log1p_frequency
+       FROM arms""",
+)
+def dummies(stages):
+    levels = ("Champions", "Loyal", "New/Returning")
+    rows = ca.model_inputs(stages.arms, "segment", levels)
+    return rounded(rows, 8, "log1p_monetary", "log1p_frequency").select(
+        "household_id", *[ca.indicator(level) for level in levels], "log1p_monetary", "log1p_frequency"
+    )
+
+
+@query(
+    "prj_effect_labels",
+    "analysis",
+    """SELECT segment, n, share, CASE WHEN share < 0.001 THEN '***' WHEN share < 0.01 THEN '**' WHEN share < 0.05 THEN '*' ELSE '' END AS sig,
+              n < 30 AS low_n, CASE WHEN share >= 0.14 THEN 'large' WHEN share >= 0.06 THEN 'medium' ELSE 'small' END AS size
+       FROM (SELECT segment, COUNT(*) AS n, ROUND(AVG(CASE WHEN outcome = 0 THEN 1.0 ELSE 0.0 END), 6) AS share FROM estimation GROUP BY segment)""",
+)
+def effect_labels(stages):
+    table = stages.estimation.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), fc.round_to(F.avg((F.col("outcome") == 0).cast("double")), 6).alias("share")
+    )
+    return table.withColumns(
+        {
+            "sig": fc.stars(F.col("share")),
+            "low_n": F.col("n") < ca.RELIABLE_ARM,
+            "size": F.when(F.col("share") >= 0.14, "large").when(F.col("share") >= 0.06, "medium").otherwise("small"),
+        }
+    )
+
+
+@query(
+    "set_union_estimates",
+    "analysis",
+    _WEIGHED
+    + """SELECT 'All Segments' AS segment_name, 'ipw_adjusted' AS estimate_type,
+                ROUND(SUM(CASE WHEN treated = 1 THEN w * outcome END) / SUM(CASE WHEN treated = 1 THEN w END)
+                      - SUM(CASE WHEN treated = 0 THEN w * outcome END) / SUM(CASE WHEN treated = 0 THEN w END), 3) AS effect FROM weighed
+         UNION ALL
+         SELECT CASE WHEN GROUPING(segment) = 1 THEN 'All Segments' ELSE segment END, 'naive',
+                ROUND(AVG(CASE WHEN treated = 1 THEN outcome END) - AVG(CASE WHEN treated = 0 THEN outcome END), 3)
+         FROM arms GROUP BY ROLLUP (segment)""",
+)
+def union_estimates(stages):
+    naive = ca.naive_effects(stages.arms, "segment", "outcome").select(
+        "segment_name", F.lit("naive").alias("estimate_type"), "effect"
+    )
+    weighted = ca.weighted_effect(_weighed(stages), "outcome").select(
+        F.lit(ca.ALL_SEGMENTS).alias("segment_name"), F.lit("ipw_adjusted").alias("estimate_type"), "effect"
+    )
+    return rounded(naive.unionByName(weighted), 3, "effect")

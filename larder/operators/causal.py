@@ -18,7 +18,7 @@ from larder.operators.segmentation import SEGMENT_NAMES
 from larder.operators.statistics import benjamini_hochberg
 from larder.operators.tabulate import union_all
 from larder.operators.value_models import fit_logistic, with_probability
-from larder.session import materialise, small_table
+from larder.session import materialise, small_table, use_all_cores
 
 # Settings of the weighted estimates.
 CLIP, CAP = (0.02, 0.98), 0.99
@@ -260,9 +260,9 @@ def bootstrap_effects(
         F.col("treated").cast("double").alias("treated"),
         F.col("hurdle_pred_clv").alias("outcome"),
     )
-    stored = materialise(rows, "bootstrap-rows").persist()
+    stored = use_all_cores(materialise(rows, "bootstrap-rows"), "household_id").persist()
     try:
-        return EffectBootstrap(stored, group, "household_id", inputs, replicates, seed, CLIP, CAP).effects()
+        return EffectBootstrap(stored, group, "household_id", inputs, replicates, seed, CLIP, CAP, MIN_ARM).effects()
     finally:
         stored.unpersist()
 

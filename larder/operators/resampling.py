@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.session import use_all_cores
+
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
 _BLOCK = 2_000_000  # cells of the row-by-replicate block a task works on
 
@@ -68,7 +70,7 @@ def reduce_rows(
             yield pd.DataFrame({group: name, "replicate": numbers, "sums": list(total)})
 
     schema = f"{group} STRING, replicate INT, sums ARRAY<DOUBLE>"
-    parts = df.select(group, key, *names).mapInPandas(partial, schema)
+    parts = use_all_cores(df.select(group, key, *names), key).mapInPandas(partial, schema)
     return parts.groupBy(group, "replicate").agg(
         F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums")
     )
@@ -101,6 +103,16 @@ def bootstrap_means(
     )
 
 
+def _raw_weights(
+    beta: np.ndarray, data: np.ndarray, clip: tuple[float, float]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse-probability weights, rows by replicates, and which rows are treated."""
+    z = np.column_stack([np.ones(len(data)), data[:, :-2]])
+    p = np.clip(1.0 / (1.0 + np.exp(-np.clip(z @ beta.T, -35, 35))), *clip)
+    treated = data[:, -2][:, None] == 1
+    return np.where(treated, 1.0 / p, 1.0 / (1.0 - p)), treated
+
+
 class EffectBootstrap:
     """Inverse-probability effects refitted on every replicate of every group.
 
@@ -111,11 +123,21 @@ class EffectBootstrap:
 
     STEPS, CELLS, NARROWINGS = 25, 64, 4
 
-    def __init__(self, df: DataFrame, group: str, key: str, covariates: Sequence[str], replicates: int, seed: int,
-                 clip: tuple[float, float], cap: float):
+    def __init__(
+        self,
+        df: DataFrame,
+        group: str,
+        key: str,
+        covariates: Sequence[str],
+        replicates: int,
+        seed: int,
+        clip: tuple[float, float],
+        cap: float,
+        min_arm: int,
+    ):
         self.df, self.group, self.key = df, group, key
         self.covariates, self.replicates, self.seed = list(covariates), replicates, seed
-        self.clip, self.cap = clip, cap
+        self.clip, self.cap, self.min_arm = clip, cap, min_arm
 
     def _pass(self, block: Callable, width: int) -> dict[str, np.ndarray]:
         """Sums per group, replicates by ``width``: bounded by the replicate count."""
@@ -143,7 +165,9 @@ class EffectBootstrap:
             constant = variance <= 1e-12
             # penalty of one on standardised slopes; constant inputs stay out
             weight[group] = np.column_stack([np.zeros(len(n)), np.where(constant, 1.0, variance)])
-            scaled[group] = np.column_stack([np.ones(len(n), bool), ~constant])
+            # replicates with too small an arm are left at zero and not used
+            fitted = (m[:, 1] >= self.min_arm) & (m[:, 0] - m[:, 1] >= self.min_arm)
+            scaled[group] = np.column_stack([fitted, ~constant & fitted[:, None]])
             beta[group] = np.zeros((len(n), d + 1))
         for _ in range(self.STEPS):
             current = dict(beta)
@@ -169,12 +193,6 @@ class EffectBootstrap:
                 break
         return beta
 
-    def _weigh(self, beta: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = np.column_stack([np.ones(len(data)), data[:, :-2]])
-        p = np.clip(1.0 / (1.0 + np.exp(-np.clip(z @ beta.T, -35, 35))), *self.clip)
-        treated = data[:, -2][:, None] == 1
-        return np.where(treated, 1.0 / p, 1.0 / (1.0 - p)), treated
-
     def _caps(self, moments: dict[str, np.ndarray], beta: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Per replicate the interpolated cap quantile of the raw weights."""
         low, high, target, share = {}, {}, {}, {}
@@ -185,12 +203,12 @@ class EffectBootstrap:
             share[group] = position - np.floor(position)
             low[group] = np.ones_like(target[group]) * (1.0 - 1e-9)
             high[group] = np.ones_like(target[group]) / min(self.clip[0], 1.0 - self.clip[1]) * (1.0 + 1e-9)
-        cells = self.CELLS
+        cells, bounds = self.CELLS, self.clip
         for _ in range(self.NARROWINGS):
             lo, hi = dict(low), dict(high)
 
             def block(group, data, draws):
-                w, _ = self._weigh(beta[group], data)
+                w, _ = _raw_weights(beta[group], data, bounds)
                 counts = []
                 for side in (0, 1):
                     start, width = lo[group][:, side], hi[group][:, side] - lo[group][:, side]
@@ -215,10 +233,10 @@ class EffectBootstrap:
         """group, replicate, n_treated, n_control, effect; replicate 0 is the sample itself."""
         moments = self._moments()
         beta = self._fit(moments)
-        caps = self._caps(moments, beta)
+        caps, bounds = self._caps(moments, beta), self.clip
 
         def block(group, data, draws):
-            w, treated = self._weigh(beta[group], data)
+            w, treated = _raw_weights(beta[group], data, bounds)
             w = np.minimum(w, caps[group][None, :]) * draws
             y = data[:, -1][:, None]
             parts = (w * treated, w * treated * y, w * ~treated, w * ~treated * y)

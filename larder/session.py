@@ -81,6 +81,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle by ``key`` only when there are fewer partitions than cores.
+
+    For a scan of few files ahead of heavy row work; large inputs pass as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 MAX_SMALL_ROWS = 20_000
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.contract import TABLES, Study
 from larder.functions.columns import dollars
+from larder.session import use_all_cores
 
 
 @dataclass(frozen=True)
@@ -97,12 +98,6 @@ def derive_panel(spark: SparkSession, sf_dir: str) -> Panel:
     )
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Shuffle by ``key`` only when the scan yields too few tasks to use the cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 def _baskets(orders: DataFrame) -> DataFrame:
     offset = F.pmod(F.datediff(F.col("o_orderdate"), F.lit(EPOCH)), F.lit(DAYS))
     return (
@@ -122,7 +117,7 @@ def _order_lines(lineitem: DataFrame, baskets: DataFrame) -> DataFrame:
     # whole cents: price times percent, rounded half up
     price, percent = F.col("price"), F.rint(F.col("l_discount") * 100).cast("bigint")
     discount = F.when(adjustment, 0).otherwise(F.floor((price * percent + 50) / 100)).cast("bigint")
-    items = _spread(
+    items = use_all_cores(
         lineitem.select(
             "l_orderkey",
             "l_suppkey",
