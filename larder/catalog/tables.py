@@ -18,7 +18,7 @@ from larder.session import materialise, small_table
 from larder.sources.panel import typed_scan
 
 SPLIT = "TIMESTAMP '2017-10-01'"
-_SQL_TYPES = {"string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
+_SQL_TYPES = {"STRING": "VARCHAR", "INT": "INTEGER", "TIMESTAMP_NTZ": "TIMESTAMP"}
 
 
 # ---- derived tables ---------------------------------------------------------
@@ -64,8 +64,7 @@ def view_registry(stages):
     "panel",
     "SELECT "
     + ", ".join(
-        f"CAST({f.name} AS {_SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())}) AS {f.name}"
-        for f in TABLES["transactions"].schema.fields
+        f"CAST({name} AS {_SQL_TYPES.get(kind, kind)}) AS {name}" for name, kind in TABLES["transactions"].columns
     )
     + " FROM transactions",
 )
@@ -177,7 +176,7 @@ def trend_direction(stages):
 def safe_ratio(stages):
     panel = stages.panel
     ledger = features.trip_ledger(panel.transactions, panel.products, panel.study)
-    return features.spend_block(ledger, panel.study).select(
+    return features.spend_block(ledger, panel.study.analysis_date, panel.study).select(
         "household_id", "retail_disc_rate", "coupon_disc_rate", "mom_spend_ratio_dec_nov"
     )
 
@@ -418,7 +417,7 @@ _SPLIT_TOTALS = "household_id, recency_days, frequency, monetary"
 def rfm_raw(stages):
     panel = stages.panel
     ledger = features.trip_ledger(panel.transactions, panel.products, panel.study)
-    return features.rfm_raw(ledger, panel.study.analysis_date)
+    return features.rfm_raw(ledger, panel.study.analysis_date, panel.study)
 
 
 @query("ag_tenure", "features", "SELECT household_id, tenure_days FROM f_totals")
@@ -440,7 +439,8 @@ def weekend_share(stages):
 
 @query("ag_filtered_sum", "features", "SELECT household_id, weight_sold_spend_share, mom_spend_ratio_dec_nov FROM f_totals")
 def filtered_sum(stages):
-    block = features.spend_block(_ledger(stages), stages.panel.study)
+    study = stages.panel.study
+    block = features.spend_block(_ledger(stages), study.analysis_date, study)
     return block.select("household_id", "weight_sold_spend_share", "mom_spend_ratio_dec_nov")
 
 

@@ -17,6 +17,11 @@ class TableSpec:
     pinned_rows: int
     pinned_bytes: int
 
+    @property
+    def columns(self) -> list[tuple[str, str]]:
+        """Column names with their SQL types."""
+        return [tuple(column.split()) for column in self.ddl.split(", ")]
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType.fromDDL(self.ddl)

@@ -55,28 +55,21 @@ def from_day(ledger: DataFrame, day: date) -> DataFrame:
     return ledger.filter(F.col("transaction_timestamp") >= at_midnight(day))
 
 
-def rfm_raw(ledger: DataFrame, as_of: date) -> DataFrame:
-    """Recency in days, distinct baskets, net revenue."""
-    last = F.max("transaction_timestamp").cast("date")
-    return ledger.groupBy("household_id").agg(
-        F.datediff(on_day(as_of), last).alias("recency_days"),
-        F.countDistinct("basket_id").alias("frequency"),
-        dollars(F.sum("net")).alias("monetary"),
-    )
-
-
 def _month_net(span: tuple[date, date]) -> Column:
     ts = F.col("transaction_timestamp")
     inside = (ts >= at_midnight(span[0])) & (ts < at_midnight(span[1]))
     return F.sum(F.when(inside, F.col("net")))
 
 
-def spend_block(ledger: DataFrame, study: Study) -> DataFrame:
-    """Tenure, discount rates, month-on-month spend and weight-sold share."""
-    ts = F.col("transaction_timestamp")
+def spend_block(ledger: DataFrame, as_of: date, study: Study) -> DataFrame:
+    """Recency, frequency, monetary value, tenure, discount rates, month change, weight-sold share."""
+    first, last = F.min("transaction_timestamp").cast("date"), F.max("transaction_timestamp").cast("date")
     month_change = ratio(_month_net(study.later_month), _month_net(study.earlier_month)) - 1
     return ledger.groupBy("household_id").agg(
-        F.datediff(F.max(ts).cast("date"), F.min(ts).cast("date")).alias("tenure_days"),
+        F.datediff(on_day(as_of), last).alias("recency_days"),
+        F.countDistinct("basket_id").alias("frequency"),
+        dollars(F.sum("net")).alias("monetary"),
+        F.datediff(last, first).alias("tenure_days"),
         round_to(ratio(F.sum("retail_disc"), F.sum("shelf")), 4).alias("retail_disc_rate"),
         round_to(ratio(F.sum("coupons"), F.sum("sales")), 4).alias("coupon_disc_rate"),
         round_to(month_change, 4).alias("mom_spend_ratio_dec_nov"),
@@ -84,6 +77,11 @@ def spend_block(ledger: DataFrame, study: Study) -> DataFrame:
     )
 
 
+def rfm_raw(ledger: DataFrame, as_of: date, study: Study) -> DataFrame:
+    """Recency in days, distinct baskets and net revenue alone."""
+    return spend_block(ledger, as_of, study).select("household_id", "recency_days", "frequency", "monetary")
+
+
 def store_block(ledger: DataFrame) -> DataFrame:
     """Share of trips made to the most visited store."""
     visits = ledger.groupBy("household_id", "store_id").agg(
@@ -209,8 +207,7 @@ def behaviour_blocks(
 ) -> list[DataFrame]:
     """The blocks shared by the full-period and the observation-window tables."""
     return [
-        rfm_raw(ledger, as_of),
-        spend_block(ledger, study),
+        spend_block(ledger, as_of, study),
         store_block(ledger),
         cadence_block(ledger),
         trend_block(ledger, halves, study),

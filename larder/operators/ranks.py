@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from larder.session import small_table
 
@@ -43,6 +44,9 @@ def values_at_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], ta
             F.when(cell + 3 <= _CELLS + 1, F.element_at("grid", F.least(cell + 3, F.lit(_CELLS + 1)))).alias("high"),
         )
     )
+    if isinstance(values.schema["value"].dataType, LongType):
+        # the sketch holds doubles: allow for their spacing among 64-bit integers
+        targets = targets.withColumns({"low": F.try_subtract("low", F.lit(2048)), "high": F.try_add("high", F.lit(2048))})
     targets = small_table(targets)
     low, high = F.col("low"), F.col("high")
     located = (

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.ranks import medians, quantiles
 from larder.operators.tabulate import correlations
-from larder.session import materialise, small_table
+from larder.session import materialise, small_table, use_all_cores
 
 # Candidate inputs and how each is straightened.
 CANDIDATES = {
@@ -296,7 +296,7 @@ def cluster_input(features: DataFrame) -> tuple[list[str], DataFrame]:
     transformed = materialise(transform_features(impute_for_clustering(features)), "cluster-input")
     chosen = choose_features(collinear_pairs(transformed))
     scaled = robust_scale(transformed.select("household_id", *chosen), chosen)
-    return chosen, materialise(scaled, "cluster-scaled").persist()
+    return chosen, use_all_cores(materialise(scaled, "cluster-scaled"), "household_id").persist()
 
 
 def segment_households(features: DataFrame, k: int = CHOSEN_K, n_init: int = N_INIT) -> Segmentation:

@@ -85,7 +85,7 @@ def v_coupon_redemptions(panel: Panel) -> DataFrame:
 def v_rfm_features(panel: Panel) -> DataFrame:
     """Recency, frequency and monetary value with quintiles, decile and code."""
     ledger = trip_ledger(panel.transactions, panel.products, panel.study)
-    raw = with_demographics(rfm_raw(ledger, panel.study.analysis_date), panel.demographics)
+    raw = with_demographics(rfm_raw(ledger, panel.study.analysis_date, panel.study), panel.demographics)
     scored = with_ntiles(materialise(raw, "rfm"), RFM_NTILES, "household_id")
     return scored.withColumn("rfm_code", rfm_code("r_score", "f_score", "m_score")).select(*RFM_COLUMNS)
 

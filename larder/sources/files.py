@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,16 @@ from larder.sources.panel import Panel
 
 
 def write_panel(panel: Panel, directory: str) -> None:
-    """Store the eight tables with their declared types."""
-    for name, df in panel.tables().items():
+    """Store the eight tables with their declared types, several at a time."""
+
+    def store(item: tuple[str, DataFrame]) -> None:
+        name, df = item
         declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].schema.fields]
         df.select(*declared).write.parquet(f"{directory}/{name}.parquet")
 
+    with ThreadPool(4) as pool:
+        pool.map(store, panel.tables().items())
+
 
 def manifest(spark: SparkSession) -> DataFrame:
     """The pinned rows and bytes of every table."""
