@@ -2,56 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.columns import ratio, round_to, window_truncation
 
 
-def overlap_counts(intervals: DataFrame, owner: str, item: str, start: str, end: str) -> DataFrame:
+def overlap_counts(
+    intervals: DataFrame, owner: str, item: str, start: str, end: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """For each interval, how many other intervals of its owner it touches.
 
     Both ends are inclusive. Instead of pairing intervals, each owner's start
     and end points are swept once in time order: the intervals begun by my end,
     less those finished before my start, less myself. Needs start <= end and
-    each item once per owner; undated intervals touch nothing and get no row.
+    each item once per owner; undated intervals touch nothing. ``keep`` names
+    further columns of the interval to carry along.
     """
-    dated = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-    points = dated.select(
-        owner,
-        item,
-        F.explode(
-            F.array(
-                F.struct(F.col(start).alias("at"), F.lit(0).alias("closing")),
-                F.struct(F.col(end).alias("at"), F.lit(1).alias("closing")),
-            )
-        ).alias("point"),
-    ).select(owner, item, "point.at", "point.closing")
+    dated = F.col(start).isNotNull() & F.col(end).isNotNull()
+    edges = [F.struct(F.col(c).alias("at"), F.lit(i).alias("closing")) for i, c in enumerate((start, end))]
+    points = intervals.select(
+        owner, item, *keep, dated.cast("int").alias("dated"), F.explode(F.array(*edges)).alias("edge")
+    ).select(owner, item, *keep, "dated", "edge.at", "edge.closing")
     so_far = (
         Window.partitionBy(owner)
         .orderBy("at", "closing", item)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    counted = points.select(
-        owner,
-        item,
-        "closing",
-        F.sum(1 - F.col("closing")).over(so_far).alias("begun"),
-        F.sum("closing").over(so_far).alias("finished"),
+    opening, closing = 1 - F.col("closing"), F.col("closing")
+    counted = points.withColumns(
+        {
+            "begun": F.sum(opening * F.col("dated")).over(so_far),
+            "finished": F.sum(closing * F.col("dated")).over(so_far),
+        }
     )
+    begun_by_end = F.max(F.when(F.col("closing") == 1, F.col("begun")))
+    finished_before_start = F.max(F.when(F.col("closing") == 0, F.col("finished")))
     return counted.groupBy(owner, item).agg(
-        (
-            F.max(F.when(F.col("closing") == 1, F.col("begun")))
-            - F.max(F.when(F.col("closing") == 0, F.col("finished")))
-            - 1
-        ).alias("n_overlapping")
+        *[F.max(c).alias(c) for c in keep],
+        F.when(F.max("dated") == 1, begun_by_end - finished_before_start - 1)
+        .otherwise(0)
+        .alias("n_overlapping"),
     )
 
 
 def campaign_exposure(campaigns: DataFrame, descriptions: DataFrame, transactions: DataFrame) -> DataFrame:
     """One row per household and campaign; campaigns without a description drop out."""
     exposed = campaigns.join(descriptions, "campaign_id")
-    counts = overlap_counts(exposed, "household_id", "campaign_id", "start_date", "end_date")
+    counted = overlap_counts(
+        exposed, "household_id", "campaign_id", "start_date", "end_date", ("campaign_type", "start_date", "end_date")
+    )
     observed = transactions.agg(
         F.min("transaction_timestamp").alias("first_seen"),
         F.max("transaction_timestamp").alias("last_seen"),
@@ -59,9 +61,7 @@ def campaign_exposure(campaigns: DataFrame, descriptions: DataFrame, transaction
     first = observed.select("first_seen").scalar()
     last = observed.select("last_seen").scalar()
     return (
-        exposed.join(counts, ["household_id", "campaign_id"], "left")
-        .withColumn("n_overlapping", F.coalesce("n_overlapping", F.lit(0).cast("bigint")))
-        .withColumn("first_seen", first)
+        counted.withColumn("first_seen", first)
         .withColumn("last_seen", last)
         .withColumn("effective_start", F.greatest("start_date", "first_seen"))
         .withColumn("effective_end", F.least("end_date", "last_seen"))
@@ -90,10 +90,8 @@ def concurrency(campaigns: DataFrame, descriptions: DataFrame) -> DataFrame:
         descriptions.select("campaign_id", "start_date", "end_date"), "campaign_id"
     )
     counts = overlap_counts(exposed, "household_id", "campaign_id", "start_date", "end_date")
-    return exposed.join(counts, ["household_id", "campaign_id"], "left").select(
-        "household_id",
-        "campaign_id",
-        (F.coalesce("n_overlapping", F.lit(0)) > 0).alias("has_concurrent_exposure"),
+    return counts.select(
+        "household_id", "campaign_id", (F.col("n_overlapping") > 0).alias("has_concurrent_exposure")
     )
 
 

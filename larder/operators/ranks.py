@@ -16,17 +16,24 @@ from larder.session import small_table
 # between them are ordered. Sketch error (1/_ACCURACY) is far below one cell.
 _CELLS = 500
 _ACCURACY = 20_000
+# Below this many rows per key a single ordered pass is cheaper than the sketch.
+DIRECT_ROWS = 200_000
 
 
-def values_at_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], tag: Sequence[str]) -> DataFrame:
+def values_at_ranks(
+    values: DataFrame, ranks: DataFrame, keys: Sequence[str], tag: Sequence[str], rows: int
+) -> DataFrame:
     """The value at each wanted 1-based rank within its key.
 
     ``values`` has ``keys`` and a non-null ``value``; ``ranks`` has ``keys``,
     ``tag`` columns and ``rank``. Returns ``ranks`` plus ``value`` and
     ``below``, the number of strictly smaller values of that key.
-    Ties collapse before they are shuffled.
+    Ties collapse before they are shuffled. ``rows`` is an upper bound on the
+    rows of a key and decides whether a sketch goes first.
     """
     keys, tag = list(keys), list(tag)
+    if rows <= DIRECT_ROWS:
+        return _values_by_sorting(values, ranks, keys, tag)
     grid = ", ".join(f"{i / _CELLS}D" for i in range(_CELLS + 1))
     sketch = values.groupBy(*keys).agg(
         F.expr(f"percentile_approx(value, array({grid}), {_ACCURACY})").alias("grid"),
@@ -73,6 +80,17 @@ def values_at_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], ta
     )
 
 
+def _values_by_sorting(values: DataFrame, ranks: DataFrame, keys: list[str], tag: list[str]) -> DataFrame:
+    ordered = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("ties"))
+    placed = counted.withColumn("upto", F.sum("ties").over(ordered)).withColumn("below", F.col("upto") - F.col("ties"))
+    return (
+        placed.join(small_table(ranks), keys)
+        .filter((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+        .select(*keys, *tag, "rank", "value", "below")
+    )
+
+
 def quantiles(
     df: DataFrame, groups: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
@@ -97,7 +115,7 @@ def quantiles(
         .withColumn("rank", F.least(F.floor(position) + 1 + F.col("offset"), F.col("n")))
         .drop("n")
     )
-    found = values_at_ranks(values, wanted, keys, ["p", "weight", "offset"])
+    found = values_at_ranks(values, wanted, keys, ["p", "weight", "offset"], df.count())
     lower = F.max(F.when(F.col("offset") == 0, F.col("value")))
     upper = F.max(F.when(F.col("offset") == 1, F.col("value")))
     return found.groupBy(*keys, F.col("p").alias("probability"), "weight").agg(
@@ -147,13 +165,13 @@ def with_ntiles(df: DataFrame, specs: Sequence[Ntile], tie_break: str) -> DataFr
         .unpivot([tie_break], [s.output for s in specs], "variable", "value")
         .filter(F.col("value").isNotNull())
     )
-    cuts = small_table(values_at_ranks(values, wanted, ["variable"], ["bucket"]))
+    cuts = small_table(values_at_ranks(values, wanted, ["variable"], ["bucket"], total))
     # the cut value may be shared by many rows: find the opening key among them
     tied = values.join(cuts.select("variable", "value", "bucket"), ["variable", "value"]).select(
         "variable", "bucket", F.col(tie_break).cast("bigint").alias("value")
     )
     inner = cuts.select("variable", "bucket", (F.col("rank") - F.col("below")).alias("rank"))
-    openers = values_at_ranks(tied, inner, ["variable", "bucket"], []).select(
+    openers = values_at_ranks(tied, inner, ["variable", "bucket"], [], total).select(
         "variable", "bucket", F.col("value").alias("key")
     )
     cut_rows = cuts.join(openers, ["variable", "bucket"]).select("variable", "bucket", "value", "key").collect()

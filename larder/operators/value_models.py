@@ -96,7 +96,7 @@ def holdout_flag(df: DataFrame, stratum: Column, key: str, share: float = HOLDOU
     hashed = df.withColumn("stratum", stratum).withColumn("draw", F.xxhash64(key, F.lit(seed)))
     values = hashed.select("stratum", F.col("draw").alias("value"))
     sizes = small_table(values.groupBy("stratum").agg(F.round(F.count(F.lit(1)) * share).cast("bigint").alias("rank")))
-    cuts = small_table(values_at_ranks(values, sizes, ["stratum"], []).select("stratum", F.col("value").alias("cut")))
+    cuts = small_table(values_at_ranks(values, sizes, ["stratum"], [], df.count()).select("stratum", F.col("value").alias("cut")))
     flagged = hashed.join(cuts, "stratum", "left")
     return flagged.withColumn("is_holdout", F.coalesce(F.col("draw") <= F.col("cut"), F.lit(False))).drop("cut")
 

@@ -295,13 +295,9 @@ clv_split AS (
 _ANALYSIS = """,
 labelled AS (
   SELECT f.*,
-         CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
-              WHEN f_score >= 4 THEN 'Loyal'
-              WHEN r_score >= 4 AND f_score <= 2 THEN 'New/Returning'
-              WHEN r_score >= 3 AND f_score >= 3 THEN 'Mid-tier'
-              WHEN f_score >= 3 AND m_score >= 3 THEN 'At-Risk'
-              WHEN r_score <= 2 AND f_score <= 2 THEN 'Lost'
-              ELSE 'Mid-tier' END AS segment
+         CASE WHEN f_score >= 4 THEN CASE WHEN LEAST(r_score, m_score) >= 4 THEN 'Champions' ELSE 'Loyal' END
+              WHEN f_score = 3 THEN CASE WHEN r_score < 3 AND m_score >= 3 THEN 'At-Risk' ELSE 'Mid-tier' END
+              WHEN r_score > 3 THEN 'New/Returning' WHEN r_score = 3 THEN 'Mid-tier' ELSE 'Lost' END AS segment
   FROM household_features f
 ),
 redeemers AS (SELECT DISTINCT household_id FROM coupon_redemptions WHERE redemption_date < TIMESTAMP '2017-10-01'),

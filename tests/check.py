@@ -34,7 +34,7 @@ def _text(v) -> str:
         return str(bool(v))
     try:
         f = float(v)
-        return repr(f + 0.0)
+        return repr(f)
     except (TypeError, ValueError):
         return str(v)
 
@@ -44,6 +44,11 @@ def compare(left: pd.DataFrame, right: pd.DataFrame) -> str:
         return f"columns {sorted(set(left.columns) ^ set(right.columns))}"
     if len(left) != len(right):
         return f"rows {len(left)} vs {len(right)}"
+    kinds = [
+        f"{c}: {left[c].dtype} vs {right[c].dtype}" for c in left.columns if left[c].dtype.kind != right[c].dtype.kind
+    ]
+    if kinds:
+        return f"types {kinds}"
     a, b = normal(left), normal(right)
     bad = [c for c in a.columns if not a[c].equals(b[c])]
     if bad:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import causal as ca
+from larder.operators import ranks
 from larder.operators import segmentation as sg
 from larder.operators.linear import Scale, breusch_pagan, ordinary_least_squares, ridge_by_folds
 from larder.operators.resampling import bootstrap_means, poisson_draws
@@ -85,7 +86,9 @@ def test_choose_k_follows_the_rule(spark):
     assert (row.silhouette_k, row.ch_k, row.elbow_k, row.chosen_k) == (2, 2, 3, 3)
 
 
-def test_holdout_is_exact_per_stratum_and_stable(spark):
+@pytest.mark.parametrize("direct_rows", [0, 200_000])
+def test_holdout_is_exact_per_stratum_and_stable(spark, monkeypatch, direct_rows):
+    monkeypatch.setattr(ranks, "DIRECT_ROWS", direct_rows)
     df = materialise(spark.range(1000).select(F.col("id").alias("key"), (F.col("id") % 10 == 0).cast("double").alias("s")), "h")
     first = holdout_flag(df, F.col("s"), "key")
     counts = {(r.s, r.is_holdout): r["count"] for r in first.groupBy("s", "is_holdout").count().collect()}
