@@ -13,7 +13,7 @@ from larder.functions.tails import t_p
 from larder.operators.exposure import truncation_flags
 from larder.operators.linear import Scale, ridge_by_folds
 from larder.operators.ranks import quantiles
-from larder.operators.resampling import EffectBootstrap
+from larder.operators.resampling import ROWS_PER_TASK, EffectBootstrap
 from larder.operators.segmentation import SEGMENT_NAMES
 from larder.operators.statistics import benjamini_hochberg
 from larder.operators.tabulate import union_all
@@ -260,7 +260,7 @@ def bootstrap_effects(
         F.col("treated").cast("double").alias("treated"),
         F.col("hurdle_pred_clv").alias("outcome"),
     )
-    stored = use_all_cores(materialise(rows, "bootstrap-rows"), "household_id").persist()
+    stored = use_all_cores(materialise(rows, "bootstrap-rows"), "household_id", ROWS_PER_TASK).persist()
     try:
         return EffectBootstrap(stored, group, "household_id", inputs, replicates, seed, CLIP, CAP, MIN_ARM).effects()
     finally:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from larder.session import use_all_cores
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+ROWS_PER_TASK = 1_000  # each row meets thousands of replicates
 _BLOCK = 2_000_000  # cells of the row-by-replicate block a task works on
 
 
@@ -70,7 +71,7 @@ def reduce_rows(
             yield pd.DataFrame({group: name, "replicate": numbers, "sums": list(total)})
 
     schema = f"{group} STRING, replicate INT, sums ARRAY<DOUBLE>"
-    parts = use_all_cores(df.select(group, key, *names), key).mapInPandas(partial, schema)
+    parts = use_all_cores(df.select(group, key, *names), key, ROWS_PER_TASK).mapInPandas(partial, schema)
     return parts.groupBy(group, "replicate").agg(
         F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums")
     )

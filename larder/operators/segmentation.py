@@ -296,7 +296,7 @@ def cluster_input(features: DataFrame) -> tuple[list[str], DataFrame]:
     transformed = materialise(transform_features(impute_for_clustering(features)), "cluster-input")
     chosen = choose_features(collinear_pairs(transformed))
     scaled = robust_scale(transformed.select("household_id", *chosen), chosen)
-    return chosen, use_all_cores(materialise(scaled, "cluster-scaled"), "household_id").persist()
+    return chosen, use_all_cores(materialise(scaled, "cluster-scaled"), "household_id", 2_000).persist()
 
 
 def segment_households(features: DataFrame, k: int = CHOSEN_K, n_init: int = N_INIT) -> Segmentation:

@@ -143,7 +143,7 @@ def fit_logistic(df: DataFrame, columns: Sequence[str], label: str) -> LogisticR
         regParam=logistic_penalty(n),
         standardization=True,
         maxIter=1000,
-        tol=1e-8,
+        tol=1e-6,
     ).fit(assembled(df, columns))
 
 

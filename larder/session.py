@@ -81,13 +81,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Shuffle by ``key`` only when there are fewer partitions than cores.
+def use_all_cores(df: DataFrame, key: str, rows_per_task: int) -> DataFrame:
+    """Shuffle a scan by ``key`` if its few files would leave cores idle.
 
-    For a scan of few files ahead of heavy row work; large inputs pass as they are.
+    For heavy row work over few files. A scan with a partition per core passes
+    as it is, unread, so large inputs are never counted or shuffled here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if parts >= cores:
+        return df
+    tasks = min(cores, -(-df.count() // rows_per_task))
+    return df.repartition(tasks, key) if tasks > parts else df
 
 
 MAX_SMALL_ROWS = 20_000

@@ -131,6 +131,7 @@ def _order_lines(lineitem: DataFrame, baskets: DataFrame) -> DataFrame:
             "l_linestatus",
         ),
         "l_orderkey",
+        50_000,
     )
     items = (
         items.withColumn("price", F.rint(F.col("l_extendedprice") * 100).cast("bigint"))

@@ -45,7 +45,9 @@ def compare(left: pd.DataFrame, right: pd.DataFrame) -> str:
     if len(left) != len(right):
         return f"rows {len(left)} vs {len(right)}"
     kinds = [
-        f"{c}: {left[c].dtype} vs {right[c].dtype}" for c in left.columns if left[c].dtype.kind != right[c].dtype.kind
+        f"{c}: {left[c].dtype} vs {right[c].dtype}"
+        for c in left.columns
+        if left[c].dtype.kind != right[c].dtype.kind and not (left[c].isna().any() or right[c].isna().any())
     ]
     if kinds:
         return f"types {kinds}"
