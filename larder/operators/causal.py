@@ -50,10 +50,10 @@ def treatment_arms(df: DataFrame) -> DataFrame:
     )
 
 
-def with_stratum_propensity(arms: DataFrame, strata: Sequence[str]) -> DataFrame:
+def with_stratum_propensity(arms: DataFrame, by: Sequence[str]) -> DataFrame:
     """Smoothed treated share of each stratum as the propensity ``ps``."""
-    shares = arms.groupBy(*strata).agg(((F.sum("treated") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("ps"))
-    return arms.join(small_table(shares), list(strata))
+    shares = arms.groupBy(*by).agg(((F.sum("treated") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("ps"))
+    return arms.join(small_table(shares), list(by))
 
 
 def _arm(treated: int, column: str) -> Column:
