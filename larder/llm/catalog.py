@@ -66,8 +66,8 @@ def op1_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), met AS (
         SELECT doc_id, i, here.n, item_id FROM here JOIN win USING (n, words)
     ), hit AS (
-        SELECT doc_id, count(DISTINCT at) AS n_hit
-        FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT doc_id, i, n FROM met)) GROUP BY doc_id
+        SELECT doc_id, count(DISTINCT pos) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM met)) GROUP BY doc_id
     ), item AS (
         SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id
@@ -132,3 +132,17 @@ def op9_water_fill_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query()
+def op7_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.quality import document_quality
+
+    return document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
