@@ -146,3 +146,36 @@ def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.quality import document_quality
 
     return document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query(
+    f"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w WHERE len(w) > 0)
+    ), n AS (
+        SELECT doc_id, count(*) AS n, md5(string_agg(g, ' ' ORDER BY g)) AS k FROM s GROUP BY doc_id
+    ), c AS (
+        SELECT k, min(doc_id) AS rep, any_value(n) AS n FROM n GROUP BY k
+    ), r AS (
+        SELECT doc_id, g, c.n FROM s JOIN c ON doc_id = rep
+    ), e AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM r AS a JOIN r AS b ON a.g = b.g AND a.doc_id < b.doc_id
+        GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+    ), both_ways AS (
+        SELECT a, b FROM e UNION SELECT b, a FROM e
+    ), reach(a, b) AS (
+        SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+    ), least AS (
+        SELECT a, min(b) AS low FROM reach GROUP BY a
+    )
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(c.rep, low), w.doc_id) AS component_id
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN least ON least.a = c.rep
+    """
+)
+def op5_jaccard_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
