@@ -179,3 +179,10 @@ def op5_jaccard_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.repeated_strings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
