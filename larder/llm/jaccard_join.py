@@ -46,7 +46,7 @@ ORDERS = 3
 PIVOT_HASHES = 4
 PIVOT_ROUNDS = 3
 #: Shingles per chunk, documents per chunk (they number in 16 bits), shingles per shard.
-CHUNK_SHINGLES, CHUNK_DOCS, SHARD_SHINGLES = 1 << 21, 1 << 16, 1 << 22
+CHUNK_SHINGLES, CHUNK_DOCS, SHARD_SHINGLES = 1 << 20, 1 << 16, 1 << 20
 
 _PACKED = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary())])
 _PACKED_DDL = "shard long, chunk long, docs binary, keys binary"
