@@ -9,9 +9,12 @@
 3. Prefixes. Shingles are ordered by frequency, ties by a hash, in ``ORDERS``
    different ways. Linked sets share a shingle in their prefixes under each order,
    so a candidate must be a candidate under all of them before its sets are compared.
+   The first order's posting lists make the candidates, under the bound that parity
+   sketches of the sets put on their difference; the other orders filter them.
 4. Large groups of near copies are first joined by pivots: classes with the same
-   least hash are compared with one pivot each. Only classes in different components
-   then still need the join, so a group of copies never becomes all its pairs.
+   least hash are compared with one pivot each, then, in rounds, one class of each
+   component in a posting list with the list's first few. Only classes in different
+   components then still need the join, so a group of copies never becomes all pairs.
 
 Every pair of classes that could link is either compared or already connected, so
 components are exact. Shingles are 64-bit hashes; the truncation in step 1 can only
@@ -33,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import batches_of, mix64, prepare, rows_of, shuffle_tasks
@@ -44,7 +47,9 @@ from larder.session import materialise
 SHINGLE, PERCENT = 3, 90
 ORDERS = 3
 PIVOT_HASHES = 4
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS, PIVOTS_PER_LIST = 6, 8
+#: Longs of a parity sketch.
+SKETCH = 16
 #: Shingles per chunk, documents per chunk (they number in 16 bits), shingles per shard.
 CHUNK_SHINGLES, CHUNK_DOCS, SHARD_SHINGLES = 1 << 20, 1 << 16, 1 << 20
 
@@ -212,6 +217,12 @@ def sharing(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
+def sketch_of(shingles: np.ndarray) -> list[int]:
+    """Parity of the shingles' bits: sketches of two sets differ in no more bits than the sets do in shingles."""
+    bits = np.bincount((mix64(shingles) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _needed(percent: int, n: F.Column) -> F.Column:
     """The least overlap that a link asks of a set of ``n``."""
     return F.ceil(n * percent / 100)
@@ -239,7 +250,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows (set_id, n, ord, token) of each order, and pivot keys (set_id, n, key), of classes that can link."""
+    """Of classes that can link: rows (set_id, n, token, others, sketch) of the first order's prefix, and pivot keys.
+
+    ``others`` holds the prefixes under the other orders.
+    """
     tokens = sets.select("set_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = (
@@ -248,28 +262,33 @@ def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         .agg(F.collect_list(F.struct("df", "token")).alias("shared"))
         .filter(F.size("shared") >= _needed(percent, F.col("n")))
     )
-    schema = pa.schema([("set_id", pa.binary()), ("n", pa.int64()), ("ord", pa.int64()), ("token", pa.int64())])
+    schema = pa.schema([("set_id", pa.binary()), ("n", pa.int64()), ("ord", pa.int64()), ("token", pa.int64()), ("others", pa.list_(pa.list_(pa.int64()))), ("sketch", pa.list_(pa.int64()))])
 
     def cut(batches):
         def rows():
             for batch in batches:
-                for known, n, held in zip(*[c for c in (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))], strict=True):
+                columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)]
+                for known, n, held, whole in zip(*columns, strict=True):
                     pairs = held.values
                     df, token = pairs.field("df").to_numpy(), pairs.field("token").to_numpy().astype(np.uint64)
                     length = len(token) - -(-percent * n // 100) + 1
+                    prefixes = []
                     for k in range(ORDERS):
                         tie = mix64(token + np.uint64(k * 0x51ED2701))
                         rank = df if k == 0 else np.floor(np.log2(df))
-                        for t in token[np.lexsort((tie, rank))[:length]].view(np.int64).tolist():
-                            yield known, n, k, t
+                        prefixes.append(token[np.lexsort((tie, rank))[:length]].view(np.int64).tolist())
+                    sketch = sketch_of(whole.values.to_numpy().view(np.uint64))
+                    for t in prefixes[0]:
+                        yield known, n, 0, t, prefixes[1:], sketch
                     for k in range(PIVOT_HASHES):
                         least = mix64(token ^ np.uint64((k + 1) * 0x7F4A7C15)).argmin()
-                        yield known, n, -1 - k, int(token[least : least + 1].view(np.int64)[0])
+                        yield known, n, -1 - k, int(token[least : least + 1].view(np.int64)[0]), None, sketch
 
         yield from batches_of(rows(), schema, rows_per_batch=1 << 14)
 
-    rows = materialise(shared.mapInArrow(cut, "set_id binary, n long, ord long, token long"), "jaccard-prefixes")
-    return rows.filter("ord >= 0"), rows.filter("ord < 0")
+    ddl = "set_id binary, n long, ord long, token long, others array<array<long>>, sketch array<long>"
+    rows = materialise(shared.join(sets, "set_id").mapInArrow(cut, ddl), "jaccard-prefixes")
+    return rows.filter("ord >= 0").drop("ord"), rows.filter("ord < 0")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,30 +304,34 @@ def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(components.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
+def _could_link(percent: int) -> F.Column:
+    """Whether sizes and sketches of sides ``a`` and ``b`` allow a link."""
+    sizes = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(SKETCH)])
+    return sizes & (differ * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links among classes that connect all that are connected: (a, b)."""
     prefixes, pivots = _prefixes(sets, percent)
-    fits = (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
-    pivot = pivots.groupBy("ord", "token").agg(F.min(F.struct("set_id", "n")).alias("pivot"))
+    pivot = pivots.groupBy("ord", "token").agg(F.min(F.struct("set_id", "n", "sketch")).alias("a")).select("ord", "token", "a.*")
     pairs = (
-        pivots.join(pivot, ["ord", "token"])
-        .select(F.col("pivot.set_id").alias("a"), F.col("pivot.n").alias("a_n"), F.col("set_id").alias("b"), F.col("n").alias("b_n"))
-        .filter((F.col("a") != F.col("b")) & fits)
-        .select("a", "b")
+        pivot.alias("a")
+        .join(pivots.alias("b"), (F.col("a.ord") == F.col("b.ord")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")) & _could_link(percent))
+        .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
         .distinct()
     )
     links = [_linked(pairs, sets, percent)]
     components = connected_components(links[0])
     for _ in range(PIVOT_ROUNDS):
-        # one class of each component in a posting list against the list's first
-        placed = _with_component(prefixes.filter("ord = 0"), components)
-        heads = placed.groupBy("token", "component").agg(F.min(F.struct("set_id", "n")).alias("head"))
-        firsts = heads.groupBy("token").agg(F.min("head").alias("first"), F.count("*").alias("parts")).filter("parts > 1")
+        placed = _with_component(prefixes.select("set_id", "n", "token", "sketch"), components)
+        heads = placed.groupBy("token", "component").agg(F.min(F.struct("set_id", "n", "sketch")).alias("head")).select("token", "component", "head.*")
+        first = Window.partitionBy("token").orderBy("set_id")
+        firsts = heads.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= PIVOTS_PER_LIST)
         pairs = (
-            heads.join(firsts, "token")
-            .select(F.col("first.set_id").alias("a"), F.col("first.n").alias("a_n"), F.col("head.set_id").alias("b"), F.col("head.n").alias("b_n"))
-            .filter((F.col("a") != F.col("b")) & fits)
-            .select("a", "b")
+            firsts.alias("a")
+            .join(heads.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")) & _could_link(percent))
+            .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
             .distinct()
         )
         more = _linked(pairs, sets, percent)
@@ -317,16 +340,23 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         links.append(more)
         components = connected_components(reduce(DataFrame.unionByName, links))
     placed = materialise(_with_component(prefixes, components), "jaccard-placed")
-    open_lists = placed.groupBy("ord", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    left = placed.join(open_lists.select("ord", "token"), ["ord", "token"], "left_semi")
-    a = left.select("ord", "token", F.col("set_id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-    b = left.select("ord", "token", F.col("set_id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
+    lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+    left = placed.select("set_id", "n", "token", "sketch", "component").join(lists, "token", "left_semi")
+    met = (
+        left.alias("a")
+        .join(
+            left.alias("b"),
+            (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component")) & _could_link(percent),
+        )
+        .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
+        .distinct()
+    )
+    others = placed.groupBy("set_id").agg(F.first("others").alias("others"))
+    under_all = reduce(lambda x, y: x & y, [F.arrays_overlap(F.col("x.others")[k], F.col("y.others")[k]) for k in range(ORDERS - 1)])
     pairs = (
-        a.join(b, ["ord", "token"])
-        .filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & fits)
-        .groupBy("a", "b")
-        .agg(F.expr("bit_or(shiftleft(1, CAST(ord AS int)))").alias("orders"))
-        .filter(F.col("orders") == (1 << ORDERS) - 1)
+        met.join(others.alias("x"), F.col("a") == F.col("x.set_id"))
+        .join(others.alias("y"), F.col("b") == F.col("y.set_id"))
+        .filter(under_all)
         .select("a", "b")
     )
     links.append(_linked(pairs, sets, percent))
