@@ -249,11 +249,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return materialise(found.dropDuplicates(["set_id"]), "jaccard-sets")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of classes that can link: rows (set_id, n, token, others, sketch) of the first order's prefix, and pivot keys.
-
-    ``others`` holds the prefixes under the other orders.
-    """
+def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of classes that can link: rows (set_id, n, token, sketch) of the first order's prefix, (set_id, others) with
+    the prefixes under the other orders, and pivot keys."""
     tokens = sets.select("set_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = (
@@ -279,7 +277,8 @@ def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                         prefixes.append(token[np.lexsort((tie, rank))[:length]].view(np.int64).tolist())
                     sketch = sketch_of(whole.values.to_numpy().view(np.uint64))
                     for t in prefixes[0]:
-                        yield known, n, 0, t, prefixes[1:], sketch
+                        yield known, n, 0, t, None, sketch
+                    yield known, n, 1, 0, prefixes[1:], None
                     for k in range(PIVOT_HASHES):
                         least = mix64(token ^ np.uint64((k + 1) * 0x7F4A7C15)).argmin()
                         yield known, n, -1 - k, int(token[least : least + 1].view(np.int64)[0]), None, sketch
@@ -288,7 +287,7 @@ def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     ddl = "set_id binary, n long, ord long, token long, others array<array<long>>, sketch array<long>"
     rows = materialise(shared.join(sets, "set_id").mapInArrow(cut, ddl), "jaccard-prefixes")
-    return rows.filter("ord >= 0").drop("ord"), rows.filter("ord < 0")
+    return rows.filter("ord = 0").drop("ord", "others"), rows.filter("ord = 1").select("set_id", "others"), rows.filter("ord < 0")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -313,7 +312,7 @@ def _could_link(percent: int) -> F.Column:
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links among classes that connect all that are connected: (a, b)."""
-    prefixes, pivots = _prefixes(sets, percent)
+    prefixes, others, pivots = _prefixes(sets, percent)
     pivot = pivots.groupBy("ord", "token").agg(F.min(F.struct("set_id", "n", "sketch")).alias("a")).select("ord", "token", "a.*")
     pairs = (
         pivot.alias("a")
@@ -324,7 +323,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     links = [_linked(pairs, sets, percent)]
     components = connected_components(links[0])
     for _ in range(PIVOT_ROUNDS):
-        placed = _with_component(prefixes.select("set_id", "n", "token", "sketch"), components)
+        placed = _with_component(prefixes, components)
         heads = placed.groupBy("token", "component").agg(F.min(F.struct("set_id", "n", "sketch")).alias("head")).select("token", "component", "head.*")
         first = Window.partitionBy("token").orderBy("set_id")
         firsts = heads.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= PIVOTS_PER_LIST)
@@ -351,7 +350,6 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
         .distinct()
     )
-    others = placed.groupBy("set_id").agg(F.first("others").alias("others"))
     under_all = reduce(lambda x, y: x & y, [F.arrays_overlap(F.col("x.others")[k], F.col("y.others")[k]) for k in range(ORDERS - 1)])
     pairs = (
         met.join(others.alias("x"), F.col("a") == F.col("x.set_id"))
