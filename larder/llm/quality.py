@@ -50,7 +50,7 @@ def _grams(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np
     A key is the length in the top byte, then the bytes.
     """
     key = np.zeros(len(data), np.int64)
-    for back in range(n):
+    for back in range(min(n, len(data))):
         key[back:] |= data[: len(data) - back].astype(np.int64) << (8 * back)
     place = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
     return key | (n << 56), place >= n - 1
