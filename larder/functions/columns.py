@@ -75,24 +75,25 @@ CHAMPIONS, LOYAL, NEW, MID_TIER, AT_RISK, LOST = (
 
 def rfm_class(r: Column, f: Column, m: Column) -> Column:
     """Rule-based class of a household from its three quintile scores."""
-    frequent, recent = f >= 4, r >= 4
+    # The ordered rules; the first that holds decides.
     return (
-        F.when(frequent, F.when(recent & (m >= 4), CHAMPIONS).otherwise(LOYAL))
-        .when(f == 3, F.when((r <= 2) & (m >= 3), AT_RISK).otherwise(MID_TIER))
-        .when(recent, NEW)
-        .when(r == 3, MID_TIER)
-        .otherwise(LOST)
+        F.when((r >= 4) & (f >= 4) & (m >= 4), CHAMPIONS)
+        .when(f >= 4, LOYAL)
+        .when((r >= 4) & (f <= 2), NEW)
+        .when((r >= 3) & (f >= 3), MID_TIER)
+        .when((r <= 2) & (f >= 3) & (m >= 3), AT_RISK)
+        .when((r <= 2) & (f <= 2), LOST)
+        .otherwise(MID_TIER)
     )
 
 
 def window_truncation(start: Column, end: Column, first: Column, last: Column) -> Column:
-    """How a campaign window sticks out of the observed window."""
-    early = F.coalesce(start < first, F.lit(False))
-    late = F.coalesce(end > last, F.lit(False))
+    """How a campaign window sticks out of the observed window: both sides, left, right, or not."""
     return (
-        F.when(~early & ~late, "within_window")
-        .when(early & late, "both_truncated")
-        .otherwise(F.when(early, "left_truncated").otherwise("right_truncated"))
+        F.when((start < first) & (end > last), "both_truncated")
+        .when(start < first, "left_truncated")
+        .when(end > last, "right_truncated")
+        .otherwise("within_window")
     )
 
 

@@ -10,7 +10,7 @@ from larder.functions.columns import at_midnight, calendar_quarter, ratio, round
 
 
 def quarters_active(clean: DataFrame, study: Study) -> DataFrame:
-    """Per household, the sorted list of quarters with a transaction in the study year."""
+    """Per household, the sorted list of quarters with a transaction before the study year's end."""
     ts = F.col("transaction_timestamp")
     return (
         clean.filter(ts < at_midnight(study.year_end))
@@ -47,7 +47,8 @@ def retention_matrix(clean: DataFrame, study: Study) -> DataFrame:
         .filter(F.col("subsequent_quarter") >= F.col("cohort_quarter"))
         .withColumn("n_retained", F.coalesce(F.element_at("kept", F.col("subsequent_quarter")), F.lit(0)))
     )
-    number = lambda c: F.right(c, F.lit(1)).cast("int")
+    # quarters counted through the years, so that distances cross year ends
+    number = lambda c: 4 * F.left(c, F.lit(4)).cast("int") + F.right(c, F.lit(1)).cast("int")
     return cohorts.select(
         "cohort_quarter",
         "subsequent_quarter",

@@ -127,9 +127,10 @@ exposure AS (
 campaign_exposure AS (
   SELECT household_id, campaign_id, campaign_type, start_date, end_date, duration_days, n_concurrent_campaigns,
          n_concurrent_campaigns > 0 AS has_concurrent_exposure,
-         CASE (CASE WHEN start_date < t0 THEN 1 ELSE 0 END) + (CASE WHEN end_date > t1 THEN 2 ELSE 0 END)
-              WHEN 0 THEN 'within_window' WHEN 1 THEN 'left_truncated'
-              WHEN 2 THEN 'right_truncated' ELSE 'both_truncated' END AS window_truncation,
+         CASE WHEN start_date < t0 AND end_date > t1 THEN 'both_truncated'
+              WHEN start_date < t0 THEN 'left_truncated'
+              WHEN end_date > t1 THEN 'right_truncated'
+              ELSE 'within_window' END AS window_truncation,
          CASE WHEN start_date > t0 THEN start_date ELSE t0 END AS effective_start,
          CASE WHEN end_date < t1 THEN end_date ELSE t1 END AS effective_end,
          CAST(date_diff('day', CASE WHEN start_date > t0 THEN start_date ELSE t0 END,
@@ -295,9 +296,13 @@ clv_split AS (
 _ANALYSIS = """,
 labelled AS (
   SELECT f.*,
-         CASE WHEN f_score >= 4 THEN CASE WHEN LEAST(r_score, m_score) >= 4 THEN 'Champions' ELSE 'Loyal' END
-              WHEN f_score = 3 THEN CASE WHEN r_score < 3 AND m_score >= 3 THEN 'At-Risk' ELSE 'Mid-tier' END
-              WHEN r_score > 3 THEN 'New/Returning' WHEN r_score = 3 THEN 'Mid-tier' ELSE 'Lost' END AS segment
+         CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
+              WHEN f_score >= 4 THEN 'Loyal'
+              WHEN r_score >= 4 AND f_score <= 2 THEN 'New/Returning'
+              WHEN r_score >= 3 AND f_score >= 3 THEN 'Mid-tier'
+              WHEN r_score <= 2 AND f_score >= 3 AND m_score >= 3 THEN 'At-Risk'
+              WHEN r_score <= 2 AND f_score <= 2 THEN 'Lost'
+              ELSE 'Mid-tier' END AS segment
   FROM household_features f
 ),
 redeemers AS (SELECT DISTINCT household_id FROM coupon_redemptions WHERE redemption_date < TIMESTAMP '2017-10-01'),

@@ -160,3 +160,14 @@ def test_class_of_scores(spark):
 def test_rounding_is_half_away_from_zero(spark):
     df = spark.createDataFrame([(0.125,), (-0.125,), (2.5,)], "x DOUBLE")
     assert [r[0] for r in df.select(round_to(F.col("x"), 2)).collect()] == [0.13, -0.13, 2.5]
+
+
+def test_retention_distance_crosses_year_ends(spark):
+    from larder.contract import Study
+    from larder.operators.retention import retention_matrix
+
+    clean = spark.sql(
+        "SELECT 1 AS household_id, CAST(t AS timestamp_ntz) AS transaction_timestamp FROM VALUES ('2016-12-15'), ('2017-02-01') AS v(t)"
+    )
+    got = {r.subsequent_quarter: r.quarters_since_cohort for r in retention_matrix(clean, Study()).collect()}
+    assert got == {"2016-Q4": 0, "2017-Q1": 1}
