@@ -45,7 +45,7 @@ from larder.session import materialise
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
-CHUNK_BYTES, SHARD_ANCHORS = 4 << 20, 1 << 19
+CHUNK_BYTES, SHARD_ANCHORS = 4 << 20, 1 << 17
 #: Bytes of a suffix array, and surroundings of one anchor that a task may hold.
 BUCKET_BYTES = 1 << 16
 HELD_SURROUNDINGS = 50_000
