@@ -16,7 +16,7 @@ import pyarrow as pa
 from larder.llm.common import ASCII_SPACE, mix64
 
 #: Bytes handled at once; a block ends where a word ends.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
