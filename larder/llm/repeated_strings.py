@@ -60,6 +60,17 @@ def _range_hashes(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, stop
         return mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _sliding(pick: np.ufunc, values: np.ndarray) -> np.ndarray:
+    """Least or greatest of each ``REACH`` + 1 neighbours, by doubling."""
+    width = 1
+    while 2 * width <= REACH + 1:
+        values = pick(values[:-width], values[width:])
+        width *= 2
+    if rest := REACH + 1 - width:
+        values = pick(values[:-rest], values[rest:])
+    return values
+
+
 def anchors_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, hash, hash of surroundings) of one text's anchors."""
     n = len(text)
@@ -70,22 +81,10 @@ def anchors_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         np.cumsum(_CODES[text] * power[:n], out=sums[1:])
         grams = mix64((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
-    # least hash of the REACH + 1 grams of each string, by doubling
-    width, least = 1, grams
-    while 2 * width <= REACH + 1:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if rest := REACH + 1 - width:
-        least = np.minimum(least[:-rest], least[rest:])
-    # a gram is an anchor if it is the least of a string that holds it
-    changed = np.flatnonzero(np.diff(least)) + 1
-    starts = np.concatenate([[0], changed])
-    stops = np.concatenate([changed, [len(least)]])
-    first, last = starts, stops - 1 + REACH
-    place = []
-    for low, high, value in zip(first.tolist(), last.tolist(), least[starts], strict=True):
-        place.append(low + np.flatnonzero(grams[low : high + 1] == value))
-    at = np.unique(np.concatenate(place))
+    # a gram is an anchor if it is the least of a string that holds it: the greatest of these strings' least hashes
+    least = _sliding(np.minimum, grams)
+    rim = np.zeros(REACH, np.uint64)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([rim, least, rim])) == grams)
     begin, end = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, n)
     around = _range_hashes(sums, inverse, begin, end)
     with np.errstate(over="ignore"):
