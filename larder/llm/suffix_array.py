@@ -30,6 +30,23 @@ def suffix_array(text: bytes) -> list[int]:
     last = n - 1
     while last >= 0:
         first = group[order[last]]
+        if first == last:  # a group of one needs no parts
+            s = order[first]
+            p = s - 1
+            while p >= 0 and group[p] >= first:
+                p = before[p]
+            before[s] = p
+            if p >= 0:
+                old = group[p]
+                at = end[old]
+                if at > old:
+                    other, hole = order[at], place[p]
+                    order[hole], order[at] = other, p
+                    place[other], place[p] = hole, at
+                    end[old] = at - 1
+                    end[at] = group[p] = at
+            last -= 1
+            continue
         found: dict[int, int] = defaultdict(int)
         for s in sorted(order[first : last + 1]):
             p = s - 1
