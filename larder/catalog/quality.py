@@ -15,6 +15,11 @@ def _loaded(stages):
     return {t: typed_scan(stages.spark, f"{stages.ingested}/{t}.parquet", t) for t in TABLES}
 
 
+def _stored(stages):
+    """The files as they are, before any cast."""
+    return {t: stages.spark.read.parquet(f"{stages.ingested}/{t}.parquet") for t in TABLES}
+
+
 @query("dq_rowcount_source", "panel", f"SELECT table_name, n AS loaded_rows, n AS source_rows, TRUE AS matches FROM ({_COUNTS})")
 def rowcount_source(stages):
     return dq.row_count_diff(_loaded(stages), stages.panel.tables())
@@ -40,12 +45,12 @@ def load_all(stages):
 
 @query("dq_types")
 def types(stages):
-    return dq.schema_report(_loaded(stages))
+    return dq.schema_report(_stored(stages))
 
 
 @query("dq_numeric_as_text")
 def numeric_as_text(stages):
-    return dq.numbers_kept_as_text(_loaded(stages))
+    return dq.numbers_kept_as_text(_stored(stages))
 
 
 @query(

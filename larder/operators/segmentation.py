@@ -38,7 +38,9 @@ SEGMENT_NAMES = ("Champions", "Loyal Actives", "Declining", "Truly Lapsed")
 SINGLE_TRIP = "Single-Trip"
 CHOSEN_K = 4
 SWEEP = range(2, 11)
-N_INIT, MAX_ITER, SEED, SEED_DRAW = 20, 500, 42, 2_000
+N_INIT, MAX_ITER, SEED = 20, 500, 42
+# Candidates for starting centres: rounds, and candidates a round per centre.
+SEED_ROUNDS, OVERSAMPLING = 4, 2
 CORRELATED, NEARLY_SAME = 0.70, 0.80
 
 
@@ -94,25 +96,54 @@ def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
-def _spread_out(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k starting centres, each drawn with odds of its squared distance to the earlier ones."""
-    chosen = [points[rng.integers(len(points))]]
+def _spread_out(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the weighted points, each drawn with odds of its squared distance to the earlier ones."""
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
     for _ in range(k - 1):
-        nearest = ((points[:, None, :] - np.array(chosen)[None]) ** 2).sum(axis=2).min(axis=1)
+        nearest = weights * ((points[:, None, :] - np.array(chosen)[None]) ** 2).sum(axis=2).min(axis=1)
         odds = nearest / nearest.sum() if nearest.sum() > 0 else None
         chosen.append(points[rng.choice(len(points), p=odds)])
     return np.array(chosen)
 
 
+def _with_nearest(df: DataFrame, columns: Sequence[str], points: np.ndarray) -> DataFrame:
+    """Each row with its nearest point's number, ``near``, and squared distance, ``far``."""
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[list(columns)].to_numpy(float)
+            far = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ points.T + (points**2).sum(axis=1)[None, :], 0.0)
+            near = far.argmin(axis=1)
+            yield batch.assign(near=near.astype("int32"), far=far[np.arange(len(x)), near])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(measured, f"{fields}, near INT, far DOUBLE")
+
+
 def starting_centres(df: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int) -> dict:
-    """Centres for every (k, start), spread over a fixed-size draw of households.
+    """Centres for every (k, start), spread over candidates that all households stand for.
 
-    The draw only seeds the search; every pass after it reads all rows.
+    Each round keeps households with odds of their squared distance to the candidates so
+    far, ``OVERSAMPLING`` times the largest k of them on average, however large the panel.
+    Candidates weigh as many households as they are nearest to.
     """
-    draw = df.orderBy(F.xxhash64("household_id", F.lit(SEED)), "household_id").limit(SEED_DRAW)
-    points = draw.select(*columns).toPandas().to_numpy(float)
+    names, spread = list(columns), OVERSAMPLING * max(ks)
+    rows = df.select("household_id", *[F.col(c).cast("double").alias(c) for c in names])
+    lowest = F.struct(F.xxhash64("household_id", F.lit(SEED)), "household_id")
+    points = np.array([rows.agg(F.min_by(F.array(*names), lowest)).first()[0]], float)
+    for turn in range(1, SEED_ROUNDS + 1):
+        measured = _with_nearest(rows, names, points)
+        cost = measured.agg(F.sum("far")).first()[0]
+        if not cost:
+            break
+        draw = F.xxhash64("household_id", F.lit(SEED + turn)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+        drawn = measured.filter(draw * cost < F.col("far") * spread).select(*names).toPandas().to_numpy(float)
+        points = np.unique(np.vstack([points, drawn]), axis=0)
+    weights = np.zeros(len(points))
+    for row in _with_nearest(rows, names, points).groupBy("near").count().collect():
+        weights[row["near"]] = row["count"]
     return {
-        (k, start): _spread_out(points, k, np.random.default_rng([SEED, k, start]))
+        (k, start): _spread_out(points, weights, k, np.random.default_rng([SEED, k, start]))
         for k in ks
         for start in range(n_init)
     }

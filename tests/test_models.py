@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import causal as ca
-from larder.operators import ranks
 from larder.operators import segmentation as sg
 from larder.operators.linear import Scale, breusch_pagan, ordinary_least_squares, ridge_by_folds
 from larder.operators.resampling import bootstrap_means, poisson_draws
@@ -79,6 +78,16 @@ def test_kmeans_finds_separate_blobs(spark):
     assert sorted(r["count"] for r in sizes) == [60, 60, 60]
 
 
+def test_kmeans_finds_a_cluster_of_one_in_a_thousand(spark):
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(size=(19_980, 2)), rng.normal(size=(20, 2)) + 60])
+    df = materialise(spark.createDataFrame(pd.DataFrame(points, columns=["x", "y"]).assign(household_id=range(20_000))), "rare")
+    centres, _ = sg.kmeans_runs(df, ["x", "y"], [2], n_init=3)[2]
+    assert np.allclose(sorted(map(tuple, centres.round(0))), [(0, 0), (60, 60)], atol=1)
+    first, again = (sg.starting_centres(d, ["x", "y"], [2], 3) for d in (df, df.repartition(7)))
+    assert all(np.allclose(first[run], again[run]) for run in first)
+
+
 def test_choose_k_follows_the_rule(spark):
     rows = [(2, 0.40, 100.0, 9.0), (3, 0.39, 60.0, 8.0), (4, 0.20, 50.0, 7.0), (5, 0.38, 45.0, 6.0)]
     sweep = spark.createDataFrame(rows, "k INT, silhouette DOUBLE, inertia DOUBLE, calinski_harabasz DOUBLE")
@@ -86,9 +95,7 @@ def test_choose_k_follows_the_rule(spark):
     assert (row.silhouette_k, row.ch_k, row.elbow_k, row.chosen_k) == (2, 2, 3, 3)
 
 
-@pytest.mark.parametrize("direct_rows", [0, 200_000])
-def test_holdout_is_exact_per_stratum_and_stable(spark, monkeypatch, direct_rows):
-    monkeypatch.setattr(ranks, "DIRECT_ROWS", direct_rows)
+def test_holdout_is_exact_per_stratum_and_stable(spark):
     df = materialise(spark.range(1000).select(F.col("id").alias("key"), (F.col("id") % 10 == 0).cast("double").alias("s")), "h")
     first = holdout_flag(df, F.col("s"), "key")
     counts = {(r.s, r.is_holdout): r["count"] for r in first.groupBy("s", "is_holdout").count().collect()}

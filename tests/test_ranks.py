@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larder.operators import ranks
 from larder.operators.ranks import Ntile, medians, quantiles, with_ntiles
 from larder.session import materialise
 
@@ -19,11 +18,6 @@ def skewed(spark):
     return materialise(df, "skewed")
 
 
-@pytest.fixture(params=[0, ranks.DIRECT_ROWS], ids=["sketch", "direct"], autouse=True)
-def path(request, monkeypatch):
-    monkeypatch.setattr(ranks, "DIRECT_ROWS", request.param)
-
-
 @pytest.mark.parametrize("buckets,descending", [(5, False), (10, True), (7, False)])
 def test_ntile_equals_window_with_hot_ties_and_nulls(skewed, buckets, descending):
     got = with_ntiles(skewed, [Ntile("tile", "x", buckets, descending)], "key")

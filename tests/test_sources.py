@@ -41,6 +41,14 @@ def test_text_for_a_number_is_reported(spark):
     assert [r.column_name for r in dq.numbers_kept_as_text({"campaigns": df}).collect()] == ["campaign_id"]
 
 
+def test_retyped_file_is_reported(spark):
+    path = scratch_path(spark, "retyped")
+    spark.createDataFrame([("1", 2)], "campaign_id STRING, household_id INT").write.parquet(path)
+    report = dq.schema_report({"campaigns": spark.read.parquet(path)})
+    assert [(r.column_name, r.actual_type) for r in report.filter("not matches").collect()] == [("campaign_id", "string")]
+    assert dq.schema_report({"campaigns": typed_scan(spark, path, "campaigns")}).filter("not matches").isEmpty()
+
+
 def test_orphans_nulls_and_duplicates(spark):
     campaigns = spark.createDataFrame([(1, 1), (1, 1), (9, 2), (9, 3), (None, 4)], "campaign_id SMALLINT, household_id INT")
     nulls = {r.column_name: r.n_null for r in dq.null_keys({"campaigns": campaigns}).collect()}
