@@ -89,7 +89,8 @@ def anchors_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     around = _range_hashes(sums, inverse, begin, end)
     with np.errstate(over="ignore"):
         around = mix64(around + (at - begin).astype(np.uint64))
-    return at, grams[at], around
+    # anchors are small hashes; mixed again, they spread evenly over shards
+    return at, mix64(grams[at]), around
 
 
 def _planes(values: np.ndarray) -> bytes:
