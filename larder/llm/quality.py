@@ -10,11 +10,14 @@ Scoring joins every byte position with the stored model, shard by shard: a task
 holds one shard of bounded size at a time. Positions that no shard has as a full
 n-gram back off through ever shorter histories.
 
-A document is rejected if its perplexity exceeds its language's threshold, which
-is ``median + SPREAD * (upper - median)`` of the held-out trusted documents' log
-perplexity, upper being their ``UPPER`` quantile. A short text says little: each is
-judged as if ``PRIOR_BYTES`` bytes of median perplexity were added. A language with
-fewer than ``LEAST`` held-out documents uses the threshold of all of them.
+A short text says little, so a text's excess is its log perplexity less the median of
+its language, as if ``PRIOR_BYTES`` bytes of median perplexity were added to it. A
+document is rejected if its excess is above the ``LEVEL`` quantile of its language's
+held-out trusted documents: that share of them stays, whatever their spread. Medians
+and quantiles are exact, the quantile linearly interpolated. A language with fewer than
+``LEAST`` held-out documents uses the median and the quantile of all of them. ``LEVEL``
+is the least that keeps 99.5 % of held-out trusted documents, and ``PRIOR_BYTES`` the
+length up to 1,024 that let fewest bad and toxic documents pass at it; README has figures.
 
 Nulls and ties: a null or empty text has no perplexity and is rejected; a null
 language is a language of its own. A document whose labels disagree is not trusted.
@@ -34,12 +37,13 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import batches_of, fresh, make_folder, open_input, open_output, prepare
 from larder.llm.words import HashIndex, text_bytes
+from larder.operators.ranks import quantiles
 from larder.session import materialise, scratch_path
 
 ORDER = 5
 SHARD_GRAMS = 2_000_000
-UPPER, SPREAD, LEAST = 0.95, 6.0, 20
-PRIOR_BYTES = 64
+LEVEL, LEAST = 0.995, 20
+PRIOR_BYTES = 1024
 HELD_OUT_OF = 5
 _SLICE = 1 << 21
 
@@ -259,14 +263,33 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Threshold per language from rows (lang, log_ppl) of held-out trusted documents, and for all as ``overall``."""
-    columns = [F.percentile("log_ppl", F.array(F.lit(0.5), F.lit(UPPER))).alias("q"), F.count("log_ppl").alias("n")]
-    limit = F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])
-    slack = SPREAD * (F.col("q")[1] - F.col("q")[0])
-    every = scored.agg(*columns).select(limit.alias("overall"), slack.alias("overall_slack"))
-    own = scored.groupBy("lang").agg(*columns).filter(F.col("n") >= LEAST).select(F.col("lang").alias("known_lang"), limit.alias("own"), slack.alias("slack"))
-    return own, every
+def _lang_key(lang: F.Column) -> F.Column:
+    """A language as a key that is never null."""
+    return F.when(lang.isNull(), "").otherwise(F.concat(F.lit("="), lang.cast("string")))
+
+
+def _limit(size: F.Column, median: F.Column, excess: F.Column) -> F.Column:
+    """The log perplexity at which a text of so many bytes has this excess."""
+    return median + excess * (1 + PRIOR_BYTES / F.greatest(F.lit(1), size))
+
+
+def thresholds(scored: DataFrame) -> DataFrame:
+    """Rows (key, median, excess) per language with enough rows (lang, size, log_ppl), and for all with key ``all``.
+
+    ``scored`` holds the held-out trusted documents; it is read several times: pass a stored table.
+    """
+    keys = F.array(_lang_key(F.col("lang")), F.lit("all"))
+    rows = scored.filter("log_ppl IS NOT NULL").select(F.explode(keys).alias("key"), "size", "log_ppl")
+    enough = rows.groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") >= LEAST) | (F.col("key") == "all"))
+    medians = materialise(
+        quantiles(rows, ["key"], ["log_ppl"], [0.5]).join(enough, "key", "left_semi").select("key", F.col("quantile").alias("median")), "trusted-medians"
+    )
+    excess = materialise(
+        rows.join(medians, "key").select("key", ((F.col("log_ppl") - F.col("median")) * F.col("size") / (F.col("size") + PRIOR_BYTES)).alias("excess")),
+        "trusted-excess",
+    )
+    upper = quantiles(excess, ["key"], ["excess"], [LEVEL]).select("key", F.col("quantile").alias("excess"))
+    return materialise(medians.join(upper, "key"), "thresholds")
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, str]:
@@ -278,23 +301,25 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     places = shards_of(train(good))
     log_ppl, name = fresh(docs, "log_ppl"), fresh(docs, "quality")
-    small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    small = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("size")
+    )
     held = materialise(
         with_log_perplexity(
-            small.join(ids.filter("held_out"), F.col("doc_id") == F.col("trusted_id"), "left_semi"), places, "log_ppl", carry=["lang"]
+            small.join(ids.filter("held_out"), F.col("doc_id") == F.col("trusted_id"), "left_semi"), places, "log_ppl", carry=["lang", "size"]
         ),
         "trusted-scores",
     )
-    own, every = thresholds(held.filter("log_ppl IS NOT NULL"))
-    own, overall = materialise(own, "thresholds"), every.first()
+    limits = thresholds(held)
+    own, overall = limits.filter("key <> 'all'"), limits.filter("key = 'all'").first()
     scored = with_log_perplexity(docs, places, log_ppl, text_col)
     key = fresh(scored, "limit")
-    own = own.select(F.struct("known_lang", "own", "slack").alias(key))
-    limit = F.coalesce(F.col(f"{key}.own"), F.lit(overall["overall"]).cast("double"), F.lit(float("inf")))
-    slack = F.coalesce(F.col(f"{key}.slack"), F.lit(overall["overall_slack"]).cast("double"), F.lit(0.0))
-    limit = limit + slack * PRIOR_BYTES / F.greatest(F.lit(1), F.octet_length(F.col(text_col)))
+    own = own.select(F.struct("key", "median", "excess").alias(key))
+    size = F.octet_length(F.col(text_col))
+    general = _limit(size, F.lit(overall["median"]), F.lit(overall["excess"])) if overall else F.lit(float("inf"))
+    limit = F.coalesce(_limit(size, F.col(f"{key}.median"), F.col(f"{key}.excess")), general)
     struct = F.struct(F.col(log_ppl).alias("log_ppl"), limit.alias("threshold"), F.coalesce(F.col(log_ppl) <= limit, F.lit(False)).alias("accepted"))
-    joined = scored.join(F.broadcast(own) if own.count() <= 10_000 else own, F.col(lang_col).eqNullSafe(F.col(f"{key}.known_lang")), "left")
+    joined = scored.join(F.broadcast(own) if own.count() <= 10_000 else own, _lang_key(F.col(lang_col)) == F.col(f"{key}.key"), "left")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], struct.alias(name)), name
 
 

@@ -373,6 +373,29 @@ def test_quality_rejects_junk_and_keeps_clean_text(spark, docs, odd, nothing):
     assert quality.accepted_documents(nothing, labels).count() == 0
 
 
+def test_thresholds_are_quantiles_of_their_language(spark):
+    rng = np.random.default_rng(3)
+    sizes, values = rng.integers(1, 5000, 800), rng.exponential(1.0, 800)
+    langs = ["aa" if i < 500 else None if i < 790 else "few" for i in range(800)]
+    got = {r.key: r for r in quality.thresholds(spark.createDataFrame(list(zip(langs, sizes.tolist(), values.tolist())), "lang string, size int, log_ppl double")).collect()}
+    assert set(got) == {"=aa", "", "all"}  # a null language is its own; too small a one uses that of all
+    for key, part in (("=aa", slice(0, 500)), ("", slice(500, 790)), ("all", slice(0, 800))):
+        median = np.median(values[part])
+        excess = (values[part] - median) * sizes[part] / (sizes[part] + quality.PRIOR_BYTES)
+        assert np.isclose(got[key].median, median) and np.isclose(got[key].excess, np.quantile(excess, quality.LEVEL))
+
+
+def test_quality_rejects_bad_and_toxic_documents_and_keeps_held_out_ones(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = quality.trusted_ids(labels).filter("held_out").toPandas().trusted_id
+    got = quality.document_quality(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels, "doc_id").toPandas()
+    assert got[got.doc_id.isin(held)].accepted.mean() >= 0.95
+    assert got[(got.quality == 1) & (got.toxic == 0)].accepted.mean() >= 0.985
+    assert got[got.quality == 0].accepted.mean() <= 0.03
+    assert got[got.toxic == 1].accepted.mean() <= 0.5
+
+
 # mixing
 
 
