@@ -22,8 +22,10 @@ let documents pass.
 
 Nulls and ties: documents without words have an empty set and no link. Fewer words
 than the shingle size make one shingle. A null id takes part and is never a
-component's name unless it is alone. Rows with equal ids are the same document to
-``without_near_duplicates``. Empty tables give no rows; other columns are ignored.
+component's name unless it is alone. ``without_near_duplicates`` tells rows apart by a
+row number, so rows with null or equal ids are rows of their own: of each group one row
+stays, that of least id, nulls last, then of least hash of its text, then the first.
+Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import batches_of, mix64, prepare, rows_of, shuffle_tasks
+from larder.llm.common import batches_of, fresh, mix64, prepare, rows_of, shuffle_tasks
 from larder.llm.components import connected_components
 from larder.llm.words import sequences, words_of
 from larder.session import materialise
@@ -384,7 +386,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document, that of least id, of each group of near-duplicates; with its columns."""
-    found = jaccard_components(docs, id_col, text_col, size, percent)
-    leads = materialise(found.filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct(), "jaccard-kept")
-    return docs.join(leads, docs[id_col].cast("long").eqNullSafe(leads["kept_id"]), "left_semi")
+    """One row, that of least id, of each group of near-duplicates; with its columns."""
+    prepare(docs.sparkSession)
+    row = fresh(docs, "row_number")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+    found = jaccard_components(numbered, row, text_col, size, percent).select(F.col("doc_id").alias("row"), "component_id")
+    known = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "hash", "row")).alias("first")
+    leads = materialise(found.join(known, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias(row)), "jaccard-kept")
+    return numbered.join(leads, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -282,6 +282,30 @@ def test_near_duplicates_leave_one(odd, nothing):
     assert jaccard_join.without_near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_leave_one_row_with_null_and_repeated_ids(spark):
+    copied, other, third = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    data = [(7, copied), (None, copied), (None, copied + " x"), (7, copied), (7, other), (9, other), (None, third), (None, third), (7, "alone"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, kept_row int")
+    kept = jaccard_join.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    groups = brute_components([(k, t) for k, (_, t) in enumerate(data)], 5, 80)
+    found = kept.collect()
+    assert collections.Counter(groups[r.kept_row][1] for r in found) == dict.fromkeys((g for _, g in groups.values()), 1)
+    assert sorted((r.doc_id or 0, r.text or "") for r in found) == sorted([(7, copied), (7, other), (0, third), (7, "alone"), (0, ""), (0, "")])
+
+
+def test_pipeline_leaves_one_of_each_group(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(20))
+    good = corpus_pipeline.quality(spark, docs, SMALL)
+    texts = [(k, r.text) for k, r in enumerate(good.select("text").distinct().collect())]
+    groups = {t: g for (_, t), (_, g) in zip(texts, (brute_components(texts, 5, 80)[k] for k, _ in texts), strict=True)}
+    left = collections.Counter(groups[r.text] for r in corpus_pipeline.near_duplicates(spark, good, SMALL).collect())
+    assert max(left.values()) == 1 and set(left) == set(groups.values())
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
