@@ -16,8 +16,9 @@ document is rejected if its excess is above the ``LEVEL`` quantile of its langua
 held-out trusted documents: that share of them stays, whatever their spread. Medians
 and quantiles are exact, the quantile linearly interpolated. A language with fewer than
 ``LEAST`` held-out documents uses the median and the quantile of all of them. ``LEVEL``
-is the least that keeps 99.5 % of held-out trusted documents, and ``PRIOR_BYTES`` the
-length up to 1,024 that let fewest bad and toxic documents pass at it; README has figures.
+is set to keep 99.5 % of held-out trusted documents, and ``PRIOR_BYTES`` is the one of
+five lengths up to 1,024 at which fewest bad and toxic documents in all pass; README has
+figures.
 
 Nulls and ties: a null or empty text has no perplexity and is rejected; a null
 language is a language of its own. A document whose labels disagree is not trusted.
