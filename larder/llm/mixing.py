@@ -36,7 +36,7 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 20_250_101
 #: Lower bounds of size of the four passes, and hash cells per source in each.
-STRATA = (2048, 256, 32, 0)
+SIZE_BOUNDS = (2048, 256, 32, 0)
 CELLS = 4096
 
 
@@ -114,8 +114,8 @@ def _cut(part: DataFrame, goals: DataFrame) -> DataFrame:
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """Size, stratum and seeded place of each document, in new columns after those of ``docs``."""
     size, code = fresh(docs, "mix_size"), fresh(docs, "mix_code")
-    stratum = F.when(F.col(size) >= STRATA[0], 0)
-    for number, least in enumerate(STRATA[1:], 1):
+    stratum = F.when(F.col(size) >= SIZE_BOUNDS[0], 0)
+    for number, least in enumerate(SIZE_BOUNDS[1:], 1):
         stratum = stratum.when(F.col(size) >= least, number)
     return docs.withColumns({size: n_words(F.col(text_col)), code: F.xxhash64(F.lit(seed), F.col(id_col).cast("long"))}).select(
         *docs.columns,
@@ -136,7 +136,7 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epoch
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio))
     goals, cuts = targets.select("source", "fraction", F.lit(0.0).alias("owed")), []
-    for stratum in range(len(STRATA)):
+    for stratum in range(len(SIZE_BOUNDS)):
         cut = materialise(_cut(sizes.filter(F.col("stratum") == stratum), goals), "mix-cuts")
         cuts.append(cut.withColumn("stratum", F.lit(stratum)))
         goals = (
