@@ -186,3 +186,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.repeated_strings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    f"""
+    WITH l AS (
+        SELECT doc_id, i, line, {_LOWER.format("regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')")} AS k
+        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+    ), common AS (
+        SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+    )
+    SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.k IS NULL), '')) AS kept_sha256
+    FROM l LEFT JOIN common AS c ON l.k = c.k GROUP BY doc_id
+    """
+)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
