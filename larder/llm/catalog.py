@@ -206,3 +206,74 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.line_dedup import line_dedup
 
     return line_dedup(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    r"""
+    WITH RECURSIVE rows AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS k
+        FROM conversations
+    ), kinds AS (
+        SELECT conv_id, turn, role, text,
+               xor(list_reduce(
+                   list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(k)), lambda i: CAST('0x' || substr(hex(k), CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+                   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))
+               ), 4294967295) % 20 AS kind
+        FROM rows
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM kinds WHERE kind <> 0
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+    ), marked AS (
+        SELECT conv_id, turn, role, text, i, left(role, 1) AS r,
+               regexp_replace(text, '[\x20\x09-\x0D]+$', '') = '' AS blank,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+               right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') AS cut,
+               lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+        FROM placed
+    ), moves(f, x, t) AS (
+        VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+    ), inserts(f, t, c, e, said) AS (
+        VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+               (0, 2, 2, 'I', E'user:\n'), (1, 2, 2, 'I', E'user:\n'), (3, 2, 2, 'I', E'user:\n'), (2, 3, 2, 'I', E'assistant:\n'),
+               (0, 3, 4, 'II', E'user:\nassistant:\n'), (1, 3, 4, 'II', E'user:\nassistant:\n')
+    ), acts AS (
+        SELECT conv_id, i, f, f AS t, 3 AS c, 'D' AS e, '' AS said FROM marked, (SELECT DISTINCT unnest([0, 1, 2, 3]) AS f)
+        UNION ALL
+        SELECT conv_id, i, f, t, CAST(cut AS INT), 'K', role || ':' || text || chr(10) FROM marked JOIN moves ON x = r WHERE NOT blank AND NOT again
+        UNION ALL
+        SELECT conv_id, i, f, t, 2 + CAST(cut AS INT), 'R', CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text || chr(10)
+        FROM marked, moves WHERE x <> 's' AND NOT blank AND NOT again
+    ), steps AS (
+        SELECT conv_id, i, a.f, n.t, a.c + n.c AS c, a.e || n.e AS e, a.said || n.said AS said FROM acts AS a JOIN inserts AS n ON n.f = a.t
+    ), tops(conv_id, i, state, best) AS (
+        SELECT DISTINCT conv_id, 0, t, row(c, e, said) FROM (SELECT DISTINCT conv_id FROM marked), inserts WHERE inserts.f = 0
+        UNION ALL
+        SELECT s.conv_id, s.i, s.t, min(row(best[1] + c, best[2] || e, best[3] || said))
+        FROM tops JOIN steps AS s ON s.conv_id = tops.conv_id AND s.i = tops.i + 1 AND s.f = tops.state
+        GROUP BY s.conv_id, s.i, s.t
+    ), ends AS (
+        SELECT conv_id, min(best) AS best FROM tops JOIN (SELECT conv_id, max(i) AS i FROM marked GROUP BY conv_id) USING (conv_id, i)
+        WHERE state IN (0, 3) GROUP BY conv_id
+    ), sums AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+               count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM marked GROUP BY conv_id
+    )
+    SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           CAST(coalesce(best[1], 0) AS BIGINT) AS cost, coalesce(best[2], '') AS audit,
+           sha256(CASE WHEN coalesce(best[3], '') = '' THEN '' ELSE left(best[3], length(best[3]) - 1) END) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN sums USING (conv_id) LEFT JOIN ends USING (conv_id)
+    """
+)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.conversation_repair import conversation_repair
+
+    return conversation_repair(table(spark, sf_dir, "conversations"))
