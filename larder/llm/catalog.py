@@ -277,3 +277,40 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.conversation_repair import conversation_repair
 
     return conversation_repair(table(spark, sf_dir, "conversations"))
+
+
+@_query(
+    f"""
+    WITH p AS (
+        SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+    ), f AS (
+        SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, any_value(w[i:i + size - 1]) AS w, count(*) AS c
+        FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)
+        GROUP BY ALL
+    ), n AS (
+        SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+    ), candidate AS (
+        SELECT * FROM f WHERE size >= 2 AND c >= 10
+    ), cut AS (
+        SELECT x.lang, x.phrase, x.c AS a, k, l.c AS l, r.c AS r,
+               CAST(1000000 * CAST(x.c AS HUGEINT) * x.c // (CAST(l.c AS HUGEINT) * r.c) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM candidate) AS x
+        JOIN f AS l ON l.lang = x.lang AND l.size = k AND l.phrase = array_to_string(x.w[1:k], ' ')
+        JOIN f AS r ON r.lang = x.lang AND r.size = x.size - k AND r.phrase = array_to_string(x.w[k + 1:], ' ')
+    ), lowest AS (
+        SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ), longer AS (
+        SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(c) AS most
+        FROM (SELECT lang, w, c, unnest([1, 2]) AS i FROM candidate WHERE size = 3) GROUP BY ALL
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM lowest JOIN n USING (lang) LEFT JOIN longer USING (lang, phrase)
+    WHERE most IS NULL OR 100 * most < 50 * a
+    QUALIFY rank <= 2000
+    """
+)
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
