@@ -28,8 +28,8 @@ LEDGER_KEYS = ("household_id", "store_id", "basket_id", "week", "transaction_tim
 def trip_ledger(transactions: DataFrame, products: DataFrame, study: Study) -> DataFrame:
     """Clean lines summed per household, store, basket and time, in whole cents.
 
-    Every block except the product one is a further sum of this table, so the
-    line items are read once. The grouping key is wide enough that a dominant
+    The single blocks below are further sums of this table; ``household_sums`` makes
+    all of them from one scan. The grouping key is wide enough that a dominant
     household spreads over all partitions.
     """
     weighed = F.when(is_weight_sold(study), cents(F.col("sales_value"))).otherwise(F.lit(0))
@@ -200,16 +200,3 @@ def product_block(spend: DataFrame, study: Study) -> DataFrame:
             F.col("best.name").alias("top_category"),
         )
     )
-
-
-def behaviour_blocks(
-    ledger: DataFrame, spend: DataFrame, as_of: date, halves: Halves, study: Study
-) -> list[DataFrame]:
-    """The blocks shared by the full-period and the observation-window tables."""
-    return [
-        spend_block(ledger, as_of, study),
-        store_block(ledger),
-        cadence_block(ledger),
-        trend_block(ledger, halves, study),
-        product_block(spend, study),
-    ]

@@ -8,17 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.columns import dollars, rfm_code
+from larder.functions.columns import rfm_code
 from larder.operators.cleaning import households, transactions_base, transactions_clean, with_demographics
 from larder.operators.exposure import campaign_block, campaign_exposure, concurrency
-from larder.operators.features import (
-    before,
-    behaviour_blocks,
-    category_spend,
-    from_day,
-    rfm_raw,
-    trip_ledger,
-)
+from larder.operators.features import rfm_raw, trip_ledger
+from larder.operators.household_sums import household_sums
 from larder.operators.ranks import Ntile, with_ntiles
 from larder.session import materialise
 from larder.sources.panel import Panel
@@ -90,21 +84,19 @@ def v_rfm_features(panel: Panel) -> DataFrame:
     return scored.withColumn("rfm_code", rfm_code("r_score", "f_score", "m_score")).select(*RFM_COLUMNS)
 
 
-def _left_join_all(spine: DataFrame, blocks: list[DataFrame]) -> DataFrame:
-    return reduce(lambda left, right: left.join(right, "household_id", "left"), blocks, spine)
+def household_table(panel: Panel) -> DataFrame:
+    """Every measure of a household but its scores; line items are scanned once."""
+    study = panel.study
+    sums = household_sums(panel.transactions, panel.products, study.analysis_date, study.trend_halves, study)
+    exposed = concurrency(panel.campaigns, panel.campaign_descriptions)
+    campaigns = campaign_block(exposed, panel.coupon_redemptions)
+    return with_demographics(sums.join(campaigns, "household_id", "left"), panel.demographics)
 
 
 def v_household_features(panel: Panel) -> DataFrame:
     """One row per household: scores, behaviour, campaigns and cadence buckets."""
-    study = panel.study
-    ledger = materialise(trip_ledger(panel.transactions, panel.products, study), "ledger")
-    spend = category_spend(panel.transactions, panel.products, study)
-    spine, *blocks = behaviour_blocks(ledger, spend, study.analysis_date, study.trend_halves, study)
-    exposed = concurrency(panel.campaigns, panel.campaign_descriptions)
-    blocks.append(campaign_block(exposed, panel.coupon_redemptions))
-    assembled = with_demographics(_left_join_all(spine, blocks), panel.demographics)
     scored = with_ntiles(
-        materialise(assembled, "household-features"), (*RFM_NTILES, *FEATURE_NTILES), "household_id"
+        materialise(household_table(panel), "household-features"), (*RFM_NTILES, *FEATURE_NTILES), "household_id"
     )
     return scored.withColumn("rfm_code", rfm_code("r_score", "f_score", "m_score")).select(
         *RFM_COLUMNS,
@@ -121,32 +113,27 @@ def v_household_features(panel: Panel) -> DataFrame:
 
 
 def v_clv_split(panel: Panel) -> DataFrame:
-    """Features from before the split date beside net revenue from after it."""
+    """Features from before the split date beside net revenue from after it; line items are scanned once."""
     study = panel.study
     split = study.split_date
-    ledger = materialise(trip_ledger(panel.transactions, panel.products, study), "ledger")
-    spend = category_spend(before(panel.transactions, split), panel.products, study)
-    blocks = behaviour_blocks(before(ledger, split), spend, split, study.split_halves, study)
-    observed = _left_join_all(blocks[0], blocks[1:])
-    observed = observed.select(
-        "household_id",
-        *[
-            F.col(c).alias(f"obs_{c}")
-            for c in ("recency_days", "frequency", "monetary", "tenure_days", *BEHAVIOUR_COLUMNS)
-        ],
-    )
-    target = from_day(ledger, split).groupBy("household_id").agg(dollars(F.sum("net")).alias("clv_pred_window"))
+    sums = household_sums(panel.transactions, panel.products, split, study.split_halves, study, split)
+    observed = ("recency_days", "frequency", "monetary", "tenure_days", *BEHAVIOUR_COLUMNS)
     exposed = concurrency(panel.campaigns, panel.campaign_descriptions)
     campaigns = campaign_block(exposed, before_redemption(panel.coupon_redemptions, split)).withColumnRenamed(
         "redemption_propensity", "obs_redemption_propensity"
     )
-    # every clean household is in one window or the other
-    joined = observed.join(target, "household_id", "full").join(campaigns, "household_id", "left")
     named = with_demographics(
-        joined, panel.demographics, "age", "income", "household_size", "kids_count", "marital_status"
+        sums.join(campaigns, "household_id", "left"),
+        panel.demographics,
+        "age",
+        "income",
+        "household_size",
+        "kids_count",
+        "marital_status",
     )
     return named.select(
-        *observed.columns,
+        "household_id",
+        *[F.col(c).alias(f"obs_{c}") for c in observed],
         "is_concurrent_arm",
         "n_campaigns_exposed",
         "obs_redemption_propensity",
@@ -155,8 +142,8 @@ def v_clv_split(panel: Panel) -> DataFrame:
         "household_size",
         "kids_count",
         "marital_status",
-        F.coalesce("clv_pred_window", F.lit(0.0)).alias("clv_pred_window"),
-        F.col("obs_recency_days").isNull().alias("is_pred_only"),
+        F.col("later_net").alias("clv_pred_window"),
+        (~F.col("observed")).alias("is_pred_only"),
     )
 
 

@@ -1,7 +1,7 @@
 """Edge rules of cleaning, feature blocks and exposure on hand-made rows."""
 
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +10,12 @@ from larder.contract import TABLES, Study
 from larder.functions.columns import rfm_class, round_to, window_truncation
 from larder.operators import exposure, features
 from larder.operators.cleaning import households, transactions_base, transactions_clean
+from larder.operators.household_sums import household_sums
 from larder.operators.retention import retention_matrix
+from larder.plans import views
+from larder.sources.panel import derive_panel
 
+SMALL = "/root/testdata/sf0.001"
 STUDY = Study(weight_sold_products=(7,))
 
 
@@ -171,3 +175,45 @@ def test_retention_distance_crosses_year_ends(spark):
     )
     got = {r.subsequent_quarter: r.quarters_since_cohort for r in retention_matrix(clean, Study()).collect()}
     assert got == {"2016-Q4": 0, "2017-Q1": 1}
+
+
+def test_household_sums_equal_the_single_blocks(spark):
+    """Baskets over several weeks and stores, one-day and late households, unknown products: one scan gives every block."""
+    rng = random.Random(4)
+    rows = []
+    for household in range(1, 25):
+        for _ in range(rng.choice([1, 3, 40])):
+            day = date(2017, 1, 1) + timedelta(days=rng.choice([5, 6, rng.randrange(364), rng.randrange(280, 364)]))
+            rows.append((household, rng.randrange(3), rng.randrange(12), rng.choice([1, 1, 2, 3, 7, 99]), rng.randrange(3), rng.randrange(500) / 100, 0.25, day))
+    rows += [(30, 1, 1, 1, 1, 1, 0, date(2017, 12, 1)), (31, 1, 1, 99, 1, 1, 0, date(2017, 2, 1)), (32, 1, 1, 3, 1, 0, 0, date(2017, 2, 1))]
+    txn, products = lines(spark, rows).repartition(3), goods(spark, [*PRODUCTS, (7, "FRUIT", "National")])
+    split, whole = STUDY.split_date, features.trip_ledger(txn, products, STUDY)
+    for until, halves, as_of in ((None, STUDY.trend_halves, STUDY.analysis_date), (split, STUDY.split_halves, split)):
+        early = whole if until is None else features.before(whole, split)
+        spend = features.category_spend(txn if until is None else features.before(txn, split), products, STUDY)
+        blocks = [
+            features.spend_block(early, as_of, STUDY),
+            features.store_block(early),
+            features.cadence_block(early),
+            features.trend_block(early, halves, STUDY),
+            features.product_block(spend, STUDY),
+        ]
+        got = {r.household_id: r.asDict() for r in household_sums(txn, products, as_of, halves, STUDY, until).collect()}
+        want = {h: {} for h in got}
+        for block in blocks:
+            for r in block.collect():
+                want[r.household_id] |= r.asDict()
+        assert got.keys() == {r.household_id for r in whole.select("household_id").distinct().collect()}
+        later = {r.household_id: r.net for r in features.from_day(whole, split).groupBy("household_id").agg(F.sum("net").alias("net")).collect()}
+        for household, row in got.items():
+            assert row.pop("observed") == bool(want[household])
+            assert row.pop("later_net") == (0.0 if until is None else later.get(household, 0) / 100)
+            expected = {c: want[household].get(c) for c in row}
+            assert {c: v for c, v in row.items() if c != "household_id" and v != expected[c]} == {}
+
+
+@pytest.mark.parametrize("build", [views.household_table, views.v_clv_split])
+def test_a_view_scans_the_line_items_once(spark, build):
+    plan = build(derive_panel(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "l_extendedprice" in line]
+    assert len(scans) == 1
