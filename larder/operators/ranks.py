@@ -12,10 +12,70 @@ from pyspark.sql.types import LongType
 
 from larder.session import small_table
 
-# A sketch locates each wanted rank between two grid points; only the values
-# between them are ordered. Sketch error (1/_ACCURACY) is far below one cell.
-_CELLS = 500
-_ACCURACY = 20_000
+#: A pass counts the rows of a bracket in so many cells; a bracket of at most so many
+#: rows, or of one value, needs no further pass.
+CELLS, BRACKET_ROWS = 4_096, 4_096
+_LARGEST = 1.7976931348623157e308
+
+
+def _scaled(x: Column, wide: Column) -> Column:
+    """A monotone scale: logarithmic on both sides of zero in wide brackets, else linear."""
+    finite = F.least(F.greatest(x, F.lit(-_LARGEST)), F.lit(_LARGEST))
+    return F.when(wide, F.signum(finite) * F.log1p(F.abs(finite))).otherwise(finite)
+
+
+def _cell(whole: bool) -> Column:
+    """The cell, 0 to ``CELLS`` - 1, of ``value`` between ``low`` and ``high``; never falls where the value rises."""
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    if whole:
+        x, a, b = (c.cast("decimal(20,0)") for c in (value, low, high))
+        inner = F.floor((x - a) * CELLS / (b - a + 1))
+    else:
+        wide = F.abs(high) / 2 - F.abs(low) / 2 > 500 * F.least(F.abs(low), F.abs(high)) + 500
+        wide = wide | (F.abs(low) / 2 - F.abs(high) / 2 > 500 * F.least(F.abs(low), F.abs(high)) + 500)
+        a, b = _scaled(low, wide), _scaled(high, wide)
+        # of the range halved, so that it stays finite
+        part = F.try_divide(_scaled(value, wide) / 2 - a / 2, b / 2 - a / 2)
+        inner = F.floor(F.nanvl(F.coalesce(part, F.lit(0.5)), F.lit(0.5)) * CELLS)
+    inside = F.least(F.greatest(inner.cast("int"), F.lit(0)), F.lit(CELLS - 1))
+    # the ends always part, so that every pass narrows
+    return F.when(value <= low, 0).when(value >= high, CELLS - 1).otherwise(inside)
+
+
+def _counted_cells(values: DataFrame, brackets: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+    """Per bracket and cell: rows in it, rows of the bracket before it, least and largest value."""
+    cells = (
+        values.join(brackets, keys)
+        .filter(F.col("value").between(F.col("low"), F.col("high")))
+        .groupBy(*keys, "low", "high", _cell(whole).alias("cell"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("least"), F.max("value").alias("largest"))
+    )
+    upto = Window.partitionBy(*keys, "low", "high").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0)))
+
+
+def _bracket_values(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values of brackets that have few, with the rows of each."""
+    return (
+        values.join(brackets, keys)
+        .filter(F.col("value").between(F.col("low"), F.col("high")))
+        .groupBy(*keys, "low", "high", "value")
+        .agg(F.count(F.lit(1)).alias("ties"))
+    )
+
+
+def _narrowed(targets: DataFrame, values: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+    """The targets, those in large brackets in the cell that their rank falls into."""
+    large = (F.col("size") > BRACKET_ROWS) & (F.col("low") < F.col("high"))
+    brackets = targets.filter(large).select(*keys, "low", "high").distinct()
+    place = F.col("rank") - F.col("below")
+    moved = (
+        targets.filter(large)
+        .join(_counted_cells(values, brackets, keys, whole), [*keys, "low", "high"])
+        .filter((F.col("before") < place) & (place <= F.col("before") + F.col("rows")))
+        .withColumns({"below": F.col("below") + F.col("before"), "size": F.col("rows"), "low": F.col("least"), "high": F.col("largest")})
+    )
+    return targets.filter(~large).unionByName(moved.select(*targets.columns))
 
 
 def values_at_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], tag: Sequence[str]) -> DataFrame:
@@ -24,53 +84,39 @@ def values_at_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], ta
     ``values`` has ``keys`` and a non-null ``value``; ``ranks`` has ``keys``,
     ``tag`` columns and ``rank``. Returns ``ranks`` plus ``value`` and
     ``below``, the number of strictly smaller values of that key.
-    Ties collapse before they are shuffled.
+
+    Each pass counts the rows of the brackets that hold a wanted rank in ``CELLS``
+    cells and goes on in the cell with the rank, until a bracket has ``BRACKET_ROWS``
+    rows at most or one value. Only then are values put in order, with ties collapsed,
+    so no task orders more than that however large a key is.
     """
     keys, tag = list(keys), list(tag)
-    grid = ", ".join(f"{i / _CELLS}D" for i in range(_CELLS + 1))
-    sketch = values.groupBy(*keys).agg(
-        F.expr(f"percentile_approx(value, array({grid}), {_ACCURACY})").alias("grid"),
-        F.count(F.lit(1)).alias("n"),
+    whole = isinstance(values.schema["value"].dataType, LongType)
+    extent = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("size"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    cell = F.floor((F.col("rank") - 1) / F.col("n") * _CELLS).cast("int")
-    targets = (
-        ranks.join(sketch, keys)
-        .filter((F.col("rank") >= 1) & (F.col("rank") <= F.col("n")))
-        .select(
-            *keys,
-            *tag,
-            "rank",
-            F.when(cell >= 1, F.element_at("grid", F.greatest(cell, F.lit(1)))).alias("low"),
-            F.when(cell + 3 <= _CELLS + 1, F.element_at("grid", F.least(cell + 3, F.lit(_CELLS + 1)))).alias("high"),
-        )
+    targets = small_table(
+        ranks.join(extent, keys)
+        .filter((F.col("rank") >= 1) & (F.col("rank") <= F.col("size")))
+        .select(*keys, *tag, "rank", F.lit(0).cast("bigint").alias("below"), "size", "low", "high")
     )
-    if isinstance(values.schema["value"].dataType, LongType):
-        # the sketch holds doubles: allow for their spacing among 64-bit integers
-        targets = targets.withColumns({"low": F.try_subtract("low", F.lit(2048)), "high": F.try_add("high", F.lit(2048))})
-    targets = small_table(targets)
-    low, high = F.col("low"), F.col("high")
-    located = (
-        values.join(targets, keys)
-        .filter(high.isNull() | (F.col("value") <= high))
-        .groupBy(
-            *keys,
-            *tag,
-            "rank",
-            F.when(low.isNull() | (F.col("value") >= low), F.col("value")).alias("value"),
-        )
-        .agg(F.count(F.lit(1)).alias("ties"))
-    )
-    ordered = (
-        Window.partitionBy(*keys, *tag, "rank")
-        .orderBy(F.col("value").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        located.withColumn("upto", F.sum("ties").over(ordered))
-        .withColumn("below", F.col("upto") - F.col("ties"))
-        .filter((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
-        .select(*keys, *tag, "rank", "value", "below")
+    several = F.col("low") < F.col("high")
+    while not targets.filter(several & (F.col("size") > BRACKET_ROWS)).isEmpty():
+        targets = small_table(_narrowed(targets, values, keys, whole))
+    single = targets.filter(~several).withColumn("value", F.col("low"))
+    few = targets.filter(several)
+    if few.isEmpty():
+        return single.select(*keys, *tag, "rank", "value", "below")
+    order = Window.partitionBy(*keys, "low", "high").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = _bracket_values(values, few.select(*keys, "low", "high").distinct(), keys).withColumn("upto", F.sum("ties").over(order))
+    before = F.col("upto") - F.col("ties")
+    place = F.col("rank") - F.col("below")
+    found = (
+        few.join(ordered, [*keys, "low", "high"])
+        .filter((before < place) & (place <= F.col("upto")))
+        .withColumn("below", F.col("below") + before)
     )
+    return single.unionByName(found.select(*single.columns)).select(*keys, *tag, "rank", "value", "below")
 
 
 def quantiles(
