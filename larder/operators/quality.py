@@ -55,6 +55,34 @@ def numbers_kept_as_text(tables: dict[str, DataFrame]) -> DataFrame:
     return schema_report(tables).filter(numeric & (F.col("actual_type") == "string"))
 
 
+def type_drift(footers: DataFrame, declared: dict[str, str]) -> DataFrame:
+    """Declared beside actual types over all files: one row per table, column and type found.
+
+    ``n_files`` counts the files with that type; a column that some files lack has a row
+    with no actual type, one that is not declared has no declared type.
+    """
+    spark = footers.sparkSession
+    rows = [(t, *c.lower().split()) for t, ddl in declared.items() for c in ddl.split(", ")]
+    wanted = F.broadcast(spark.createDataFrame(rows, "table_name STRING, column_name STRING, declared_type STRING"))
+    files = footers.select("table_name", "file").distinct().join(wanted, "table_name")
+    return (
+        files.join(footers, ["table_name", "file", "column_name"], "full")
+        .groupBy("table_name", "column_name", "declared_type", "actual_type")
+        .agg(F.count(F.lit(1)).alias("n_files"))
+        .withColumn("matches", F.col("declared_type").eqNullSafe(F.col("actual_type")))
+    )
+
+
+def text_for_numbers(drift: DataFrame) -> DataFrame:
+    """Per table: columns declared numeric, and how many of them some file holds as text."""
+    numeric = F.col("declared_type").isin("tinyint", "smallint", "int", "bigint", "float", "double")
+    as_text = F.col("actual_type").isin("string", "binary")
+    return drift.groupBy("table_name").agg(
+        F.countDistinct(F.when(numeric, F.col("column_name"))).alias("n_numeric"),
+        F.countDistinct(F.when(numeric & as_text, F.col("column_name"))).alias("n_as_text"),
+    )
+
+
 def null_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """NULLs per declared key column; one pass per table."""
 

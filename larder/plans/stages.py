@@ -20,9 +20,10 @@ _open: dict[tuple[str, str], "Stages"] = {}
 
 
 class Stages:
-    def __init__(self, spark: SparkSession, panel: Panel):
+    def __init__(self, spark: SparkSession, panel: Panel, folder: str):
         self.spark = spark
         self.panel = panel
+        self.folder = folder
 
     @cached_property
     def ingested(self) -> str:
@@ -33,6 +34,13 @@ class Stages:
         write_panel(self.panel, path)
         return path
 
+    @cached_property
+    def given_manifest(self) -> DataFrame:
+        """Length and checksum of every given file, recorded when first asked for."""
+        from larder.sources.files import file_checksums
+
+        return materialise(file_checksums(self.spark, self.folder), "manifest")
+
     @cached_property
     def features(self) -> DataFrame:
         return materialise(v_household_features(self.panel), "features")
@@ -127,5 +135,5 @@ def open_stages(spark: SparkSession, sf_dir: str) -> Stages:
     key = (spark.sparkContext.applicationId, str(sf_dir))
     if key not in _open:
         configure(spark)
-        _open[key] = Stages(spark, derive_panel(spark, str(sf_dir)))
+        _open[key] = Stages(spark, derive_panel(spark, str(sf_dir)), str(sf_dir))
     return _open[key]

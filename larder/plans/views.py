@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,7 @@ from larder.operators.exposure import campaign_block, campaign_exposure, concurr
 from larder.operators.features import rfm_raw, trip_ledger
 from larder.operators.household_sums import household_sums
 from larder.operators.ranks import Ntile, with_ntiles
-from larder.session import materialise
+from larder.session import materialise, remove_stored, stored_into
 from larder.sources.panel import Panel
 
 RFM_NTILES = (
@@ -163,16 +164,54 @@ VIEWS: dict[str, Callable[[Panel], DataFrame]] = {
 }
 
 
-def register_views(spark: SparkSession, panel: Panel) -> dict[str, DataFrame]:
-    """Raw tables and derived tables as temporary views for SQL users."""
-    built = {**panel.tables(), **{name: build(panel) for name, build in VIEWS.items()}}
-    for name, df in built.items():
-        df.createOrReplaceTempView(name)
-    return {name: built[name] for name in VIEWS}
-
-
-def view_report(views: dict[str, DataFrame]) -> DataFrame:
-    """Rows and columns per view, counted in one query."""
+class ViewRegistry:
+    """Raw and derived tables by name for SQL users; a derived table is built on first use.
+
+    Opening the registry runs no job. Tables that are stored on the way are kept until
+    ``close``, which drops the names too.
+    """
+
+    def __init__(self, spark: SparkSession, panel: Panel):
+        self.spark, self.panel = spark, panel
+        self._built: dict[str, DataFrame] = {}
+        self._stored: list[str] = []
+        for name, df in panel.tables().items():
+            df.createOrReplaceTempView(name)
+
+    def view(self, name: str) -> DataFrame:
+        """A derived table, built and registered if it isn't yet."""
+        if name not in self._built:
+            with stored_into(self._stored):
+                if name == "v_rfm_features":  # its columns are stored with the features
+                    df = self.view("v_household_features").select(*RFM_COLUMNS)
+                else:
+                    df = VIEWS[name](self.panel)
+            df.createOrReplaceTempView(name)
+            self._built[name] = df
+        return self._built[name]
+
+    def sql(self, text: str) -> DataFrame:
+        """``spark.sql`` after the derived tables that the text names are registered."""
+        for name in VIEWS:
+            if re.search(rf"\b{name}\b", text, re.IGNORECASE):
+                self.view(name)
+        return self.spark.sql(text)
+
+    def close(self) -> None:
+        for name in (*self.panel.tables(), *self._built):
+            self.spark.catalog.dropTempView(name)
+        remove_stored(self.spark, self._stored)
+        self._built, self._stored = {}, []
+
+
+def register_views(spark: SparkSession, panel: Panel) -> ViewRegistry:
+    """Raw tables and derived tables by name for SQL users; no job runs yet."""
+    return ViewRegistry(spark, panel)
+
+
+def view_report(registry: ViewRegistry) -> DataFrame:
+    """Rows and columns per derived table, counted in one query."""
+    views = {name: registry.view(name) for name in VIEWS}
     counts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("view_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns")

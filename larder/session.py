@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ _SQL_DEFAULTS = {
 }
 
 _roots: dict[str, str] = {}
+_owners: list[list[str]] = []
 
 
 def build_session(
@@ -78,9 +81,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _owners:
+        _owners[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stored_into(paths: list[str]) -> Iterator[None]:
+    """Tables that are stored inside the block are noted in ``paths``, for ``remove_stored``."""
+    _owners.append(paths)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
+
+def remove_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def use_all_cores(df: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     """Shuffle a scan by ``key`` if its few files would leave cores idle.
 

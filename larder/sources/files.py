@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +81,100 @@ def file_report(spark: SparkSession, directory: str, pinned: DataFrame) -> DataF
     )
 
 
+#: Bytes of a file that one task reads and digests at a time.
+BLOCK_BYTES = 64 << 20
+#: Files whose footers one task reads.
+FILES_PER_TASK = 200
+
+
+def data_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Every Parquet file below a folder: path, name within the folder, table, length. No content is read."""
+    name = F.substring_index("path", f"/{directory.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .load(directory)
+        .select("path", name.alias("file"), F.regexp_extract(name, r"^([^./]+)\.parquet", 1).alias("table_name"), "length")
+    )
+
+
+def _open(path: str) -> pa.NativeFile:
+    """A file of a file system that Arrow knows, for reading parts of it."""
+    local = re.sub(r"^file:/*", "/", path)
+    store, name = (fs.LocalFileSystem(), local) if "://" not in local else fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def _sql_type(physical: str, converted: str, logical: str) -> str:
+    """The SQL type of a column from its footer entry."""
+    # The type names of the Parquet format.
+    if converted.startswith("TIMESTAMP") or logical == "TIMESTAMP" or physical == "INT96":
+        return "timestamp"
+    if converted in ("UTF8", "DATE", "DECIMAL"):
+        return {"UTF8": "string", "DATE": "date", "DECIMAL": "decimal"}[converted]
+    plain = {"BOOLEAN": "boolean", "INT32": "int", "INT64": "bigint", "FLOAT": "float", "DOUBLE": "double"}
+    return plain.get(physical, "binary")
+
+
+def footer_columns(spark: SparkSession, directory: str, tables: Sequence[str]) -> DataFrame:
+    """Type of every column of every file of some tables, from the files' footers.
+
+    Tasks read the footers; a table may be one file or a folder of parts.
+    """
+    schema = pa.schema([("table_name", pa.string()), ("file", pa.string()), ("column_name", pa.string()), ("actual_type", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, file, table in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                with _open(path) as source:
+                    footer = pq.ParquetFile(source).schema
+                for i in range(len(footer)):
+                    c = footer.column(i)
+                    rows.append((table, file, c.path, _sql_type(c.physical_type, str(c.converted_type), c.logical_type.type)))
+            columns = zip(*rows) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    files = data_files(spark, directory).filter(F.col("table_name").isin(*tables)).select("path", "file", "table_name")
+    tasks = max(1, -(-files.count() // FILES_PER_TASK))
+    return files.repartition(tasks, "path").mapInArrow(read, "table_name STRING, file STRING, column_name STRING, actual_type STRING")
+
+
+def file_checksums(spark: SparkSession, directory: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Length and checksum of every file of a folder: a digest of its blocks' digests.
+
+    Blocks are dealt to tasks one by one, so a large file is read by many.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                with _open(path) as source:
+                    source.seek(block * block_bytes)
+                    found.append(hashlib.sha256(source.read(block_bytes)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(found, pa.string())], names=["file", "block", "length", "digest"])
+
+    last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / block_bytes).cast("bigint")
+    blocks = data_files(spark, directory).select("path", "file", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"), "length")
+    digests = blocks.repartition("path", "block").mapInArrow(digest, "file STRING, block BIGINT, length BIGINT, digest STRING")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"])
+    return digests.groupBy("file", "length").agg(F.sha2(F.array_join(in_order, ""), 256).alias("checksum"))
+
+
+def compare_manifests(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """Each file of two manifests: intact, changed, missing or extra."""
+    before = recorded.select("file", F.col("length").alias("recorded_length"), F.col("checksum").alias("recorded"))
+    same = F.col("recorded").eqNullSafe(F.col("checksum")) & F.col("recorded_length").eqNullSafe(F.col("length"))
+    return before.join(found, "file", "full").select(
+        "file",
+        "recorded_length",
+        "length",
+        F.when(F.col("checksum").isNull(), "missing").when(F.col("recorded").isNull(), "extra").when(same, "intact").otherwise("changed").alias("status"),
+    )
+
+
 def write_extract(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """CSV with a header, globally sorted by key.
 

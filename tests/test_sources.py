@@ -1,15 +1,17 @@
 """Contract checks, files and settings."""
 
+from pathlib import Path
+
 import pytest
 from conftest import SMALL
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 
-from larder.contract import REFERENCES, TABLES
+from larder.contract import ORDER_TABLES, REFERENCES, TABLES
 from larder.operators import quality as dq
 from larder.plans.stages import open_stages
-from larder.plans.views import VIEWS, register_views
+from larder.plans.views import VIEWS, register_views, view_report
 from larder.session import checkpoint_root, materialise, scratch_path, small_table
 from larder.sources import files
 from larder.sources.panel import read_panel, typed_scan
@@ -80,9 +82,27 @@ def test_model_folder_round_trip(spark):
 
 
 def test_views_are_registered_in_order(spark):
-    views = register_views(spark, open_stages(spark, SMALL).panel)
-    assert list(views) == list(VIEWS)
-    assert spark.sql("SELECT count(*) AS n FROM v_households").first().n > 100
+    registry = register_views(spark, open_stages(spark, SMALL).panel)
+    assert [r.view_name for r in view_report(registry).collect()] == list(VIEWS)
+    registry.close()
+
+
+def test_registering_starts_no_job_and_closing_leaves_nothing(spark):
+    panel = open_stages(spark, SMALL).panel
+    spark.sparkContext.setJobGroup("registering", "")
+    registry = register_views(spark, panel)
+    tracker = spark.sparkContext.statusTracker()
+    assert list(tracker.getJobIdsForGroup("registering")) == []
+    rows = registry.sql("SELECT r_score, COUNT(*) AS n FROM v_rfm_features GROUP BY r_score").collect()
+    assert sum(r.n for r in rows) == panel.transactions.select("household_id").distinct().count()
+    assert list(tracker.getJobIdsForGroup("registering"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stored = list(registry._stored)
+    jobs = len(stored)
+    registry.sql("SELECT COUNT(*) FROM v_household_features").collect()
+    assert jobs and len(registry._stored) == jobs  # the features were stored once
+    registry.close()
+    assert not spark.catalog.tableExists("v_rfm_features") and not any(Path(p.removeprefix("file:")).exists() for p in stored)
 
 
 def test_intermediate_tables_live_in_the_named_folder(spark):
@@ -95,3 +115,44 @@ def test_intermediate_tables_live_in_the_named_folder(spark):
 def test_demographics_within_shoppers(spark):
     panel = open_stages(spark, SMALL).panel
     assert dq.non_shoppers(panel.transactions, panel.demographics).first().n_outside == 0
+
+
+def test_one_part_of_many_with_text_for_a_number_is_found(spark):
+    path = scratch_path(spark, "drift")
+    spark.createDataFrame([(i, f"n{i}") for i in range(6)], "r_regionkey INT, r_name STRING").repartition(3).write.parquet(f"{path}/region.parquet")
+    spark.createDataFrame([("7", "x", 1)], "r_regionkey STRING, r_name STRING, extra INT").coalesce(1).write.mode("append").parquet(f"{path}/region.parquet")
+    spark.createDataFrame([("8",)], "r_name STRING").coalesce(1).write.mode("append").parquet(f"{path}/region.parquet")
+    drift = dq.type_drift(files.footer_columns(spark, path, ["region", "nation"]), ORDER_TABLES)
+    found = {(r.column_name, r.actual_type): (r.declared_type, r.n_files, r.matches) for r in drift.collect()}
+    assert found == {
+        ("r_regionkey", "int"): ("int", 3, True),
+        ("r_regionkey", "string"): ("int", 1, False),
+        ("r_regionkey", None): ("int", 1, False),
+        ("r_name", "string"): ("string", 5, True),
+        ("extra", "int"): (None, 1, False),
+    }
+    assert [tuple(r) for r in dq.text_for_numbers(drift).collect()] == [("region", 1, 1)]
+
+
+def test_manifest_tells_intact_changed_missing_and_extra_files_apart(spark, tmp_path):
+    def put(name, content):
+        (tmp_path / "given" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "given" / name).write_bytes(content)
+
+    put("a.parquet", b"x" * 1000)
+    put("b.parquet", b"y" * 1000)
+    put("c.parquet/part-0.parquet", b"z" * 257)
+    put("empty.parquet", b"")
+    recorded = materialise(files.file_checksums(spark, str(tmp_path / "given"), 100), "recorded")
+    assert recorded.count() == 4
+    put("b.parquet", b"y" * 999 + b"!")
+    put("d.parquet", b"new")
+    (tmp_path / "given/c.parquet/part-0.parquet").unlink()
+    found = files.compare_manifests(recorded, files.file_checksums(spark, str(tmp_path / "given"), 100))
+    assert {r.file: r.status for r in found.collect()} == {
+        "a.parquet": "intact",
+        "b.parquet": "changed",
+        "c.parquet/part-0.parquet": "missing",
+        "d.parquet": "extra",
+        "empty.parquet": "intact",
+    }
