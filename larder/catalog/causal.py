@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.catalog import query
-from larder.catalog.statistics import rounded
+from larder.catalog.statistics import FULL_CHI2, WELCH, contingency, rounded, welch_anova
 from larder.functions import columns as fc
 from larder.operators import causal as ca
-from larder.operators.statistics import sample_size
+from larder.operators.tabulate import union_all
 from larder.session import materialise
 
 _WEIGHED = """
@@ -57,18 +57,17 @@ def segment_mix(stages):
 _COVARIATES = ("obs_monetary", "obs_frequency", "obs_recency_days", "obs_tenure_days")
 
 
-@query(
-    "ca_smd",
-    "analysis",
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS covariate, ROUND(mt, 3) AS mean_treated, ROUND(mc, 3) AS mean_control,
-                   ROUND((mt - mc) / SQRT((vt + vc) / 2), 6) AS smd
-            FROM (SELECT AVG(CASE WHEN treated = 1 THEN {c} END) AS mt, AVG(CASE WHEN treated = 0 THEN {c} END) AS mc,
-                         VAR_SAMP(CASE WHEN treated = 1 THEN {c} END) AS vt, VAR_SAMP(CASE WHEN treated = 0 THEN {c} END) AS vc
-                  FROM arms)"""
-        for c in _COVARIATES
-    ),
+_SMD = " UNION ALL ".join(
+    f"""SELECT '{c}' AS covariate, ROUND(mt, 3) AS mean_treated, ROUND(mc, 3) AS mean_control,
+               ROUND((mt - mc) / SQRT((vt + vc) / 2), 6) AS smd
+        FROM (SELECT AVG(CASE WHEN treated = 1 THEN {c} END) AS mt, AVG(CASE WHEN treated = 0 THEN {c} END) AS mc,
+                     VAR_SAMP(CASE WHEN treated = 1 THEN {c} END) AS vt, VAR_SAMP(CASE WHEN treated = 0 THEN {c} END) AS vc
+              FROM arms)"""
+    for c in _COVARIATES
 )
+
+
+@query("ca_smd", "analysis", _SMD)
 def smd(stages):
     table = ca.standardised_differences(stages.arms, _COVARIATES)
     return rounded(rounded(table, 3, "mean_treated", "mean_control"), 6, "smd")
@@ -247,24 +246,21 @@ def truncation_flags(stages):
 _Z = "1.959963984540054"
 
 
+_EFFECT = """SUM(CASE WHEN treated = 1 THEN w * outcome END) / SUM(CASE WHEN treated = 1 THEN w END)
+  - SUM(CASE WHEN treated = 0 THEN w * outcome END) / SUM(CASE WHEN treated = 0 THEN w END)"""
+_NEEDED = "CAST(CEIL(2 * POWER({z} + 0.8416212335729143, 2) * POWER(sigma / delta, 2)) AS BIGINT)"
+
+
 @query(
     "ca_required_n",
     "analysis",
-    f"""SELECT segment, CAST(CEIL(2 * POWER({_Z} + 0.8416212335729143, 2) * POWER(STDDEV_SAMP(outcome) / (0.1 * AVG(outcome)), 2)) AS BIGINT) AS n_fixed,
-               CAST(CEIL(2 * POWER(2.361 + 0.8416212335729143, 2) * POWER(STDDEV_SAMP(outcome) / (0.1 * AVG(outcome)), 2)) AS BIGINT) AS n_sequential
-        FROM estimation GROUP BY segment""",
+    _WEIGHED
+    + f""", m AS (SELECT STDDEV_SAMP(outcome) AS sigma, 0.5 * ABS({_EFFECT}) AS delta FROM weighed)
+        SELECT ROUND(sigma, 3) AS sigma, ROUND(delta, 3) AS delta, {_NEEDED.format(z=_Z)} AS n_fixed, {_NEEDED.format(z=2.361)} AS n_sequential FROM m""",
 )
 def required_n(stages):
-    """Households per arm to see a tenth of the mean, for one look and for four."""
-    from larder.functions.tails import normal_quantile
-
-    moments = stages.estimation.groupBy("segment").agg(
-        F.stddev_samp("outcome").alias("sigma"), (0.1 * F.avg("outcome")).alias("delta")
-    )
-    z_beta = normal_quantile(0.80)
-    fixed = sample_size(moments, "sigma", "delta", normal_quantile(0.975), z_beta).withColumnRenamed("n_per_arm", "n_fixed")
-    both = sample_size(fixed, "sigma", "delta", 2.361, z_beta).withColumnRenamed("n_per_arm", "n_sequential")
-    return both.select("segment", "n_fixed", "n_sequential")
+    """Households per arm to see half the measured effect, for one look and for four."""
+    return rounded(ca.required_sizes(_weighed(stages), "outcome"), 3, "sigma", "delta")
 
 
 @query(
@@ -287,21 +283,34 @@ def dummies(stages):
 @query(
     "prj_effect_labels",
     "analysis",
-    """SELECT segment, n, share, CASE WHEN share < 0.001 THEN '***' WHEN share < 0.01 THEN '**' WHEN share < 0.05 THEN '*' ELSE '' END AS sig,
-              n < 30 AS low_n, CASE WHEN share >= 0.14 THEN 'large' WHEN share >= 0.06 THEN 'medium' ELSE 'small' END AS size
-       FROM (SELECT segment, COUNT(*) AS n, ROUND(AVG(CASE WHEN outcome = 0 THEN 1.0 ELSE 0.0 END), 6) AS share FROM estimation GROUP BY segment)""",
+    f"""WITH v AS ({FULL_CHI2}), e AS ({WELCH}), s AS ({_SMD}), n AS (SELECT segment, COUNT(*) AS n FROM estimation GROUP BY segment),
+        r AS (SELECT segment, ROUND(AVG(CASE WHEN outcome = 0 THEN 1.0 ELSE 0.0 END), 6) AS p FROM estimation GROUP BY segment)
+        SELECT 'association' AS measure, 'segment' AS subject, cramers_v AS value,
+               CASE WHEN cramers_v >= 0.7 THEN 'strong association' WHEN cramers_v >= 0.5 THEN 'moderate' ELSE 'adds information beyond M' END AS label FROM v
+        UNION ALL SELECT 'effect size', 'segment', eta_squared,
+               CASE WHEN eta_squared >= 0.14 THEN 'large' WHEN eta_squared >= 0.06 THEN 'medium' ELSE 'small' END FROM e
+        UNION ALL SELECT 'balance', covariate, smd, CASE WHEN ABS(smd) < 0.10 THEN 'YES' ELSE 'NO !' END FROM s
+        UNION ALL SELECT 'arm size', segment, CAST(n AS DOUBLE), CASE WHEN n < 30 THEN 'low' ELSE '' END FROM n
+        UNION ALL SELECT 'significance', segment, p,
+               CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END FROM r""",
 )
 def effect_labels(stages):
-    table = stages.estimation.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n"), fc.round_to(F.avg((F.col("outcome") == 0).cast("double")), 6).alias("share")
-    )
-    return table.withColumns(
-        {
-            "sig": fc.stars(F.col("share")),
-            "low_n": F.col("n") < ca.RELIABLE_ARM,
-            "size": F.when(F.col("share") >= 0.14, "large").when(F.col("share") >= 0.06, "medium").otherwise("small"),
-        }
+    """Words for the strength of an association, the size of an effect, balance, small arms and significance."""
+    v = contingency(stages).select(F.lit("segment").alias("subject"), F.col("cramers_v").alias("value"))
+    eta = welch_anova(stages).select(F.lit("segment").alias("subject"), F.col("eta_squared").alias("value"))
+    balance = smd(stages).select(F.col("covariate").alias("subject"), F.col("smd").alias("value"))
+    groups = stages.estimation.groupBy(F.col("segment").alias("subject"))
+    sizes = groups.agg(F.count(F.lit(1)).cast("double").alias("value"))
+    shares = groups.agg(fc.round_to(F.avg((F.col("outcome") == 0).cast("double")), 6).alias("value"))
+    value = F.col("value")
+    labelled = (
+        (v, "association", fc.association_label(value)),
+        (eta, "effect size", fc.effect_size_label(value)),
+        (balance, "balance", fc.balance_label(value)),
+        (sizes, "arm size", F.when(value < ca.RELIABLE_ARM, "low").otherwise("")),
+        (shares, "significance", fc.stars(value)),
     )
+    return union_all([df.select(F.lit(name).alias("measure"), "subject", "value", label.alias("label")) for df, name, label in labelled])
 
 
 @query(

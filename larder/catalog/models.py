@@ -16,7 +16,7 @@ from larder.operators.tabulate import crosstab_margins
 from larder.session import materialise, scratch_path, small_table
 from larder.sources import files
 
-_IMPUTED = """
+IMPUTED = """
 imputed AS (
   SELECT * REPLACE (COALESCE(std_gap_days, 0.0) AS std_gap_days,
                     COALESCE(top_category_spend_share, 0.0) AS top_category_spend_share,
@@ -26,7 +26,7 @@ imputed AS (
 _FILLED = "household_id, std_gap_days, top_category_spend_share, basket_trend_direction"
 
 
-@query("prj_impute_kmeans", "features", f"WITH {_IMPUTED} SELECT {_FILLED} FROM imputed")
+@query("prj_impute_kmeans", "features", f"WITH {IMPUTED} SELECT {_FILLED} FROM imputed")
 def impute_kmeans(stages):
     return sg.impute_for_clustering(stages.features).select(*_FILLED.split(", "))
 
@@ -37,13 +37,13 @@ _SQL_HOW = {
     "log": "LN(GREATEST(CAST({c} AS DOUBLE), 0.01))",
     "sqrt": "SQRT(CAST({c} AS DOUBLE))",
 }
-_STRAIGHT = {c: _SQL_HOW[how].format(c=c) for c, how in sg.CANDIDATES.items()}
+STRAIGHT = {c: _SQL_HOW[how].format(c=c) for c, how in sg.CANDIDATES.items()}
 
 
 @query(
     "prj_transforms",
     "features",
-    f"WITH {_IMPUTED} SELECT household_id, " + ", ".join(f"ROUND({x}, 8) AS {c}" for c, x in _STRAIGHT.items()) + " FROM imputed",
+    f"WITH {IMPUTED} SELECT household_id, " + ", ".join(f"ROUND({x}, 8) AS {c}" for c, x in STRAIGHT.items()) + " FROM imputed",
 )
 def transforms(stages):
     rows = sg.transform_features(sg.impute_for_clustering(stages.features))

@@ -22,16 +22,17 @@ WITH m AS (
 )"""
 
 
-@query(
-    "st_welch_anova",
-    "analysis",
+WELCH = (
     _MOMENTS
     + """, c AS (SELECT COUNT(*) AS k, SUM(n / v) AS big, SUM(n / v * mean) / SUM(n / v) AS mid, SUM(n * mean) / SUM(n) AS grand FROM m),
     l AS (SELECT SUM(POWER(1 - (n / v) / big, 2) / (n - 1)) AS lam, SUM(n / v * POWER(mean - mid, 2)) AS s,
                  SUM(n * POWER(mean - grand, 2)) AS ssb, SUM((n - 1) * v) AS ssw FROM m, c)
     SELECT ROUND((s / (k - 1)) / (1 + 2 * (k - 2) * lam / (POWER(k, 2) - 1)), 6) AS f, k - 1 AS df1,
-           ROUND((POWER(k, 2) - 1) / (3 * lam), 6) AS df2, ROUND(ssb / (ssb + ssw), 6) AS eta_squared FROM c, l""",
+           ROUND((POWER(k, 2) - 1) / (3 * lam), 6) AS df2, ROUND(ssb / (ssb + ssw), 6) AS eta_squared FROM c, l"""
 )
+
+
+@query("st_welch_anova", "analysis", WELCH)
 def welch_anova(stages):
     result = st.welch_anova(st.group_moments(stages.estimation, "segment", OUTCOME)).drop("p")
     return rounded(result, 6, "f", "df2", "eta_squared")
@@ -122,15 +123,15 @@ def _chi2_result(df):
     return rounded(df, 6, "chi2", "cramers_v", "share_expected_below_5").drop("p")
 
 
-_FULL_CHI2 = _chi2("labelled", "segment", "m_score")
+FULL_CHI2 = _chi2("labelled", "segment", "m_score")
 
 
-@query("st_chi2_contingency", "analysis", _FULL_CHI2)
-def chi2(stages):
+@query("st_chi2_contingency", "analysis", FULL_CHI2)
+def contingency(stages):
     return _chi2_result(st.contingency_test(stages.labelled, "segment", "m_score", range(1, 6)))
 
 
-@query("st_cramers_v", "analysis", f"SELECT cramers_v FROM ({_FULL_CHI2})")
+@query("st_cramers_v", "analysis", f"SELECT cramers_v FROM ({FULL_CHI2})")
 def cramers_v(stages):
     return _chi2_result(st.contingency_test(stages.labelled, "segment", "m_score", range(1, 6))).select("cramers_v")
 

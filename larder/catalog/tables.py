@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.catalog import query
+from larder.catalog.models import IMPUTED, STRAIGHT
 from larder.contract import TABLES
 from larder.functions import columns as fc
-from larder.operators import cleaning, exposure, features, tabulate
+from larder.operators import cleaning, exposure, features, ordered_joins, retention, segmentation, tabulate
 from larder.operators.ranks import medians
-from larder.operators.retention import retention_matrix
 from larder.operators.statistics import benjamini_hochberg
 from larder.oracle.prelude import BASE_AS_DOUBLE
 from larder.plans import views
@@ -223,16 +223,23 @@ def single_arm(stages):
     return stages.estimation.select("household_id", (F.col("exposure_group") == "single_arm").alias("is_single_arm"))
 
 
+# the study year's quarters; what comes before belongs to the first, what comes after to none
+_QUARTER = """CASE WHEN transaction_timestamp < TIMESTAMP '2017-04-01' THEN 1 WHEN transaction_timestamp < TIMESTAMP '2017-07-01' THEN 2
+     WHEN transaction_timestamp < TIMESTAMP '2017-10-01' THEN 3 WHEN transaction_timestamp < TIMESTAMP '2018-01-01' THEN 4 END"""
+
+
 @query(
     "prj_quarter_bucket",
     "rows",
-    """SELECT CAST(year(transaction_timestamp) AS VARCHAR) || '-Q' || CAST(quarter(transaction_timestamp) AS VARCHAR) AS quarter,
+    f"""SELECT '2017-Q' || CAST({_QUARTER} AS VARCHAR) AS quarter,
               COUNT(*) AS n_rows, CAST(SUM(net_revenue) AS DOUBLE) AS net
        FROM clean GROUP BY 1""",
 )
 def quarter_bucket(stages):
+    study = stages.panel.study
     clean = cleaning.known_product_rows(stages.panel.transactions, stages.panel.products)
-    return clean.groupBy(fc.calendar_quarter(F.col("transaction_timestamp")).alias("quarter")).agg(
+    quarter = retention.quarter_label(retention.study_quarter(F.col("transaction_timestamp"), study), study)
+    return clean.groupBy(quarter.alias("quarter")).agg(
         F.count(F.lit(1)).alias("n_rows"), fc.dollars(F.sum(fc.cents(fc.net_revenue()))).alias("net")
     )
 
@@ -296,38 +303,84 @@ def cross_scalar(stages):
     )
 
 
-_RETENTION = """
+_ACTIVE = f"""
 WITH active AS (
-  SELECT DISTINCT household_id, 'Q' || CAST(quarter(transaction_timestamp) AS VARCHAR) AS q
-  FROM clean WHERE transaction_timestamp < TIMESTAMP '2018-01-01'
+  SELECT DISTINCT household_id, q FROM (SELECT household_id, {_QUARTER} AS q FROM clean) WHERE q IS NOT NULL
 ),
 cohort AS (SELECT household_id, MIN(q) AS q0 FROM active GROUP BY household_id),
 seen AS (SELECT DISTINCT q FROM active)
-SELECT '2017-' || c.q0 AS cohort_quarter, '2017-' || s.q AS subsequent_quarter, COUNT(*) AS n_cohort,
+"""
+_RETENTION = (
+    _ACTIVE
+    + """SELECT '2017-Q' || CAST(c.q0 AS VARCHAR) AS cohort_quarter, '2017-Q' || CAST(s.q AS VARCHAR) AS subsequent_quarter, COUNT(*) AS n_cohort,
        COUNT(a.household_id) AS n_retained, ROUND(CAST(COUNT(a.household_id) * 100 AS DOUBLE) / COUNT(*), 1) AS retention_rate_pct,
-       CAST(s.q[2] AS INTEGER) - CAST(c.q0[2] AS INTEGER) AS quarters_since_cohort
+       s.q - c.q0 AS quarters_since_cohort
 FROM cohort c JOIN seen s ON s.q >= c.q0
 LEFT JOIN active a ON a.household_id = c.household_id AND a.q = s.q
 GROUP BY c.q0, s.q"""
+)
 
 
-def _retention(stages):
-    clean = cleaning.known_product_rows(stages.panel.transactions, stages.panel.products)
-    return retention_matrix(clean, stages.panel.study)
+def _clean(stages):
+    return cleaning.known_product_rows(stages.panel.transactions, stages.panel.products)
+
 
+@query("ex_retention_matrix", "rows", _RETENTION)
+def retention_cells(stages):
+    return retention.retention_matrix(_clean(stages), stages.panel.study)
 
-query("ex_retention_matrix", "rows", _RETENTION)(_retention)
-query("so_order_by", "rows", _RETENTION + " ORDER BY cohort_quarter, subsequent_quarter")(_retention)
+
+@query(
+    "so_order_by",
+    "panel",
+    """SELECT product_category, sales, ROW_NUMBER() OVER (ORDER BY sales DESC, product_category) AS place
+       FROM (SELECT p.product_category, CAST(SUM(t.sales_value) AS DOUBLE) AS sales FROM transactions t
+             JOIN products p ON p.product_id = t.product_id GROUP BY p.product_category)""",
+)
+def order_by(stages):
+    """Categories by descending sales; the place is taken from the sorted rows themselves."""
+    panel = stages.panel
+    sales = features.category_spend(panel.transactions, panel.products, panel.study).groupBy("product_category").agg(
+        fc.dollars(F.sum("sales")).alias("sales")
+    )
+    ordered = sales.orderBy(F.desc("sales"), "product_category").withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at")).cast("bigint")
+    return small_table(ordered).select("product_category", "sales", place.alias("place"))
 
 
-@query("jn_theta_pairs", "rows", f"SELECT cohort_quarter, subsequent_quarter FROM ({_RETENTION.replace('WITH', 'WITH', 1)})")
+@query(
+    "jn_theta_pairs",
+    "rows",
+    _ACTIVE + "SELECT a.q AS cohort, b.q AS subsequent FROM seen a JOIN seen b ON a.q <= b.q",
+)
 def theta_pairs(stages):
-    return _retention(stages).select("cohort_quarter", "subsequent_quarter")
+    return retention.quarter_pairs(retention.quarters_active(_clean(stages), stages.panel.study))
 
 
-@query("jn_cohort_activity", "rows", f"SELECT cohort_quarter, quarters_since_cohort, n_retained FROM ({_RETENTION})")
+@query(
+    "jn_cohort_activity",
+    "rows",
+    _ACTIVE
+    + """SELECT c.q0 AS cohort, a.q AS subsequent, COUNT(*) AS n_retained
+         FROM cohort c JOIN active a ON a.household_id = c.household_id GROUP BY ALL""",
+)
 def cohort_activity(stages):
-    return _retention(stages).select("cohort_quarter", "quarters_since_cohort", "n_retained")
+    return retention.cohort_activity(retention.quarters_active(_clean(stages), stages.panel.study))
+
+
+@query(
+    "jn_interval_pairs",
+    "panel",
+    """WITH w AS (SELECT c.household_id, c.campaign_id, d.start_date, d.end_date
+                 FROM campaigns c JOIN campaign_descriptions d ON d.campaign_id = c.campaign_id)
+       SELECT a.household_id, a.campaign_id, b.campaign_id AS other FROM w a JOIN w b
+         ON a.household_id = b.household_id AND a.campaign_id <> b.campaign_id
+        AND a.start_date <= b.end_date AND b.start_date <= a.end_date""",
+)
+def interval_pairs(stages):
+    panel = stages.panel
+    windows = panel.campaigns.join(panel.campaign_descriptions, "campaign_id")
+    return ordered_joins.touching_pairs(windows, "household_id", "campaign_id", "start_date", "end_date")
 
 
 @query(
@@ -539,37 +592,53 @@ def group_median(stages):
     return table.select("segment", *[fc.round_to(F.col(c), 6).alias(c) for c in PROFILE])
 
 
+# The inputs shown before and after they are straightened, and the points shown.
 _SPREAD = ("frequency", "monetary", "mean_gap_days", "top_category_spend_share")
 _POINTS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "max": 1.0}
+_BOTH = [(stage, c, f"CAST({c} AS DOUBLE)" if stage == "raw" else STRAIGHT[c]) for stage in ("raw", "straightened") for c in _SPREAD]
+
+
+def _spread(stages):
+    """Percentiles and skewness of the cluster inputs as they are and straightened."""
+    if not hasattr(stages, "_spread_table"):
+        imputed = segmentation.impute_for_clustering(stages.features)
+        rows = imputed.select(
+            *[F.col(c).cast("double").alias(f"raw__{c}") for c in _SPREAD],
+            *[segmentation.straighten(c, segmentation.CANDIDATES[c]).alias(f"straightened__{c}") for c in _SPREAD],
+        )
+        report = tabulate.spread_report(materialise(rows, "spread"), [f"{stage}__{c}" for stage, c, _ in _BOTH])
+        stage, name = (F.split_part("variable", F.lit("__"), F.lit(i)) for i in (1, 2))
+        stages._spread_table = materialise(report.withColumn("stage", stage).withColumn("variable", name), "spread-report")
+    return stages._spread_table
 
 
 @query(
     "ag_percentiles",
     "features",
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS variable, "
-        + ", ".join(f"ROUND(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS {n}" for n, p in _POINTS.items())
-        + " FROM household_features"
-        for c in _SPREAD
+    f"WITH {IMPUTED} "
+    + " UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, '{c}' AS variable, "
+        + ", ".join(f"ROUND(quantile_cont({x}, {p}), 6) AS {n}" for n, p in _POINTS.items())
+        + " FROM imputed"
+        for stage, c, x in _BOTH
     ),
 )
 def percentiles(stages):
-    report = tabulate.spread_report(stages.features, _SPREAD)
-    return report.select("variable", *[fc.round_to(F.col(n), 6).alias(n) for n in _POINTS])
+    return _spread(stages).select("stage", "variable", *[fc.round_to(F.col(n), 6).alias(n) for n in _POINTS])
 
 
 @query(
     "ag_skewness",
     "features",
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS variable, ROUND(AVG(POWER(x - m, 3)) / POWER(AVG(POWER(x - m, 2)), 1.5), 6) AS skew
-            FROM (SELECT CAST({c} AS DOUBLE) AS x, AVG(CAST({c} AS DOUBLE)) OVER () AS m FROM household_features WHERE {c} IS NOT NULL)"""
-        for c in _SPREAD
+    f"WITH {IMPUTED} "
+    + " UNION ALL ".join(
+        f"""SELECT '{stage}' AS stage, '{c}' AS variable, ROUND(AVG(POWER(x - m, 3)) / POWER(AVG(POWER(x - m, 2)), 1.5), 6) AS skew
+            FROM (SELECT {x} AS x, AVG({x}) OVER () AS m FROM imputed)"""
+        for stage, c, x in _BOTH
     ),
 )
 def skewness(stages):
-    report = tabulate.spread_report(stages.features, _SPREAD)
-    return report.select("variable", fc.round_to(F.col("skew"), 6).alias("skew"))
+    return _spread(stages).select("stage", "variable", fc.round_to(F.col("skew"), 6).alias("skew"))
 
 
 _CORRELATED = ("frequency", "monetary", "recency_days", "tenure_days", "mean_gap_days", "gap_score")
@@ -792,9 +861,9 @@ def multi_key(stages):
     return stages.labelled.groupBy("segment", "m_score").agg(F.count(F.lit(1)).alias("n")).orderBy("segment", "m_score")
 
 
-@query("so_limit", "panel", "SELECT COUNT(*) AS n FROM (SELECT start_date FROM campaign_descriptions LIMIT 1)")
+@query("so_limit", "panel", "SELECT COUNT(*) AS n FROM (SELECT transaction_timestamp FROM transactions LIMIT 1)")
 def limit_probe(stages):
-    return stages.panel.campaign_descriptions.select("start_date").limit(1).agg(F.count(F.lit(1)).alias("n"))
+    return stages.panel.transactions.select("transaction_timestamp").limit(1).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -804,7 +873,11 @@ def limit_probe(stages):
               CAST(date_diff('day', DATE '2017-01-01', CAST(MAX(transaction_timestamp) AS DATE)) AS INTEGER) AS last_offset,
               GREATEST(MIN(quantity), 1) AS at_least_one, LEAST(MAX(quantity), 40) AS at_most_forty,
               ROUND(LN(1 + COUNT(*)), 6) AS log1p_n, ROUND(SQRT(COUNT(*)), 6) AS sqrt_n,
-              NULLIF(MIN(quantity), 0) AS nonzero_min, 'week ' || CAST(week AS VARCHAR) AS label
+              NULLIF(MIN(quantity), 0) AS nonzero_min, 'week ' || CAST(week AS VARCHAR) AS label,
+              CAST(ABS(26 - week) AS INTEGER) AS weeks_off, CAST(CEIL(week / 13.0) AS BIGINT) AS thirteenth,
+              ROUND(EXP(COUNT(*) / 1000000.0) - 1, 8) AS grown,
+              TRY_CAST(CASE WHEN week % 2 = 0 THEN CAST(week AS VARCHAR) ELSE 'odd' END AS INTEGER) AS even_week,
+              UNNEST(['low', 'high']) AS bound
        FROM transactions GROUP BY week""",
 )
 def scalar_functions(stages):
@@ -818,4 +891,13 @@ def scalar_functions(stages):
         fc.round_to(F.log1p(n), 6).alias("log1p_n"),
         fc.round_to(F.sqrt(n), 6).alias("sqrt_n"),
         F.nullif(F.min("quantity"), F.lit(0)).alias("nonzero_min"),
-    ).withColumn("label", F.concat(F.lit("week "), F.col("week").cast("string")))
+    ).withColumns(
+        {
+            "label": F.concat(F.lit("week "), F.col("week").cast("string")),
+            "weeks_off": F.abs(26 - F.col("week")),
+            "thirteenth": F.ceil(F.col("week") / 13.0),
+            "grown": fc.round_to(F.expm1(F.col("n") / 1_000_000), 8),
+            "even_week": F.when(F.col("week") % 2 == 0, F.col("week").cast("string")).otherwise("odd").try_cast("int"),
+            "bound": F.explode(F.array(F.lit("low"), F.lit("high"))),
+        }
+    )

@@ -54,10 +54,6 @@ def trend_direction(change: Column, band: float) -> Column:
     return F.when(change < -band, 1).when(change > band, 3).when(change.isNotNull(), 2)
 
 
-def calendar_quarter(ts: Column) -> Column:
-    return F.concat(F.year(ts).cast("string"), F.lit("-Q"), F.quarter(ts).cast("string"))
-
-
 def rfm_code(*scores: str) -> Column:
     return F.concat(*[F.col(s).cast("string") for s in scores])
 
@@ -112,5 +108,19 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
+# The words of the published analysis for an association, an effect and a balance.
+def association_label(cramers_v: Column) -> Column:
+    strong, moderate = F.lit("strong association"), F.lit("moderate")
+    return F.when(cramers_v >= 0.7, strong).when(cramers_v >= 0.5, moderate).when(cramers_v.isNotNull(), "adds information beyond M")
+
+
+def effect_size_label(eta_squared: Column) -> Column:
+    return F.when(eta_squared >= 0.14, "large").when(eta_squared >= 0.06, "medium").when(eta_squared.isNotNull(), "small")
+
+
+def balance_label(smd: Column) -> Column:
+    return F.when(F.abs(smd) < 0.10, "YES").when(smd.isNotNull(), "NO !")
+
+
 def log_or_null(x: Column) -> Column:
     return F.when(x > 0, F.log(x))

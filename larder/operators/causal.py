@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.columns import clip, exposure_group, ratio
-from larder.functions.tails import t_p
+from larder.functions.tails import normal_quantile, t_p
 from larder.operators.exposure import truncation_flags
 from larder.operators.linear import Scale, ridge_by_folds
 from larder.operators.ranks import quantiles
 from larder.operators.resampling import ROWS_PER_TASK, EffectBootstrap
 from larder.operators.segmentation import SEGMENT_NAMES
-from larder.operators.statistics import benjamini_hochberg
+from larder.operators.statistics import benjamini_hochberg, sample_size
 from larder.operators.tabulate import union_all
 from larder.operators.value_models import fit_logistic, with_probability
 from larder.session import materialise, small_table, use_all_cores
@@ -24,6 +24,8 @@ from larder.session import materialise, small_table, use_all_cores
 CLIP, CAP = (0.02, 0.98), 0.99
 PANEL_REPLICATES, SEGMENT_REPLICATES, SEED = 2_000, 500, 42
 MIN_ARM, RELIABLE_ARM, ALPHA = 5, 30, 0.05
+# Fixed value: critical value of each of four looks at a total level of 0.05, two-sided.
+FOUR_LOOKS = 2.361
 EFFECT_ALPHAS = (1.0, 10.0, 100.0)
 ALL_SEGMENTS = "All Segments"
 SINGLE_ARM, UNEXPOSED, CONCURRENT = "single_arm", "unexposed", "concurrent"
@@ -186,6 +188,19 @@ def weighted_effect(weighed: DataFrame, outcome: str) -> DataFrame:
     )
 
 
+def required_sizes(weighed: DataFrame, outcome: str, share: float = 0.5, power: float = 0.80) -> DataFrame:
+    """Households per arm to see ``share`` of the measured effect, by one look and by four.
+
+    The spread is the outcome's over both arms; four looks use the constant boundary.
+    """
+    measured = weighted_effect(weighed, outcome).select((share * F.abs("effect")).alias("delta"))
+    spread = weighed.agg(F.stddev_samp(outcome).alias("sigma"))
+    both = spread.withColumn("delta", measured.scalar())
+    z_beta = normal_quantile(power)
+    fixed = sample_size(both, "sigma", "delta", normal_quantile(1 - ALPHA / 2), z_beta).withColumnRenamed("n_per_arm", "n_fixed")
+    return sample_size(fixed, "sigma", "delta", FOUR_LOOKS, z_beta).withColumnRenamed("n_per_arm", "n_sequential")
+
+
 def effective_size(weight: Column) -> Column:
     return F.pow(F.sum(weight), 2) / F.sum(weight * weight)
 

@@ -1,59 +1,63 @@
-"""Cohort retention by calendar quarter."""
+"""Cohort retention by quarter of the study year."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.contract import Study
-from larder.functions.columns import at_midnight, calendar_quarter, ratio, round_to
+from larder.functions.columns import at_midnight, ratio, round_to
+from larder.operators.ordered_joins import at_or_before
+
+
+def study_quarter(ts: Column, study: Study) -> Column:
+    """Quarter 1 to 4 of the study year. What lies before the year is in its first quarter, what lies after in none."""
+    year = study.year_end.year - 1
+    bounds = [*(date(year, month, 1) for month in (4, 7, 10)), study.year_end]
+    quarter = F.when(ts < at_midnight(bounds[0]), 1)
+    for number, bound in enumerate(bounds[1:], 2):
+        quarter = quarter.when(ts < at_midnight(bound), number)
+    return quarter
+
+
+def quarter_label(quarter: Column, study: Study) -> Column:
+    return F.concat(F.lit(f"{study.year_end.year - 1}-Q"), quarter.cast("string"))
 
 
 def quarters_active(clean: DataFrame, study: Study) -> DataFrame:
-    """Per household, the sorted list of quarters with a transaction before the study year's end."""
-    ts = F.col("transaction_timestamp")
-    return (
-        clean.filter(ts < at_midnight(study.year_end))
-        .groupBy("household_id")
-        .agg(F.array_sort(F.collect_set(calendar_quarter(ts))).alias("quarters"))
+    """One row per household and quarter with a transaction."""
+    quarter = study_quarter(F.col("transaction_timestamp"), study)
+    return clean.select("household_id", quarter.alias("quarter")).filter("quarter IS NOT NULL").distinct()
+
+
+def quarter_pairs(active: DataFrame) -> DataFrame:
+    """Each quarter seen in the panel with itself and every later one."""
+    seen = active.select("quarter").distinct()
+    return at_or_before(
+        seen.withColumnRenamed("quarter", "cohort"), seen.withColumnRenamed("quarter", "subsequent"), "cohort", "subsequent"
     )
 
 
+def cohort_activity(active: DataFrame) -> DataFrame:
+    """Households of each cohort (their first quarter) that are active in each quarter."""
+    cohorts = active.groupBy("household_id").agg(F.min("quarter").alias("cohort"))
+    return active.join(cohorts, "household_id").groupBy("cohort", F.col("quarter").alias("subsequent")).agg(F.count(F.lit(1)).alias("n_retained"))
+
+
 def retention_matrix(clean: DataFrame, study: Study) -> DataFrame:
-    """Cohort of first quarter against every later quarter seen in the panel.
-
-    A household is at most four list entries, so the panel reduces to cohort
-    by quarter counts in one pass; the empty cells are added to those.
-    """
-    active = quarters_active(clean, study).withColumn("cohort_quarter", F.element_at("quarters", 1))
-    cells = (
-        active.select("cohort_quarter", F.explode("quarters").alias("subsequent_quarter"))
-        .groupBy("cohort_quarter", "subsequent_quarter")
-        .agg(F.count(F.lit(1)).alias("n_retained"))
-    )
-    cohorts = (
-        cells.groupBy("cohort_quarter")
-        .agg(
-            F.sum(F.when(F.col("cohort_quarter") == F.col("subsequent_quarter"), F.col("n_retained"))).alias("n_cohort"),
-            F.map_from_entries(F.collect_list(F.struct("subsequent_quarter", "n_retained"))).alias("kept"),
-        )
-        .groupBy()
-        .agg(
-            F.collect_list(F.struct("cohort_quarter", "n_cohort", "kept")).alias("rows"),
-            F.array_distinct(F.flatten(F.collect_list(F.map_keys("kept")))).alias("seen"),
-        )
-        .select(F.explode("rows").alias("row"), "seen")
-        .select("row.*", F.explode("seen").alias("subsequent_quarter"))
-        .filter(F.col("subsequent_quarter") >= F.col("cohort_quarter"))
-        .withColumn("n_retained", F.coalesce(F.element_at("kept", F.col("subsequent_quarter")), F.lit(0)))
-    )
-    # quarters counted through the years, so that distances cross year ends
-    number = lambda c: 4 * F.left(c, F.lit(4)).cast("int") + F.right(c, F.lit(1)).cast("int")
-    return cohorts.select(
-        "cohort_quarter",
-        "subsequent_quarter",
+    """Cohort against every later quarter seen in the panel, empty cells too, in order."""
+    active = quarters_active(clean, study)
+    activity = cohort_activity(active)
+    sizes = activity.filter("cohort = subsequent").select("cohort", F.col("n_retained").alias("n_cohort"))
+    cells = quarter_pairs(active).join(sizes, "cohort").join(activity, ["cohort", "subsequent"], "left")
+    retained = F.coalesce("n_retained", F.lit(0))
+    return cells.select(
+        quarter_label(F.col("cohort"), study).alias("cohort_quarter"),
+        quarter_label(F.col("subsequent"), study).alias("subsequent_quarter"),
         "n_cohort",
-        "n_retained",
-        round_to(ratio(F.col("n_retained") * 100, F.col("n_cohort")), 1).alias("retention_rate_pct"),
-        (number(F.col("subsequent_quarter")) - number(F.col("cohort_quarter"))).alias("quarters_since_cohort"),
+        retained.alias("n_retained"),
+        round_to(ratio(retained * 100, F.col("n_cohort")), 1).alias("retention_rate_pct"),
+        (F.col("subsequent") - F.col("cohort")).alias("quarters_since_cohort"),
     ).orderBy("cohort_quarter", "subsequent_quarter")

@@ -11,6 +11,7 @@ from larder.functions.columns import rfm_class, round_to, window_truncation
 from larder.operators import exposure, features
 from larder.operators.cleaning import households, transactions_base, transactions_clean
 from larder.operators.household_sums import household_sums
+from larder.operators.ordered_joins import at_or_before, touching_pairs
 from larder.operators.retention import retention_matrix
 from larder.plans import views
 from larder.sources.panel import derive_panel
@@ -166,15 +167,46 @@ def test_rounding_is_half_away_from_zero(spark):
     assert [r[0] for r in df.select(round_to(F.col("x"), 2)).collect()] == [0.13, -0.13, 2.5]
 
 
-def test_retention_distance_crosses_year_ends(spark):
-    from larder.contract import Study
-    from larder.operators.retention import retention_matrix
+def test_the_study_year_bounds_the_quarters(spark):
+    rows = [(1, "2016-06-15"), (1, "2017-02-01"), (2, "2017-04-01"), (2, "2018-01-01"), (3, "2018-02-01"), (4, "2016-12-31"), (4, "2017-12-31")]
+    clean = spark.createDataFrame(rows, "household_id INT, t STRING").selectExpr("household_id", "CAST(t AS timestamp_ntz) AS transaction_timestamp")
+    got = {(r[0], r[1]): (r.n_cohort, r.n_retained, r.quarters_since_cohort) for r in retention_matrix(clean, Study()).collect()}
+    assert got == {
+        ("2017-Q1", "2017-Q1"): (2, 2, 0),
+        ("2017-Q1", "2017-Q2"): (2, 0, 1),
+        ("2017-Q1", "2017-Q4"): (2, 1, 3),
+        ("2017-Q2", "2017-Q2"): (1, 1, 0),
+        ("2017-Q2", "2017-Q4"): (1, 0, 2),
+    }
 
-    clean = spark.sql(
-        "SELECT 1 AS household_id, CAST(t AS timestamp_ntz) AS transaction_timestamp FROM VALUES ('2016-12-15'), ('2017-02-01') AS v(t)"
-    )
-    got = {r.subsequent_quarter: r.quarters_since_cohort for r in retention_matrix(clean, Study()).collect()}
-    assert got == {"2016-Q4": 0, "2017-Q1": 1}
+
+def test_inequality_join_equals_all_pairs(spark):
+    rng = random.Random(6)
+    left, right = ([(i, rng.choice([None, 5, 5, rng.randrange(100)])) for i in range(n)] for n in (70, 90))
+    want = sorted((i, j) for i, x in left for j, y in right if x is not None and y is not None and x <= y)
+    for ranges in (1, 2, 40):
+        pairs = at_or_before(spark.createDataFrame(left, "i INT, x INT"), spark.createDataFrame(right, "j INT, y INT"), "x", "y", ranges)
+        assert sorted((r.i, r.j) for r in pairs.collect()) == want
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    none = spark.createDataFrame([], "j INT, y INT")
+    assert at_or_before(spark.createDataFrame(left, "i INT, x INT"), none, "x", "y").count() == 0
+
+
+def test_touching_intervals_equal_the_self_join(spark):
+    rng = random.Random(7)
+    base = datetime(2017, 1, 1)
+    rows = []
+    for owner in (1, 2, 3):
+        for item in range(60 if owner == 2 else 8):
+            begin = base + timedelta(days=rng.randrange(300))
+            rows.append((owner, item, begin, begin + timedelta(days=rng.choice([0, 0, 3, 40, 200]))))
+    rows += [(1, 90, None, base), (1, 91, base, None), (1, 92, base + timedelta(days=9), base)]
+    df = spark.createDataFrame(rows, "owner INT, item SMALLINT, begins TIMESTAMP_NTZ, ends TIMESTAMP_NTZ")
+    fine = [r for r in rows if r[2] and r[3] and r[2] <= r[3]]
+    want = sorted((a[0], a[1], b[1]) for a in fine for b in fine if a[0] == b[0] and a[1] != b[1] and a[2] <= b[3] and b[2] <= a[3])
+    for days in (1, 28, 4000):
+        assert sorted(tuple(r) for r in touching_pairs(df, "owner", "item", "begins", "ends", days).collect()) == want
 
 
 def test_household_sums_equal_the_single_blocks(spark):
