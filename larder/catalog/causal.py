@@ -169,8 +169,7 @@ def overlap_table(stages):
 
 def _scored(stages):
     if not hasattr(stages, "_scored_arms"):
-        arms = ca.effect_arms(stages.effect_frame)
-        stages._scored_arms = materialise(ca.with_propensity(arms, ca.PANEL_INPUTS), "effect-scored")
+        stages._scored_arms = materialise(ca.with_propensity(stages.effect_arms, ca.PANEL_INPUTS), "effect-scored")
     return stages._scored_arms
 
 
@@ -192,22 +191,16 @@ def aipw(stages):
     return ca.doubly_robust_effect(_scored(stages), ca.PANEL_INPUTS, "hurdle_pred_clv")
 
 
-def _arms(stages):
-    if not hasattr(stages, "_effect_arms"):
-        stages._effect_arms = materialise(ca.effect_arms(stages.effect_frame), "effect-arms")
-    return stages._effect_arms
-
-
 @query("ca_bootstrap_ipw")
 def bootstrap_ipw(stages):
     """Two thousand refits over the panel."""
-    return ca.panel_effect(_arms(stages))
+    return stages.panel_bootstrap[0]
 
 
 @query("ca_segment_ate")
 def segment_ate(stages):
     """Five hundred refits within each segment, corrected for multiple tests."""
-    return ca.segment_effects(_arms(stages))
+    return stages.segment_bootstrap
 
 
 # shares as p-values, so that the correction can be checked

@@ -115,7 +115,7 @@ def kmeans_sweep(stages):
 def _sweep(stages):
     if not hasattr(stages, "_sweep_table"):
         fit = stages.segmentation
-        stages._sweep_table = sg.sweep_k(fit.scaled, fit.features)
+        stages._sweep_table = sg.sweep_table(fit.scaled, fit.features, fit.fits)
     return stages._sweep_table
 
 
@@ -145,6 +145,47 @@ def calinski_harabasz(stages):
     )
 
 
+_STEP = [[0.5 * i - 0.5] * len(_SCALED) for i in range(4)]
+_STEP_SQL = f"""
+WITH scaled AS (SELECT household_id, [{", ".join(
+    f"({c} - quantile_cont(CAST({c} AS DOUBLE), 0.5) OVER ()) / (quantile_cont(CAST({c} AS DOUBLE), 0.75) OVER () - quantile_cont(CAST({c} AS DOUBLE), 0.25) OVER ())"
+    for c in _SCALED)}] AS x FROM household_features),
+far AS (SELECT household_id, label, list_sum(list_transform(x, lambda v: POWER(v - (0.5 * label - 0.5), 2))) AS d FROM scaled, range(4) AS r(label)),
+near AS (SELECT household_id, MIN(d) AS d, arg_min(label, (d, label)) AS label FROM far GROUP BY household_id)
+SELECT CAST(label AS INTEGER) AS label, COUNT(*) AS size, ROUND(SUM(d), 3) AS inertia FROM near GROUP BY label"""
+
+
+@query("ml_kmeans_step", "features", _STEP_SQL)
+def kmeans_step(stages):
+    """One pass of k-means with fixed centres."""
+    scaled = sg.robust_scale(stages.features, _SCALED).select("household_id", *_SCALED)
+    step = sg.kmeans_step(materialise(scaled, "step"), _SCALED, _STEP).filter("size > 0")
+    return step.select("label", "size", fc.round_to(F.col("inertia"), 3).alias("inertia"))
+
+
+@query(
+    "st_adjusted_rand",
+    "analysis",
+    """WITH c AS (SELECT segment, f_decile, COUNT(*) AS n FROM labelled GROUP BY ALL),
+       p AS (SELECT SUM(n) AS n, SUM(n * (n - 1) / 2) AS joint FROM c),
+       a AS (SELECT SUM(m * (m - 1) / 2) AS a FROM (SELECT SUM(n) AS m FROM c GROUP BY segment)),
+       b AS (SELECT SUM(m * (m - 1) / 2) AS b FROM (SELECT SUM(n) AS m FROM c GROUP BY f_decile))
+       SELECT CAST(n AS BIGINT) AS n, ROUND((joint - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 8) AS ari FROM p, a, b""",
+)
+def adjusted_rand(stages):
+    """Agreement of the rule-based classes with the frequency deciles."""
+    cells = stages.labelled.groupBy("segment", "f_decile").agg(F.count(F.lit(1)).alias("n"))
+    return sg.adjusted_rand(cells, [], "segment", "f_decile", "n").withColumn("ari", fc.round_to(F.col("ari"), 8))
+
+
+@query("ml_bootstrap_ari")
+def bootstrap_ari(stages):
+    """How much the chosen segments change from one bootstrap sample of households to another."""
+    fit = stages.segmentation
+    index = sg.stability(fit.scaled, fit.features, fit.centres)
+    return index.agg(F.count("ari").alias("n_replicates"), F.avg("ari").alias("mean_ari"), F.stddev_samp("ari").alias("sd_ari"), F.min("ari").alias("least_ari"))
+
+
 @query("ml_assign_segments")
 def assign_segments(stages):
     return stages.assignments

@@ -263,10 +263,16 @@ def doubly_robust_effect(scored: DataFrame, inputs: Sequence[str], outcome: str,
     )
 
 
+def fitted_propensity(scale: Scale, beta: Sequence[float]) -> Column:
+    """Chance of treatment from coefficients (constant first) of scaled inputs."""
+    parts = [(F.col(c) - float(m)) / float(d) * float(b) for c, m, d, b in zip(scale.columns, scale.mean, scale.sd, beta[1:])]
+    return 1 / (1 + F.exp(-(sum(parts, F.lit(float(beta[0]))))))
+
+
 def bootstrap_effects(
     arms: DataFrame, group: str, inputs: Sequence[str], replicates: int, seed: int = SEED
-) -> pd.DataFrame:
-    """Effect of every replicate of every group; inputs are scaled before fitting."""
+) -> tuple[pd.DataFrame, dict[str, Column]]:
+    """Effect of every replicate of every group, and each group's fitted propensity; inputs are scaled before fitting."""
     scale = Scale.of(arms, inputs)
     rows = scale.apply(arms).select(
         F.col(group).cast("string").alias(group),
@@ -275,11 +281,12 @@ def bootstrap_effects(
         F.col("treated").cast("double").alias("treated"),
         F.col("hurdle_pred_clv").alias("outcome"),
     )
-    stored = use_all_cores(materialise(rows, "bootstrap-rows"), "household_id", ROWS_PER_TASK).persist()
-    try:
-        return EffectBootstrap(stored, group, "household_id", inputs, replicates, seed, CLIP, CAP, MIN_ARM).effects()
-    finally:
-        stored.unpersist()
+    stored = materialise(rows, "bootstrap-rows")
+    spread = use_all_cores(stored, "household_id", ROWS_PER_TASK)
+    stored = stored if spread is stored else materialise(spread, "bootstrap-spread")
+    bootstrap = EffectBootstrap(stored, group, "household_id", inputs, replicates, seed, CLIP, CAP, MIN_ARM)
+    drawn = bootstrap.effects()
+    return drawn, {name: fitted_propensity(scale, beta) for name, beta in bootstrap.sample_fit.items()}
 
 
 def summarise_replicates(replicates: DataFrame, group: str) -> DataFrame:
@@ -323,30 +330,31 @@ def summarise_replicates(replicates: DataFrame, group: str) -> DataFrame:
 def segment_effects(arms: DataFrame, replicates: int = SEGMENT_REPLICATES) -> DataFrame:
     """Weighted effect per named segment, refitted within it, with corrected significance."""
     named = arms.filter(F.col("cluster_name").isin(*SEGMENT_NAMES))
-    drawn = bootstrap_effects(named, "cluster_name", COVARIATES, replicates)
+    drawn, _ = bootstrap_effects(named, "cluster_name", COVARIATES, replicates)
     table = summarise_replicates(arms.sparkSession.createDataFrame(drawn), "cluster_name")
     return benjamini_hochberg(table, "p", ALPHA)
 
 
-def panel_effect(arms: DataFrame, replicates: int = PANEL_REPLICATES) -> DataFrame:
-    """Weighted effect over the panel with a bootstrap interval."""
+def panel_effect(arms: DataFrame, replicates: int = PANEL_REPLICATES) -> tuple[DataFrame, Column]:
+    """Weighted effect over the panel with a bootstrap interval, and the propensity that it rests on."""
     whole = arms.withColumn("whole", F.lit(ALL_SEGMENTS))
-    drawn = bootstrap_effects(whole, "whole", PANEL_INPUTS, replicates)
+    drawn, propensity = bootstrap_effects(whole, "whole", PANEL_INPUTS, replicates)
     table = summarise_replicates(arms.sparkSession.createDataFrame(drawn), "whole")
-    return table.withColumn("bh_reject", F.lit(None).cast("boolean"))
+    return table.withColumn("bh_reject", F.lit(None).cast("boolean")), propensity[ALL_SEGMENTS]
 
 
 def effect_arms(frame: DataFrame) -> DataFrame:
     return model_inputs(treatment_arms(frame), "cluster_name", INDICATOR_LEVELS)
 
 
-def campaign_effects(frame: DataFrame) -> DataFrame:
+def campaign_effects(arms: DataFrame, panel: DataFrame, propensity: Column, segments: DataFrame) -> DataFrame:
     """Naive, weighted and doubly robust rows stacked, one per segment and estimate.
 
-    ``frame`` is read several times: pass a stored table.
+    ``panel`` and ``propensity`` are those of ``panel_effect``, ``segments`` is from
+    ``segment_effects``; every row of the whole panel rests on that one propensity.
+    ``arms`` is read several times: pass a stored table.
     """
-    arms = materialise(effect_arms(frame), "effect-arms")
-    scored = materialise(with_propensity(arms, PANEL_INPUTS), "effect-scored")
+    scored = materialise(arms.withColumn("ps", propensity), "effect-scored")
     report = small_table(
         trim_report(with_weights(scored)).select(
             F.lit(ALL_SEGMENTS).alias("segment_name"), "ess_treated", "ess_control"
@@ -370,8 +378,7 @@ def campaign_effects(frame: DataFrame) -> DataFrame:
         nothing("boolean").alias("survived_bh_correction"),
     )
     weighted_rows = (
-        panel_effect(arms)
-        .unionByName(segment_effects(arms))
+        panel.unionByName(segments)
         .join(report, "segment_name", "left")
         .select(
             "segment_name",

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from larder.session import use_all_cores
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
-ROWS_PER_TASK = 1_000  # each row meets thousands of replicates
+# each row meets thousands of replicates
+ROWS_PER_TASK, MOST_ROWS = 1_000, 50_000
 _BLOCK = 2_000_000  # cells of the row-by-replicate block a task works on
 
 
@@ -46,17 +47,24 @@ def reduce_rows(
     group: str,
     key: str,
     columns: Sequence[str],
-    replicates: int,
+    numbers: np.ndarray,
     width: int,
     seed: int,
     block_sums: Callable[[object, np.ndarray, np.ndarray], np.ndarray],
+    largest: int = 0,
 ) -> DataFrame:
-    """Sum ``block_sums(group, rows, draws)`` (replicates + 1 by ``width``) over all rows.
+    """Sum ``block_sums(group, rows, draws)`` (replicates by ``width``) over all rows.
 
-    Returns ``group``, ``replicate`` and an array of ``width`` sums.
+    The last ``largest`` columns are combined by their maximum. Returns ``group``,
+    ``replicate`` and an array of ``width`` values. Pass a stored table: rows are counted
+    and dealt to tasks of at most ``MOST_ROWS``.
     """
-    names = list(columns)
-    numbers = np.arange(replicates + 1)
+    names, added = list(columns), width - largest
+
+    def combined(before: np.ndarray | None, new: np.ndarray) -> np.ndarray:
+        if before is None:
+            return new
+        return np.column_stack([before[:, :added] + new[:, :added], np.maximum(before[:, added:], new[:, added:])])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[object, np.ndarray] = {}
@@ -66,14 +74,14 @@ def reduce_rows(
                 ids, data = rows[key].to_numpy(), rows[names].to_numpy(float)
                 for at in range(0, len(rows), step):
                     draws = poisson_draws(ids[at : at + step], numbers, seed)
-                    sums[name] = sums.get(name, 0) + block_sums(name, data[at : at + step], draws)
+                    sums[name] = combined(sums.get(name), block_sums(name, data[at : at + step], draws))
         for name, total in sums.items():
             yield pd.DataFrame({group: name, "replicate": numbers, "sums": list(total)})
 
     schema = f"{group} STRING, replicate INT, sums ARRAY<DOUBLE>"
-    parts = use_all_cores(df.select(group, key, *names), key, ROWS_PER_TASK).mapInPandas(partial, schema)
+    parts = use_all_cores(df.select(group, key, *names), key, ROWS_PER_TASK, MOST_ROWS).mapInPandas(partial, schema)
     return parts.groupBy(group, "replicate").agg(
-        F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums")
+        F.array(*[(F.sum if i < added else F.max)(F.col("sums")[i]) for i in range(width)]).alias("sums")
     )
 
 
@@ -86,7 +94,7 @@ def bootstrap_means(
     def block(_, data: np.ndarray, draws: np.ndarray) -> np.ndarray:
         return draws.T @ np.column_stack([np.ones(len(data)), data])
 
-    sums = reduce_rows(rows, group, key, values, replicates, len(values) + 1, seed, block)
+    sums = reduce_rows(rows, group, key, values, np.arange(replicates + 1), len(values) + 1, seed, block)
     means = sums.filter(F.col("sums")[0] > 0).select(
         group,
         "replicate",
@@ -117,12 +125,14 @@ def _raw_weights(
 class EffectBootstrap:
     """Inverse-probability effects refitted on every replicate of every group.
 
-    The propensity models of all replicates take Newton steps together: each
-    step is one pass that sums gradients and curvatures per replicate. The
-    weight cap of each replicate is located by four counting passes.
+    The sample itself (replicate 0) is fitted first. From its fit the propensity models
+    of all replicates take Newton steps together: each step is one pass that sums
+    gradients and curvatures per replicate. The weight cap of each replicate is the exact
+    quantile of its raw weights: counting passes narrow a bracket around each of the two
+    order statistics until it holds a single weight.
     """
 
-    STEPS, CELLS, NARROWINGS = 25, 64, 4
+    STEPS, CELLS, NARROWINGS = 25, 64, 40
 
     def __init__(
         self,
@@ -139,15 +149,17 @@ class EffectBootstrap:
         self.df, self.group, self.key = df, group, key
         self.covariates, self.replicates, self.seed = list(covariates), replicates, seed
         self.clip, self.cap, self.min_arm = clip, cap, min_arm
+        #: Per group the coefficients (constant first) of the sample's propensity model.
+        self.sample_fit: dict[str, np.ndarray] = {}
 
-    def _pass(self, block: Callable, width: int) -> dict[str, np.ndarray]:
+    def _pass(self, block: Callable, width: int, numbers: np.ndarray | None = None, largest: int = 0) -> dict[str, np.ndarray]:
         """Sums per group, replicates by ``width``: bounded by the replicate count."""
-        table = reduce_rows(
-            self.df, self.group, self.key, [*self.covariates, "treated", "outcome"], self.replicates, width, self.seed, block
-        )
+        numbers = np.arange(self.replicates + 1) if numbers is None else numbers
+        columns = [*self.covariates, "treated", "outcome"]
+        table = reduce_rows(self.df, self.group, self.key, columns, numbers, width, self.seed, block, largest)
         rows: dict[str, np.ndarray] = {}
         for group, replicate, sums in table.toPandas().itertuples(index=False):
-            rows.setdefault(group, np.zeros((self.replicates + 1, width)))[replicate] = sums
+            rows.setdefault(group, np.zeros((len(numbers), width)))[np.searchsorted(numbers, replicate)] = sums
         return rows
 
     def _moments(self) -> dict[str, np.ndarray]:
@@ -157,10 +169,12 @@ class EffectBootstrap:
 
         return self._pass(block, 2 + 2 * len(self.covariates))
 
-    def _fit(self, moments: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def _fit(self, moments: dict[str, np.ndarray], start: dict[str, np.ndarray] | None, numbers: np.ndarray) -> dict[str, np.ndarray]:
+        """Coefficients of some replicates of every group, from given ones or zero."""
         d = len(self.covariates)
         weight, beta, scaled = {}, {}, {}
-        for group, m in moments.items():
+        for group, every in moments.items():
+            m = every[numbers]
             n = np.maximum(m[:, :1], 1.0)
             variance = m[:, 2 + d :] / n - (m[:, 2 : 2 + d] / n) ** 2
             constant = variance <= 1e-12
@@ -169,7 +183,7 @@ class EffectBootstrap:
             # replicates with too small an arm are left at zero and not used
             fitted = (m[:, 1] >= self.min_arm) & (m[:, 0] - m[:, 1] >= self.min_arm)
             scaled[group] = np.column_stack([fitted, ~constant & fitted[:, None]])
-            beta[group] = np.zeros((len(n), d + 1))
+            beta[group] = np.where(scaled[group], start[group], 0.0) if start else np.zeros((len(n), d + 1))
         for _ in range(self.STEPS):
             current = dict(beta)
 
@@ -181,7 +195,7 @@ class EffectBootstrap:
                 return np.column_stack([slope, (draws * mu * (1.0 - mu)).T @ outer])
 
             largest = 0.0
-            for group, sums in self._pass(block, (d + 1) + (d + 1) ** 2).items():
+            for group, sums in self._pass(block, (d + 1) + (d + 1) ** 2, numbers).items():
                 slope = sums[:, : d + 1] - weight[group] * beta[group]
                 curve = sums[:, d + 1 :].reshape(-1, d + 1, d + 1)
                 curve = curve + weight[group][:, :, None] * np.eye(d + 1) + 1e-9 * np.eye(d + 1)
@@ -195,45 +209,64 @@ class EffectBootstrap:
         return beta
 
     def _caps(self, moments: dict[str, np.ndarray], beta: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Per replicate the interpolated cap quantile of the raw weights."""
+        """Per replicate the interpolated cap quantile of the raw weights, exact.
+
+        Draws are counted in the cells of each bracket; the cell with the wanted rank,
+        from its least to its largest weight, is the next bracket.
+        """
         low, high, target, share = {}, {}, {}, {}
         for group, m in moments.items():
             position = self.cap * np.maximum(m[:, 0] - 1.0, 0.0)
             target[group] = np.floor(position)[:, None] + np.array([1.0, 2.0])
             target[group] = np.minimum(target[group], np.maximum(m[:, :1], 1.0))
             share[group] = position - np.floor(position)
-            low[group] = np.ones_like(target[group]) * (1.0 - 1e-9)
-            high[group] = np.ones_like(target[group]) / min(self.clip[0], 1.0 - self.clip[1]) * (1.0 + 1e-9)
+            low[group] = np.zeros_like(target[group])
+            high[group] = np.ones_like(target[group]) / min(self.clip[0], 1.0 - self.clip[1]) * 2.0
         cells, bounds = self.CELLS, self.clip
         for _ in range(self.NARROWINGS):
             lo, hi = dict(low), dict(high)
 
             def block(group, data, draws):
                 w, _ = _raw_weights(beta[group], data, bounds)
-                counts = []
+                reps = w.shape[1]
+                counts, ends = [], []
                 for side in (0, 1):
-                    start, width = lo[group][:, side], hi[group][:, side] - lo[group][:, side]
-                    cell = np.clip(np.floor((w - start) / width * cells), -1, cells).astype(int) + 1
-                    flat = (np.arange(w.shape[1]) * (cells + 2) + cell).ravel()
-                    counts.append(np.bincount(flat, draws.ravel(), w.shape[1] * (cells + 2)).reshape(w.shape[1], -1))
-                return np.column_stack(counts)
-
-            for group, sums in self._pass(block, 2 * (cells + 2)).items():
+                    start, stop = lo[group][:, side], hi[group][:, side]
+                    width = np.where(stop > start, stop - start, 1.0)
+                    cell = np.clip(np.floor((w - start) / width * cells), 0, cells - 1).astype(int)
+                    # of two ends that a cell can't tell apart, the upper one is in the last cell
+                    cell = np.where((w >= stop) & (stop > start), cells - 1, cell)
+                    place = np.where(w < start, 0, np.where(w > stop, cells + 1, cell + 1))
+                    flat = np.arange(reps) * (cells + 2) + place
+                    counts.append(np.bincount(flat.ravel(), draws.ravel(), reps * (cells + 2)).reshape(reps, -1))
+                    in_cell = (draws > 0) & (place > 0) & (place <= cells)
+                    for sign in (-1.0, 1.0):
+                        end = np.full(reps * (cells + 2), -np.inf)
+                        np.maximum.at(end, flat[in_cell], sign * w[in_cell])
+                        ends.append(end.reshape(reps, -1)[:, 1:-1])
+                return np.column_stack([*counts, *ends])
+
+            width = cells + 2
+            for group, sums in self._pass(block, 2 * width + 4 * cells, largest=4 * cells).items():
+                reps = np.arange(len(sums))
                 for side in (0, 1):
-                    counts = np.cumsum(sums[:, side * (cells + 2) : (side + 1) * (cells + 2)], axis=1)
-                    hit = np.argmax(counts >= target[group][:, side : side + 1], axis=1)
-                    inside = np.clip(hit - 1, 0, cells - 1)
-                    width = (high[group][:, side] - low[group][:, side]) / cells
-                    low[group][:, side] += inside * width
-                    high[group][:, side] = low[group][:, side] + width
-        return {
-            g: high[g][:, 0] + (high[g][:, 1] - high[g][:, 0]) * share[g] for g in moments
-        }
+                    counts = np.cumsum(sums[:, side * width : (side + 1) * width], axis=1)
+                    hit = np.clip(np.argmax(counts >= target[group][:, side : side + 1], axis=1) - 1, 0, cells - 1)
+                    at = 2 * width + 2 * side * cells
+                    least, most = -sums[reps, at + hit], sums[reps, at + cells + hit]
+                    found = np.isfinite(least)  # not so where a replicate drew no row
+                    low[group][:, side] = np.where(found, least, 0.0)
+                    high[group][:, side] = np.where(found, most, 0.0)
+            if all((low[g] == high[g]).all() for g in low):
+                break
+        return {g: low[g][:, 0] + (low[g][:, 1] - low[g][:, 0]) * share[g] for g in moments}
 
     def effects(self) -> pd.DataFrame:
         """group, replicate, n_treated, n_control, effect; replicate 0 is the sample itself."""
         moments = self._moments()
-        beta = self._fit(moments)
+        sample = self._fit(moments, None, np.array([0]))
+        self.sample_fit = {group: beta[0] for group, beta in sample.items()}
+        beta = self._fit(moments, sample, np.arange(self.replicates + 1))
         caps, bounds = self._caps(moments, beta), self.clip
 
         def block(group, data, draws):

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +39,8 @@ SWEEP = range(2, 11)
 N_INIT, MAX_ITER, SEED = 20, 500, 42
 # Candidates for starting centres: rounds, and candidates a round per centre.
 SEED_ROUNDS, OVERSAMPLING = 4, 2
+# Passes after which the worse half of a k's restarts leaves; refits of the stability check.
+ROUNDS_KEPT, REPLICATES = (4, 8, 12, 16), 200
 CORRELATED, NEARLY_SAME = 0.70, 0.80
 
 
@@ -106,42 +106,57 @@ def _spread_out(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.
     return np.array(chosen)
 
 
-def _with_nearest(df: DataFrame, columns: Sequence[str], points: np.ndarray) -> DataFrame:
-    """Each row with its nearest point's number, ``near``, and squared distance, ``far``."""
+def _nearest(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest point and squared distance to it."""
+    far = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ points.T + (points**2).sum(axis=1)[None, :], 0.0)
+    near = far.argmin(axis=1)
+    return near, far[np.arange(len(x)), near]
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[list(columns)].to_numpy(float)
-            far = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ points.T + (points**2).sum(axis=1)[None, :], 0.0)
-            near = far.argmin(axis=1)
-            yield batch.assign(near=near.astype("int32"), far=far[np.arange(len(x)), near])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(measured, f"{fields}, near INT, far DOUBLE")
+def _drawn(rows: DataFrame, names: list[str], points: np.ndarray, turn: int, wanted: int) -> np.ndarray:
+    """Households drawn with odds of their squared distance to the points, in one pass.
+
+    A household's key is exponential with its squared distance as the rate; the smallest
+    keys are such a draw, so no total is needed first. Tasks pass on their smallest.
+    """
+    columns = ["household_id", *names]
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            x = batch[names].to_numpy(float)
+            _, far = _nearest(x, points)
+            uniform = (batch["draw"].to_numpy() + 0.5) / float(1 << 53)
+            with np.errstate(divide="ignore"):
+                keyed = batch[columns].assign(key=-np.log(uniform) / far)
+            keyed = keyed[np.isfinite(keyed["key"])]
+            held = (keyed if held is None else pd.concat([held, keyed])).nsmallest(wanted, ["key", "household_id"])
+        if held is not None:
+            yield held
+
+    draw = F.xxhash64("household_id", F.lit(SEED + turn)).bitwiseAND(F.lit((1 << 53) - 1)).alias("draw")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields)
+    kept = rows.select(*columns, draw).mapInPandas(smallest, f"{fields}, key DOUBLE")
+    return kept.orderBy("key", "household_id").limit(wanted).select(*names).toPandas().to_numpy(float)
 
 
 def starting_centres(df: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int) -> dict:
     """Centres for every (k, start), spread over candidates that all households stand for.
 
-    Each round keeps households with odds of their squared distance to the candidates so
-    far, ``OVERSAMPLING`` times the largest k of them on average, however large the panel.
-    Candidates weigh as many households as they are nearest to.
+    Each of some rounds is one pass that draws households with odds of their squared
+    distance to the candidates so far, ``OVERSAMPLING`` times the largest k of them,
+    however large the panel. Candidates weigh as many households as they are nearest to.
     """
     names, spread = list(columns), OVERSAMPLING * max(ks)
     rows = df.select("household_id", *[F.col(c).cast("double").alias(c) for c in names])
     lowest = F.struct(F.xxhash64("household_id", F.lit(SEED)), "household_id")
     points = np.array([rows.agg(F.min_by(F.array(*names), lowest)).first()[0]], float)
     for turn in range(1, SEED_ROUNDS + 1):
-        measured = _with_nearest(rows, names, points)
-        cost = measured.agg(F.sum("far")).first()[0]
-        if not cost:
+        drawn = _drawn(rows, names, points, turn, spread)
+        if not len(drawn):
             break
-        draw = F.xxhash64("household_id", F.lit(SEED + turn)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-        drawn = measured.filter(draw * cost < F.col("far") * spread).select(*names).toPandas().to_numpy(float)
         points = np.unique(np.vstack([points, drawn]), axis=0)
-    weights = np.zeros(len(points))
-    for row in _with_nearest(rows, names, points).groupBy("near").count().collect():
-        weights[row["near"]] = row["count"]
+    weights = _sums(rows, names, {"candidates": points})["candidates"][:, 0]
     return {
         (k, start): _spread_out(points, weights, k, np.random.default_rng([SEED, k, start]))
         for k in ks
@@ -149,59 +164,166 @@ def starting_centres(df: DataFrame, columns: Sequence[str], ks: Sequence[int], n
     }
 
 
-def _assignment_sums(df: DataFrame, columns: Sequence[str], centres: dict) -> dict:
-    """For every run: households, coordinate sums and cost per centre, from one pass."""
-    names, width = list(columns), len(columns)
+def _sums(df: DataFrame, columns: Sequence[str], centres: dict, weigh: Callable | None = None) -> dict:
+    """For every run, from one pass: households, coordinate sums, squared norms and cost per centre.
+
+    ``weigh`` gives the weights of rows (households) by runs (in the order of ``centres``).
+    """
+    names, width = list(columns), len(columns) + 3
     stacked = np.vstack(list(centres.values()))
     edges = np.cumsum([0, *[len(c) for c in centres.values()]])
+    kept = ["household_id", *names] if weigh else names
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(stacked), width + 2))
+        sums = np.zeros((len(stacked), width))
         for batch in batches:
-            x = batch.to_numpy(float)
-            z = np.column_stack([np.ones(len(x)), x])
-            far = (x**2).sum(axis=1)[:, None] - 2 * x @ stacked.T + (stacked**2).sum(axis=1)[None, :]
-            for low, high in zip(edges[:-1], edges[1:]):
+            x = batch[names].to_numpy(float)
+            norms = (x**2).sum(axis=1)
+            z = np.column_stack([np.ones(len(x)), x, norms])
+            far = norms[:, None] - 2 * x @ stacked.T + (stacked**2).sum(axis=1)[None, :]
+            weights = weigh(batch["household_id"].to_numpy()) if weigh else None
+            for run, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
                 label = far[:, low:high].argmin(axis=1)
                 member = (label[:, None] == np.arange(high - low)[None, :]).astype(float)
+                if weights is not None:
+                    member *= weights[:, run : run + 1]
                 sums[low:high, :-1] += member.T @ z
                 sums[low:high, -1] += member.T @ np.maximum(far[np.arange(len(x)), low + label], 0.0)
         yield pd.DataFrame({"centre": np.arange(len(stacked)), "sums": list(sums)})
 
-    parts = df.select(*names).mapInPandas(partial, "centre INT, sums ARRAY<DOUBLE>")
-    table = parts.groupBy("centre").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width + 2)])
-    totals = table.orderBy("centre").toPandas().to_numpy(float)[:, 1:]
+    parts = df.select(*kept).mapInPandas(partial, "centre INT, sums ARRAY<DOUBLE>")
+    table = parts.groupBy("centre").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)])
+    totals = np.zeros((len(stacked), width))
+    for row in table.toPandas().to_numpy(float):
+        totals[int(row[0])] = row[1:]
     return {run: totals[low:high] for run, low, high in zip(centres, edges[:-1], edges[1:])}
 
 
-def kmeans_runs(
+def _moved(sums: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Centres at the means of their households; an empty one stays."""
+    return np.where(sums[:, :1] > 0, sums[:, 1:-2] / np.maximum(sums[:, :1], 1e-300), before)
+
+
+def _tolerance(df: DataFrame, columns: Sequence[str]) -> float:
+    variance = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
+    return 1e-4 * float(np.mean([variance[c] or 0.0 for c in columns]))
+
+
+@dataclass
+class Fit:
+    """The best run of a k: centres, cost, and per centre households, coordinate sums, squared norms and cost."""
+
+    centres: np.ndarray
+    inertia: float
+    sums: np.ndarray
+
+
+def kmeans_fits(
     df: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int = N_INIT, max_iter: int = MAX_ITER
-) -> dict[int, tuple[np.ndarray, float]]:
-    """Best centres and inertia per k over all restarts.
+) -> dict[int, Fit]:
+    """The best run per k over all restarts.
 
-    All restarts of all k move together: a pass over the households serves
-    every run still moving, so the data is read some dozens of times and not
-    once per run and iteration.
+    All restarts of all k move together: one pass over the households serves every run
+    still moving. After the passes in ``ROUNDS_KEPT`` the worse half of a k's restarts
+    leaves, so that the last passes, which only few runs need, are cheap.
     """
     centres = starting_centres(df, columns, ks, n_init)
-    variance = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
-    tolerance = 1e-4 * float(np.mean([variance[c] or 0.0 for c in columns]))
-    moving = dict(centres)
-    for _ in range(max_iter):
-        for run, sums in _assignment_sums(df, columns, moving).items():
-            filled = sums[:, :1] > 0
-            moved = np.where(filled, sums[:, 1:-1] / np.maximum(sums[:, :1], 1.0), centres[run])
+    tolerance = _tolerance(df, columns)
+    moving, cost = dict(centres), {}
+    for number in range(1, max_iter + 1):
+        for run, sums in _sums(df, columns, moving).items():
+            moved = _moved(sums, centres[run])
+            cost[run] = float(sums[:, -1].sum())
             shift = float(((moved - centres[run]) ** 2).sum())
-            centres[run] = moved
+            centres[run] = moving[run] = moved
             if shift <= tolerance:
                 del moving[run]
-            else:
-                moving[run] = moved
+        if number in ROUNDS_KEPT:
+            for k in ks:
+                ranked = sorted((run for run in centres if run[0] == k), key=cost.get)
+                for run in ranked[max(1, -(-len(ranked) // 2)) :]:
+                    del centres[run]
+                    moving.pop(run, None)
         if not moving:
             break
-    cost = {run: float(sums[:, -1].sum()) for run, sums in _assignment_sums(df, columns, centres).items()}
-    best = {k: min((run for run in cost if run[0] == k), key=cost.get) for k in ks}
-    return {k: (centres[run], cost[run]) for k, run in best.items()}
+    last = _sums(df, columns, centres)
+    best = {k: min((run for run in last if run[0] == k), key=lambda run: last[run][:, -1].sum()) for k in ks}
+    return {k: Fit(centres[run], float(last[run][:, -1].sum()), last[run]) for k, run in best.items()}
+
+
+def kmeans_runs(
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int = N_INIT, max_iter: int = MAX_ITER
+) -> dict[int, tuple[np.ndarray, float]]:
+    """Best centres and inertia per k over all restarts."""
+    return {k: (fit.centres, fit.inertia) for k, fit in kmeans_fits(df, columns, ks, n_init, max_iter).items()}
+
+
+def kmeans_step(df: DataFrame, columns: Sequence[str], centres: np.ndarray) -> DataFrame:
+    """One pass with given centres: label, households, cost and the centre they would move to."""
+    sums = _sums(df, columns, {"step": np.asarray(centres, float)})["step"]
+    moved = _moved(sums, np.asarray(centres, float))
+    rows = [(i, int(s[0]), float(s[-1]), [float(x) for x in c]) for i, (s, c) in enumerate(zip(sums, moved))]
+    return df.sparkSession.createDataFrame(rows, "label INT, size BIGINT, inertia DOUBLE, centre ARRAY<DOUBLE>")
+
+
+def adjusted_rand(cells: DataFrame, by: Sequence[str], a: str, b: str, n: str) -> DataFrame:
+    """Adjusted Rand index of two labellings from counts ``n`` of label pairs, per value of ``by``."""
+    by = list(by)
+    pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+
+    def margin(label: str) -> DataFrame:
+        sums = cells.groupBy(*by, label).agg(F.sum(n).alias("m"))
+        return sums.groupBy(*by).agg(F.sum(pairs("m")).alias(f"in_{label}"))
+
+    whole = cells.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(pairs(n)).alias("both"))
+    joined = whole.join(margin(a), by) if by else whole.withColumn(f"in_{a}", margin(a).scalar())
+    joined = joined.join(margin(b), by) if by else joined.withColumn(f"in_{b}", margin(b).scalar())
+    expected = F.col(f"in_{a}") * F.col(f"in_{b}") / F.nullif(pairs("n"), F.lit(0.0))
+    most = (F.col(f"in_{a}") + F.col(f"in_{b}")) / 2
+    # both labellings put all in one group, or each in its own: the same
+    index = F.when(most == expected, 1.0).otherwise((F.col("both") - expected) / (most - expected))
+    return joined.select(*by, "n", index.alias("ari"))
+
+
+def stability(df: DataFrame, columns: Sequence[str], centres: np.ndarray, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """Adjusted Rand index of each bootstrap refit with the fit, over the replicate's households.
+
+    Replicates weigh households by Poisson draws, start from the fit's centres and move
+    together: a pass serves all that still move. Only counts of label pairs leave the tasks.
+    """
+    from larder.operators.resampling import poisson_draws
+
+    names, tolerance = list(columns), _tolerance(df, columns)
+    found = {r: np.array(centres, float) for r in range(1, replicates + 1)}
+    moving = dict(found)
+    for _ in range(MAX_ITER):
+        numbers = np.array(list(moving))
+        weigh = lambda ids, numbers=numbers: poisson_draws(ids, numbers, seed)
+        for run, sums in _sums(df, names, moving, weigh).items():
+            moved = _moved(sums, found[run])
+            shift = float(((moved - found[run]) ** 2).sum())
+            found[run] = moving[run] = moved
+            if shift <= tolerance:
+                del moving[run]
+        if not moving:
+            break
+    numbers, k = np.array(list(found)), len(centres)
+
+    def contingency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros((len(numbers), k, k), np.int64)
+        for batch in batches:
+            x = batch[names].to_numpy(float)
+            base, _ = _nearest(x, np.asarray(centres, float))
+            drawn = poisson_draws(batch["household_id"].to_numpy(), numbers, seed) > 0
+            for at, run in enumerate(numbers):
+                label, _ = _nearest(x, found[run])
+                cells[at] += np.bincount((base * k + label)[drawn[:, at]], minlength=k * k).reshape(k, k)
+        at, a, b = np.nonzero(cells)
+        yield pd.DataFrame({"replicate": numbers[at], "a": a, "b": b, "n": cells[at, a, b]})
+
+    parts = df.select("household_id", *names).mapInPandas(contingency, "replicate INT, a INT, b INT, n BIGINT")
+    counts = small_table(parts.groupBy("replicate", "a", "b").agg(F.sum("n").alias("n")))
+    return adjusted_rand(counts, ["replicate"], "a", "b", "n")
 
 
 def nearest_centre(columns: Sequence[str], centres: np.ndarray) -> Column:
@@ -218,22 +340,44 @@ def total_spread(df: DataFrame, columns: Sequence[str]) -> tuple[int, float]:
     return row["n"], row["n"] * sum(row[c] or 0.0 for c in columns)
 
 
-def silhouette(df: DataFrame, columns: Sequence[str], centres: np.ndarray) -> float:
-    """Mean silhouette with squared distances, whose means have a closed form per cluster.
+def silhouettes(df: DataFrame, columns: Sequence[str], fits: dict[int, Fit]) -> dict[int, float]:
+    """Mean silhouette of each fit with squared distances, whose means have a closed form per cluster.
 
-    The plain Euclidean one needs all pairs of households.
+    All fits in one pass; the plain Euclidean silhouette needs all pairs of households.
     """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
-    labelled = vectors.select("features", nearest_centre(columns, centres).cast("double").alias("prediction"))
-    return float(ClusteringEvaluator(featuresCol="features", metricName="silhouette").evaluate(labelled))
-
+    names = list(columns)
 
-def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = SWEEP, n_init: int = N_INIT) -> DataFrame:
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = dict.fromkeys(fits, 0.0)
+        for batch in batches:
+            x = batch.to_numpy(float)
+            norms = (x**2).sum(axis=1)
+            for k, fit in fits.items():
+                n, sums, squares = fit.sums[:, 0], fit.sums[:, 1:-2], fit.sums[:, -2]
+                label, _ = _nearest(x, fit.centres)
+                total = np.maximum(norms[:, None] * n + squares - 2 * x @ sums.T, 0.0)
+                rows = np.arange(len(x))
+                own = total[rows, label] / np.maximum(n[label] - 1, 1)
+                other = np.where(n > 0, total / np.maximum(n, 1), np.inf)
+                other[rows, label] = np.inf
+                best = other.min(axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.where(n[label] > 1, (best - own) / np.maximum(best, own), 0.0)
+                totals[k] += float(np.nan_to_num(score).sum())
+        yield pd.DataFrame({"k": list(totals), "total": list(totals.values())})
+
+    parts = df.select(*names).mapInPandas(partial, "k INT, total DOUBLE").groupBy("k").agg(F.sum("total").alias("total"))
+    sums = {row["k"]: row["total"] for row in parts.collect()}
+    return {k: sums[k] / max(1.0, float(fit.sums[:, 0].sum())) for k, fit in fits.items()}
+
+
+def sweep_table(df: DataFrame, columns: Sequence[str], fits: dict[int, Fit]) -> DataFrame:
     """Silhouette, inertia and Calinski-Harabasz of the best run per k."""
     n, total = total_spread(df, columns)
+    score = silhouettes(df, columns, fits)
     rows = [
-        (k, silhouette(df, columns, centres), inertia, ((total - inertia) / (k - 1)) / (inertia / (n - k)))
-        for k, (centres, inertia) in kmeans_runs(df, columns, ks, n_init).items()
+        (k, score[k], fit.inertia, ((total - fit.inertia) / (k - 1)) / (fit.inertia / (n - k)))
+        for k, fit in fits.items()
     ]
     return df.sparkSession.createDataFrame(
         rows, "k INT, silhouette DOUBLE, inertia DOUBLE, calinski_harabasz DOUBLE"
@@ -314,33 +458,38 @@ def heuristic_names(cluster_medians: DataFrame) -> DataFrame:
 
 @dataclass
 class Segmentation:
-    """Chosen inputs, scaled rows, centres and the named households."""
+    """Chosen inputs, scaled rows, the fit of every k, the chosen centres and the named households."""
 
     features: list[str]
     scaled: DataFrame
+    fits: dict[int, Fit]
     centres: np.ndarray
     assignments: DataFrame
 
 
 def cluster_input(features: DataFrame) -> tuple[list[str], DataFrame]:
-    """Chosen inputs and their scaled values, stored and kept in memory for the passes."""
+    """Chosen inputs and their scaled values, stored for the passes."""
     transformed = materialise(transform_features(impute_for_clustering(features)), "cluster-input")
     chosen = choose_features(collinear_pairs(transformed))
-    scaled = robust_scale(transformed.select("household_id", *chosen), chosen)
-    return chosen, use_all_cores(materialise(scaled, "cluster-scaled"), "household_id", 2_000).persist()
+    scaled = materialise(robust_scale(transformed.select("household_id", *chosen), chosen), "cluster-scaled")
+    spread = use_all_cores(scaled, "household_id", 2_000)
+    return chosen, scaled if spread is scaled else materialise(spread, "cluster-spread")
 
 
-def segment_households(features: DataFrame, k: int = CHOSEN_K, n_init: int = N_INIT) -> Segmentation:
-    """Cluster on the chosen inputs and name each household's segment."""
+def segment_households(
+    features: DataFrame, k: int = CHOSEN_K, n_init: int = N_INIT, ks: Sequence[int] = SWEEP
+) -> Segmentation:
+    """Cluster on the chosen inputs for every k at once and name each household's segment at ``k``."""
     chosen, scaled = cluster_input(features)
-    centres, _ = kmeans_runs(scaled, chosen, [k], n_init)[k]
-    labels = scaled.select("household_id", nearest_centre(chosen, centres).alias("cluster"))
+    fits = kmeans_fits(scaled, chosen, sorted({*ks, k}), n_init)
+    labels = scaled.select("household_id", nearest_centre(chosen, fits[k].centres).alias("cluster"))
     labelled = materialise(labels.join(features, "household_id"), "clustered")
     named = labelled.join(small_table(name_segments(labelled, "cluster")), "cluster")
     return Segmentation(
         chosen,
         scaled,
-        centres,
+        fits,
+        fits[k].centres,
         named.select(
             "household_id", "cluster", "cluster_name", "r_score", "f_score", "m_score", "rfm_code", "has_demographics"
         ),

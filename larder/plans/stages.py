@@ -123,12 +123,34 @@ class Stages:
 
         return materialise(effect_frame(self.predictions, self.split, self.exposure), "effect-frame")
 
+    @cached_property
+    def effect_arms(self) -> DataFrame:
+        """Single-arm and unexposed households with the inputs of the effect models."""
+        from larder.operators.causal import effect_arms
+
+        return materialise(effect_arms(self.effect_frame), "effect-arms")
+
+    @cached_property
+    def panel_bootstrap(self):
+        """Weighted effect over the panel with its interval, and the fitted propensity."""
+        from larder.operators.causal import panel_effect
+
+        table, propensity = panel_effect(self.effect_arms)
+        return materialise(table, "panel-effect"), propensity
+
+    @cached_property
+    def segment_bootstrap(self) -> DataFrame:
+        """Weighted effect of every segment with its interval."""
+        from larder.operators.causal import segment_effects
+
+        return materialise(segment_effects(self.effect_arms), "segment-effects")
+
     @cached_property
     def effects(self) -> DataFrame:
-        """Weighted effects with bootstrap intervals, panel and segments."""
+        """Naive, weighted and doubly robust effects, panel and segments, from the fits above."""
         from larder.operators.causal import campaign_effects
 
-        return materialise(campaign_effects(self.effect_frame), "effects")
+        return materialise(campaign_effects(self.effect_arms, *self.panel_bootstrap, self.segment_bootstrap), "effects")
 
 
 def open_stages(spark: SparkSession, sf_dir: str) -> Stages:

@@ -103,16 +103,18 @@ def remove_stored(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def use_all_cores(df: DataFrame, key: str, rows_per_task: int) -> DataFrame:
+def use_all_cores(df: DataFrame, key: str, rows_per_task: int, most: int | None = None) -> DataFrame:
     """Shuffle a scan by ``key`` if its few files would leave cores idle.
 
     For heavy row work over few files. A scan with a partition per core passes
-    as it is, unread, so large inputs are never counted or shuffled here.
+    as it is, unread, so large inputs are never counted or shuffled here. With
+    ``most``, for stored tables, tasks get at most about so many rows.
     """
     cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    if parts >= cores:
+    if parts >= cores and most is None:
         return df
-    tasks = min(cores, -(-df.count() // rows_per_task))
+    rows = df.count()
+    tasks = max(min(cores, -(-rows // rows_per_task)), -(-rows // most) if most else 0)
     return df.repartition(tasks, key) if tasks > parts else df
 
 

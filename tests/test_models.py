@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.operators import causal as ca
 from larder.operators import segmentation as sg
 from larder.operators.linear import Scale, breusch_pagan, ordinary_least_squares, ridge_by_folds
-from larder.operators.resampling import bootstrap_means, poisson_draws
+from larder.operators.resampling import EffectBootstrap, _raw_weights, bootstrap_means, poisson_draws
 from larder.operators.value_models import holdout_flag, metrics, worst_residuals
 from larder.session import materialise
 
@@ -73,7 +73,15 @@ def test_kmeans_finds_separate_blobs(spark):
     assert np.allclose(sorted(map(tuple, best[3][0].round(0))), sorted(map(tuple, centres)), atol=1)
     near = ((points[:, None] - best[3][0][None]) ** 2).sum(2)
     assert best[3][1] == pytest.approx(near.min(1).sum())
-    assert sg.silhouette(df, ["x", "y"], best[3][0]) > 0.9
+    fits = sg.kmeans_fits(df, ["x", "y"], [2, 3], n_init=5)
+    score = sg.silhouettes(df, ["x", "y"], fits)
+    labels = ((points[:, None] - fits[3].centres[None]) ** 2).sum(2).argmin(1)
+    every = ((points[:, None] - points[None]) ** 2).sum(2)
+    mean = np.array([[every[i, labels == c].sum() / ((labels == c).sum() - (labels[i] == c)) for c in range(3)] for i in range(180)])
+    own = mean[np.arange(180), labels]
+    mean[np.arange(180), labels] = np.inf
+    other = mean.min(1)
+    assert score[3] == pytest.approx(((other - own) / np.maximum(other, own)).mean()) and score[3] > 0.9 > score[2]
     sizes = df.groupBy(sg.nearest_centre(["x", "y"], best[3][0])).count().collect()
     assert sorted(r["count"] for r in sizes) == [60, 60, 60]
 
@@ -88,6 +96,46 @@ def test_kmeans_finds_a_cluster_of_one_in_a_thousand(spark):
     assert all(np.allclose(first[run], again[run]) for run in first)
 
 
+def _rand(a, b):
+    """Adjusted Rand index by counting all pairs."""
+    same_a, same_b = (np.equal.outer(x, x)[np.triu_indices(len(x), 1)] for x in (np.array(a), np.array(b)))
+    expected = same_a.sum() * same_b.sum() / len(same_a)
+    return ((same_a & same_b).sum() - expected) / ((same_a.sum() + same_b.sum()) / 2 - expected)
+
+
+def test_adjusted_rand_equals_pair_counts(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 4, 90)
+    b = np.where(rng.random(90) < 0.7, a, rng.integers(0, 3, 90))
+    df = spark.createDataFrame(pd.DataFrame({"g": ["x"] * 90, "a": a, "b": b})).groupBy("g", "a", "b").agg(F.count("*").alias("n"))
+    assert sg.adjusted_rand(df, ["g"], "a", "b", "n").first().ari == pytest.approx(_rand(a, b))
+    assert sg.adjusted_rand(df, [], "a", "b", "n").first().ari == pytest.approx(_rand(a, b))
+    one = spark.createDataFrame([(1, 1, 5)], "a INT, b INT, n BIGINT")
+    assert sg.adjusted_rand(one, [], "a", "b", "n").first().ari == 1.0
+
+
+def test_stability_tells_firm_from_arbitrary_segments(spark):
+    rng = np.random.default_rng(6)
+    blobs = np.vstack([c + rng.normal(size=(200, 2)) for c in ([0, 0], [12, 0], [0, 12])])
+    cloud = rng.normal(size=(600, 2))
+    found = {}
+    for name, points in (("blobs", blobs), ("cloud", cloud)):
+        df = materialise(spark.createDataFrame(pd.DataFrame(points, columns=["x", "y"]).assign(household_id=range(600))), name)
+        centres, _ = sg.kmeans_runs(df, ["x", "y"], [3], n_init=4)[3]
+        table = sg.stability(df, ["x", "y"], centres, replicates=12).toPandas()
+        again = sg.stability(df.repartition(5), ["x", "y"], centres, replicates=12).toPandas()
+        assert len(table) == 12 and table.n.between(300, 450).all()
+        assert np.allclose(table.sort_values("replicate").ari, again.sort_values("replicate").ari)
+        found[name] = table.ari.mean()
+    assert found["blobs"] > 0.99 > 0.95 > found["cloud"] > 0
+
+
+def test_a_step_with_given_centres(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 9.0)], "household_id INT, x DOUBLE")
+    got = [tuple(r) for r in sg.kmeans_step(df, ["x"], [[0.0], [10.0], [99.0]]).orderBy("label").collect()]
+    assert got == [(0, 2, 1.0, [0.5]), (1, 1, 1.0, [9.0]), (2, 0, 0.0, [99.0])]
+
+
 def test_choose_k_follows_the_rule(spark):
     rows = [(2, 0.40, 100.0, 9.0), (3, 0.39, 60.0, 8.0), (4, 0.20, 50.0, 7.0), (5, 0.38, 45.0, 6.0)]
     sweep = spark.createDataFrame(rows, "k INT, silhouette DOUBLE, inertia DOUBLE, calinski_harabasz DOUBLE")
@@ -158,10 +206,14 @@ def arms(spark):
 
 def test_joint_refits_agree_with_the_single_fit(arms):
     pdf, df = arms
-    drawn = ca.bootstrap_effects(df.withColumn("whole", F.lit("all")), "whole", ca.PANEL_INPUTS, 200)
+    drawn, propensity = ca.bootstrap_effects(df.withColumn("whole", F.lit("all")), "whole", ca.PANEL_INPUTS, 200)
     scored = materialise(ca.with_propensity(df, ca.PANEL_INPUTS), "scored")
     exact = ca.weighted_effect(ca.with_weights(scored), "hurdle_pred_clv").first().effect
-    assert drawn.effect[drawn.replicate == 0].item() == pytest.approx(exact, abs=0.01)
+    first = drawn.effect[drawn.replicate == 0].item()
+    assert first == pytest.approx(exact, abs=0.01)
+    # with its own fit, the sample's effect is the plain estimate to the last digits: the cap is exact
+    own = materialise(df.withColumn("ps", propensity["all"]), "own-fit")
+    assert first == pytest.approx(ca.weighted_effect(ca.with_weights(own), "hurdle_pred_clv").first().effect, abs=1e-9)
     naive = pdf.groupby("treated").hurdle_pred_clv.mean().diff().iloc[-1]
     rest = drawn.effect[drawn.replicate > 0]
     assert rest.quantile(0.025) < 5 < rest.quantile(0.975) < naive
@@ -169,6 +221,21 @@ def test_joint_refits_agree_with_the_single_fit(arms):
     assert robust == pytest.approx(5, abs=2)
 
 
+def test_caps_of_all_replicates_are_exact_quantiles(arms, spark):
+    pdf, df = arms
+    rows = df.select("household_id", F.lit("all").alias("g"), "log1p_monetary", F.col("treated").cast("double").alias("treated"), F.col("hurdle_pred_clv").alias("outcome"))
+    boot = EffectBootstrap(materialise(rows, "cap-rows"), "g", "household_id", ["log1p_monetary"], 30, 42, ca.CLIP, ca.CAP, ca.MIN_ARM)
+    moments = boot._moments()
+    rng = np.random.default_rng(8)
+    beta = {"all": np.column_stack([rng.normal(-5, 1, 31), rng.normal(1, 0.3, 31)])}
+    got = boot._caps(moments, beta)["all"]
+    data = rows.toPandas().sort_values("household_id")
+    draws = poisson_draws(data.household_id.to_numpy(), np.arange(31), 42)
+    weights, _ = _raw_weights(beta["all"], data[["log1p_monetary", "treated", "outcome"]].to_numpy(float), ca.CLIP)
+    for r in range(31):
+        assert got[r] == pytest.approx(np.quantile(np.repeat(weights[:, r], draws[:, r].astype(int)), ca.CAP), rel=1e-12)
+
+
 def test_equal_weights_reduce_to_the_naive_effect(arms):
     _, df = arms
     flat = ca.with_weights(materialise(df.withColumn("ps", F.lit(0.5)), "flat"))
