@@ -101,10 +101,45 @@ def robust_scale(stages):
     return scaled.select("household_id", *[fc.round_to(F.col(c), 8).alias(c) for c in _SCALED])
 
 
-@query("ml_feature_choice")
+_NAMES = list(sg.CANDIDATES)
+_PAIRS = (
+    f"WITH {IMPUTED}, pairs AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, CORR({STRAIGHT[a]}, {STRAIGHT[b]}) AS r FROM imputed"
+        for i, a in enumerate(_NAMES)
+        for b in _NAMES[i + 1 :]
+    )
+    + ")"
+)
+
+
+def _collinear(stages):
+    if not hasattr(stages, "_collinear_pairs"):
+        rows = materialise(sg.transform_features(sg.impute_for_clustering(stages.features)), "choice")
+        stages._collinear_pairs = small_table(sg.collinear_pairs(rows))
+    return stages._collinear_pairs
+
+
+@query("ml_feature_choice", "features", _PAIRS + " SELECT feature_a, feature_b, ROUND(r, 6) AS r FROM pairs WHERE ABS(r) > 0.7")
 def feature_choice(stages):
-    rows = materialise(sg.transform_features(sg.impute_for_clustering(stages.features)), "choice")
-    return sg.collinear_pairs(rows)
+    return _collinear(stages).withColumn("r", fc.round_to(F.col("r"), 6))
+
+
+@query(
+    "ml_feature_list",
+    "features",
+    _PAIRS
+    + f""", rule AS (
+      SELECT BOOL_OR(feature_a = 'mean_gap_days' AND feature_b = 'gap_score' AND ABS(r) > 0.7) AS no_score,
+             BOOL_OR(feature_a = 'frequency' AND feature_b = 'mean_gap_days' AND ABS(r) > 0.8) AS no_gap FROM pairs)
+    SELECT feature, NOT ((feature = 'gap_score' AND no_score) OR (feature = 'mean_gap_days' AND no_gap)) AS kept
+    FROM (SELECT UNNEST({_NAMES!r}) AS feature), rule""",
+)
+def feature_list(stages):
+    """The candidate inputs, and which stay after the redundant ones are dropped."""
+    kept = sg.choose_features(_collinear(stages))
+    rows = [(name, name in kept) for name in _NAMES]
+    return stages.spark.createDataFrame(rows, "feature STRING, kept BOOLEAN")
 
 
 @query("ml_kmeans_sweep")
@@ -206,6 +241,47 @@ def profile(stages):
     return counts.join(small_table(medians(stored, ["cluster_name"], _PROFILE)), "cluster_name", "left")
 
 
+@query(
+    "ml_profile_rules",
+    "analysis",
+    "SELECT COALESCE(CAST(f_decile AS VARCHAR), 'All') AS cluster_name, "
+    + ", ".join(f"""COUNT(*) FILTER (segment = '{c}') AS "{c}\"""" for c in _CLASSES)
+    + ', COUNT(*) AS "All", '
+    + ", ".join(f"CASE WHEN f_decile IS NOT NULL THEN ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) END AS {c}" for c in _PROFILE)
+    + " FROM labelled GROUP BY ROLLUP (f_decile)",
+)
+def profile_rules(stages):
+    """Medians and class counts per frequency decile: the profile of a labelling that SQL knows."""
+    rows = stages.labelled.select("household_id", F.col("f_decile").cast("string").alias("cluster_name"), "segment", *_PROFILE)
+    stored = materialise(rows, "profile-rules")
+    counts = crosstab_margins(stored, "cluster_name", "segment", _CLASSES)
+    middle = medians(stored, ["cluster_name"], _PROFILE).select("cluster_name", *[fc.round_to(F.col(c), 6).alias(c) for c in _PROFILE])
+    return counts.join(small_table(middle), "cluster_name", "left")
+
+
+_CURVE = """
+WITH curve AS (
+  SELECT f_decile AS k, ROUND(AVG(top_store_trip_share), 8) AS silhouette, CAST(SUM(frequency) AS DOUBLE) AS inertia,
+         CAST(SUM(recency_days) AS DOUBLE) AS calinski_harabasz FROM household_features GROUP BY f_decile),
+bend AS (SELECT k, LAG(inertia) OVER (ORDER BY k) - 2 * inertia + LEAD(inertia) OVER (ORDER BY k) AS d2 FROM curve),
+elbow AS (SELECT k AS elbow_k FROM bend WHERE d2 IS NOT NULL ORDER BY d2 DESC, k LIMIT 1)
+SELECT arg_max(k, silhouette) AS silhouette_k, arg_max(k, calinski_harabasz) AS ch_k, elbow_k,
+       GREATEST(3, LEAST(7, (SELECT k FROM curve WHERE silhouette >= 0.9 * (SELECT MAX(silhouette) FROM curve)
+                             ORDER BY ABS(k - elbow_k), k LIMIT 1))) AS chosen_k FROM curve, elbow GROUP BY elbow_k"""
+
+
+@query("ml_choose_k_curve", "features", _CURVE)
+def choose_k_curve(stages):
+    """The rule that chooses k, on a curve over the frequency deciles."""
+    total = lambda c: F.sum(c).cast("double")
+    curve = stages.features.groupBy(F.col("f_decile").alias("k")).agg(
+        fc.round_to(F.avg("top_store_trip_share"), 8).alias("silhouette"),
+        total("frequency").alias("inertia"),
+        total("recency_days").alias("calinski_harabasz"),
+    )
+    return sg.choose_k(small_table(curve))
+
+
 @query(
     "prj_segment_name",
     "features",
@@ -256,7 +332,14 @@ def model_folder(stages):
 # ---- value models -----------------------------------------------------------
 
 
-@query("ml_split_strat")
+@query(
+    "ml_split_strat",
+    "split",
+    """WITH s AS (SELECT CASE WHEN clv_pred_window > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS returned, COUNT(*) AS n,
+                         CAST(ROUND(COUNT(*) * 0.2) AS BIGINT) AS held FROM clv_split WHERE NOT is_pred_only GROUP BY 1)
+       SELECT returned, TRUE AS is_holdout, held AS n FROM s WHERE held > 0
+       UNION ALL SELECT returned, FALSE, n - held FROM s WHERE n > held""",
+)
 def split_strat(stages):
     return stages.value_models.frame.groupBy("returned", "is_holdout").agg(F.count(F.lit(1)).alias("n"))
 

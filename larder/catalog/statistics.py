@@ -8,6 +8,7 @@ from larder.catalog import query
 from larder.functions import columns as fc
 from larder.operators import statistics as st
 from larder.operators.resampling import bootstrap_means
+from larder.operators.tabulate import crosstab_long
 
 OUTCOME = "outcome"
 
@@ -63,9 +64,16 @@ def levene(stages):
     return rounded(st.levene_median(stages.estimation, "segment", OUTCOME).drop("p"), 6, "f")
 
 
-@query("st_residual_shape")
+@query(
+    "st_residual_shape",
+    "analysis",
+    """WITH e AS (SELECT outcome - AVG(outcome) OVER (PARTITION BY segment) AS e FROM estimation),
+       c AS (SELECT e - AVG(e) OVER () AS d FROM e)
+       SELECT COUNT(*) AS n, ROUND(AVG(POWER(d, 3)) / POWER(AVG(d * d), 1.5), 6) AS skew,
+              ROUND(AVG(POWER(d, 4)) / POWER(AVG(d * d), 2) - 3, 6) AS kurtosis FROM c""",
+)
 def residual_shape(stages):
-    return st.residual_shape(stages.estimation, "segment", OUTCOME)
+    return rounded(st.residual_shape(stages.estimation, "segment", OUTCOME), 6, "skew", "kurtosis")
 
 
 @query(
@@ -146,6 +154,34 @@ def redemption_by_segment(stages):
     return _chi2_result(st.contingency_test(single, "segment", "ever_redeemed", [False, True]))
 
 
+@query(
+    "st_redemption_table",
+    "analysis",
+    """WITH single AS (SELECT segment, ever_redeemed FROM estimation WHERE exposure_group = 'single_arm'),
+       cells AS (SELECT s.segment, v.redeemed, COUNT(x.segment) AS n FROM (SELECT DISTINCT segment FROM single) s
+                 CROSS JOIN (VALUES (FALSE), (TRUE)) AS v(redeemed)
+                 LEFT JOIN single x ON x.segment = s.segment AND x.ever_redeemed = v.redeemed GROUP BY ALL)
+       SELECT segment, CAST(redeemed AS VARCHAR) AS ever_redeemed, n, ROUND(100.0 * n / SUM(n) OVER (PARTITION BY segment), 6) AS row_pct FROM cells""",
+)
+def redemption_table(stages):
+    """Redeemers and others per segment, with their share of the segment."""
+    single = stages.estimation.filter(F.col("exposure_group") == "single_arm")
+    return rounded(crosstab_long(single, "segment", "ever_redeemed", [False, True]), 6, "row_pct")
+
+
+@query(
+    "st_bootstrap_sample",
+    "analysis",
+    """SELECT segment, m.measure, COUNT(*) AS n, ROUND(AVG(m.x), 6) AS mean FROM (
+         SELECT segment, UNNEST([{'measure': 'outcome', 'x': outcome}, {'measure': 'obs_monetary', 'x': obs_monetary}]) AS m FROM estimation)
+       GROUP BY ALL""",
+)
+def bootstrap_sample(stages):
+    """Replicate 0 of the bootstrap: the sample itself."""
+    means = bootstrap_means(stages.estimation, "segment", "household_id", ["outcome", "obs_monetary"], replicates=20)
+    return rounded(means.select("segment", "measure", "n", "mean"), 6, "mean")
+
+
 @query(
     "st_welch_t",
     "analysis",

@@ -61,9 +61,8 @@ def household_scored_extract(
         "obs_recency_days",
         "obs_tenure_days",
         "has_demographics",
-        "m_score",
-        "r_score",
-        "f_score",
+        # scores that came as text become numbers, what is none becomes NULL
+        *[F.col(c).try_cast("int").alias(c) for c in ("m_score", "r_score", "f_score")],
         "is_pred_only",
     )
 
