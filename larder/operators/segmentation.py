@@ -41,6 +41,8 @@ N_INIT, MAX_ITER, SEED = 20, 500, 42
 SEED_ROUNDS, OVERSAMPLING = 4, 2
 # Passes after which the worse half of a k's restarts leaves; refits of the stability check.
 ROUNDS_KEPT, REPLICATES = (4, 8, 12, 16), 200
+# Rows whose distances to all centres a task holds at once.
+ROWS_AT_ONCE = 2_000
 CORRELATED, NEARLY_SAME = 0.70, 0.80
 
 
@@ -173,22 +175,31 @@ def _sums(df: DataFrame, columns: Sequence[str], centres: dict, weigh: Callable
     stacked = np.vstack(list(centres.values()))
     edges = np.cumsum([0, *[len(c) for c in centres.values()]])
     kept = ["household_id", *names] if weigh else names
+    # runs with equally many centres are handled together: run numbers, and their centres' numbers
+    sizes = np.diff(edges)
+    alike = [(np.flatnonzero(sizes == k), k, (edges[:-1][sizes == k][:, None] + np.arange(k)).ravel()) for k in np.unique(sizes)]
+
+    def add(sums: np.ndarray, x: np.ndarray, weights: np.ndarray | None) -> None:
+        norms = (x**2).sum(axis=1)
+        z = np.column_stack([np.ones(len(x)), x, norms])
+        rows = np.arange(len(x))[:, None]
+        for runs, k, numbers in alike:
+            points = stacked[numbers]
+            far = np.maximum(norms[:, None] - 2 * x @ points.T + (points**2).sum(axis=1)[None, :], 0.0).reshape(len(x), -1, k)
+            place = np.arange(len(runs)) * k + far.argmin(axis=2)
+            member = np.zeros((len(x), len(numbers)))
+            member[rows, place] = 1.0 if weights is None else weights[:, runs]
+            sums[numbers, :-1] += member.T @ z
+            sums[numbers, -1] += np.einsum("ij,ij->j", member, far.reshape(len(x), -1))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(stacked), width))
         for batch in batches:
             x = batch[names].to_numpy(float)
-            norms = (x**2).sum(axis=1)
-            z = np.column_stack([np.ones(len(x)), x, norms])
-            far = norms[:, None] - 2 * x @ stacked.T + (stacked**2).sum(axis=1)[None, :]
             weights = weigh(batch["household_id"].to_numpy()) if weigh else None
-            for run, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
-                label = far[:, low:high].argmin(axis=1)
-                member = (label[:, None] == np.arange(high - low)[None, :]).astype(float)
-                if weights is not None:
-                    member *= weights[:, run : run + 1]
-                sums[low:high, :-1] += member.T @ z
-                sums[low:high, -1] += member.T @ np.maximum(far[np.arange(len(x)), low + label], 0.0)
+            for at in range(0, len(x), ROWS_AT_ONCE):
+                part = slice(at, at + ROWS_AT_ONCE)
+                add(sums, x[part], None if weights is None else weights[part])
         yield pd.DataFrame({"centre": np.arange(len(stacked)), "sums": list(sums)})
 
     parts = df.select(*kept).mapInPandas(partial, "centre INT, sums ARRAY<DOUBLE>")
