@@ -50,7 +50,7 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a shared folder's URI."""
     uri = re.sub(r"^file:/*", "/", uri)
     if "://" not in uri:
-        return fs.LocalFileSystem(), uri
+        return fs.LocalFileSystem(use_mmap=True), uri
     return fs.FileSystem.from_uri(uri)
 
 

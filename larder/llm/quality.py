@@ -6,9 +6,10 @@ is its bytes in a long, so its history is a shift and its suffix a mask; counts,
 continuation counts, discounts, back-off weights and probabilities come from
 grouped counts and joins that Spark hash-partitions by those longs.
 
-Scoring joins every byte position with the stored model, shard by shard: a task
-holds one shard of bounded size at a time. Positions that no shard has as a full
-n-gram back off through ever shorter histories.
+Scoring looks every byte position up in the stored model, whose shards are files of
+bounded size that the tasks of a shuffle by n-gram write: a worker holds a few at a
+time and finds an n-gram's shard from its key. Positions that their shard doesn't have
+as a full n-gram back off through ever shorter histories.
 
 A short text says little, so a text's excess is its log perplexity less the median of
 its language, as if ``PRIOR_BYTES`` bytes of median perplexity were added to it. A
@@ -29,6 +30,8 @@ by ``accepted_documents``.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +45,14 @@ from larder.operators.ranks import quantiles
 from larder.session import materialise, scratch_path
 
 ORDER = 5
-SHARD_GRAMS = 2_000_000
+#: n-grams of a model shard (32 to 64 bytes each in memory), and shards that a worker holds.
+SHARD_GRAMS, SHARDS_HELD = 500_000, 4
 LEVEL, LEAST = 0.995, 20
 PRIOR_BYTES = 1024
 HELD_OUT_OF = 5
-_SLICE = 1 << 21
+#: Trusted documents whose ids are broadcast, 8 bytes each, so that no text is shuffled; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+_SLICE = 1 << 19
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int
         for n in range(1, order):
             held.append(_grams(data, bounds, n)[0][place == n - 1])
         size += len(data)
-        if size > 8 << 20:
+        if size > 2 << 20:
             yield from summed()
             held, size = [], 0
     if held:
@@ -148,31 +154,88 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def shards_of(model: DataFrame, shard_grams: int = SHARD_GRAMS) -> list[str]:
-    """Write the model as shard files of bounded size; their places."""
-    folder = make_folder(scratch_path(model.sparkSession, "kneser-ney-shards"))
-    n, places = max(1, -(-model.count() // shard_grams)), []
-    for number in range(n):
-        rows = model.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == number).toArrow()
-        places.append(f"{folder}/{number}.arrow")
-        with open_output(places[-1]) as sink, pa.ipc.new_stream(sink, rows.schema) as writer:
-            writer.write_table(rows)
-    return places
+    """Write the model as shard files of bounded size, each by the task that holds it; their places by shard number."""
+    spark = model.sparkSession
+    folder = make_folder(scratch_path(spark, "kneser-ney-shards"))
+    n = -(-model.count() // shard_grams) | 1  # odd, so that the last byte of a key alone doesn't decide
+    number = F.pmod(F.col("key").bitwiseXOR(F.shiftright("key", 17)).bitwiseXOR(F.shiftright("key", 31)), F.lit(n)).cast("int")
+
+    def write(batches):
+        held: list[pa.RecordBatch] = []
+
+        def place(shard: int) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            uri = f"{folder}/{shard}-{uuid.uuid4().hex}"
+            columns = [rows[c].to_numpy(zero_copy_only=False) for c in ("key", "log_p", "log_backoff")]
+            with open_output(uri) as sink:
+                for array in _slots(columns[0].astype(np.uint64), columns[1:]):
+                    sink.write(array.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri])], names=["number", "place"])
+
+        current = None
+        for batch in batches:
+            numbers = batch.column(3).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for first, last in itertools.pairwise(cuts):
+                if first == last:
+                    continue
+                if held and current != numbers[first]:
+                    yield place(current)
+                    held = []
+                current = int(numbers[first])
+                held.append(batch.slice(first, last - first).select(["key", "log_p", "log_backoff"]))
+        if held:
+            yield place(current)
+
+    written = (
+        model.select("key", "log_p", "log_backoff", number.alias("number"))
+        .repartition(n, "number")
+        .sortWithinPartitions("number")
+        .mapInArrow(write, "number int, place string")
+    )
+    places = {row["number"]: row["place"] for row in written.collect()}
+    return [places.get(shard, "") for shard in range(n)]
+
+
+def _slots(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Keys and weights in the slots of an open-addressing table, half of them free."""
+    size = 1 << max(4, (2 * len(keys) - 1).bit_length())
+    slots, numbers = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+    index = HashIndex(1)
+    index.keys, index.numbers = slots, numbers
+    index._place(_spread(keys), np.arange(1, len(keys) + 1))
+    return slots, *(np.concatenate([[np.nan], w]).astype("<f4")[numbers] for w in weights)
 
 
 class _Shard:
     """One shard of the model: n-gram to log probability and back-off weight."""
 
     def __init__(self, place: str):
+        if not place:
+            self.keys, self.log_p, self.log_backoff = np.zeros(1, np.uint64), *(np.full(1, np.nan, np.float32),) * 2
+            return
         with open_input(place) as source:
-            rows = pa.ipc.open_stream(source).read_all()
-        keys = rows["key"].to_numpy().astype(np.uint64)
-        self.index = HashIndex(1 << max(8, (4 * len(keys)).bit_length()))
-        self.index.add(_spread(keys))
-        self.log_p = np.append(rows["log_p"].to_numpy(zero_copy_only=False), np.nan).astype(np.float64)
-        self.log_backoff = np.append(rows["log_backoff"].to_numpy(zero_copy_only=False), np.nan).astype(np.float64)
-
-    def values(self, keys: np.ndarray) -> np.ndarray:
-        return self.index.find(_spread(keys.astype(np.uint64)))
+            data = source.read_buffer()
+        size = data.size // 16
+        self.keys = np.frombuffer(data, "<u8", size)
+        self.log_p = np.frombuffer(data, "<f4", size, 8 * size)
+        self.log_backoff = np.frombuffer(data, "<f4", size, 12 * size)
+
+    def values(self, keys: np.ndarray, backoff: bool) -> np.ndarray:
+        """Weights of the keys, not a number where there is none."""
+        weights, mask = self.log_backoff if backoff else self.log_p, np.uint64(len(self.keys) - 1)
+        wanted = _spread(keys.astype(np.uint64))
+        slot = wanted & mask
+        found = self.keys[slot]
+        out = np.where(found == wanted, weights[slot], np.float32(np.nan))
+        left = np.flatnonzero((found != wanted) & (found != 0))
+        while len(left):
+            slot[left] = (slot[left] + np.uint64(1)) & mask
+            found = self.keys[slot[left]]
+            hit = found == wanted[left]
+            out[left[hit]] = weights[slot[left[hit]]]
+            left = left[~hit & (found != 0)]
+        return out
 
 
 def _spread(keys: np.ndarray) -> np.ndarray:
@@ -182,18 +245,28 @@ def _spread(keys: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Log probability of texts under the model's shards, one of which is in memory at a time."""
+    """Log probability of texts under the model's shards; the last ``SHARDS_HELD`` that were used stay in memory."""
 
     def __init__(self, places: list[str], order: int = ORDER):
         self.places, self.order = places, order
-        self.only = _Shard(places[0]) if len(places) == 1 else None
+        self.held: dict[int, _Shard] = {}
+
+    def _shard(self, number: int) -> _Shard:
+        shard = self.held.pop(number, None) or _Shard(self.places[number])
+        self.held[number] = shard
+        if len(self.held) > SHARDS_HELD:
+            del self.held[next(iter(self.held))]
+        return shard
 
     def _look_up(self, keys: np.ndarray, backoff: bool) -> np.ndarray:
-        out = np.full(len(keys), np.nan)
-        for place in self.places:
-            shard = self.only or _Shard(place)
-            left = np.flatnonzero(np.isnan(out))
-            out[left] = (shard.log_backoff if backoff else shard.log_p)[shard.values(keys[left])]
+        if len(self.places) == 1:
+            return self._shard(0).values(keys, backoff)
+        numbers = (keys ^ (keys >> 17) ^ (keys >> 31)) % len(self.places)
+        out = np.full(len(keys), np.nan, np.float32)
+        wanted = np.unique(numbers).tolist()
+        for number in sorted(wanted, key=lambda n: n not in self.held):
+            mine = np.flatnonzero(numbers == number)
+            out[mine] = self._shard(number).values(keys[mine], backoff)
         return out
 
     def positions(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -297,20 +370,19 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` with a struct of log_ppl, threshold and accepted; and that struct's name."""
     prepare(docs.sparkSession)
     ids = materialise(trusted_ids(labels), "trusted")
-    good = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(
-        ids.filter("NOT held_out"), F.col("doc_id") == F.col("trusted_id"), "left_semi"
-    )
+    few = ids.count() <= BROADCAST_IDS
+
+    def chosen(rows: DataFrame, which: str) -> DataFrame:
+        wanted = ids.filter(which).select("trusted_id")
+        return rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+
+    good = chosen(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), "NOT held_out")
     places = shards_of(train(good))
     log_ppl, name = fresh(docs, "log_ppl"), fresh(docs, "quality")
     small = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("size")
     )
-    held = materialise(
-        with_log_perplexity(
-            small.join(ids.filter("held_out"), F.col("doc_id") == F.col("trusted_id"), "left_semi"), places, "log_ppl", carry=["lang", "size"]
-        ),
-        "trusted-scores",
-    )
+    held = materialise(with_log_perplexity(chosen(small, "held_out"), places, "log_ppl", carry=["lang", "size"]), "trusted-scores")
     limits = thresholds(held)
     own, overall = limits.filter("key <> 'all'"), limits.filter("key = 'all'").first()
     scored = with_log_perplexity(docs, places, log_ppl, text_col)
