@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -84,14 +86,25 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, rows_per_batch: int = 4096, bytes_per_batch: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of bounded size from tuples; the bytes of binary and text values count."""
     held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
-        if len(held) >= rows_per_batch or size >= bytes_per_batch:
+    try:
+        for row in rows:
+            held.append(row)
+            size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+            if len(held) >= rows_per_batch or size >= bytes_per_batch:
+                yield _batch(held, schema)
+                held, size = [], 0
+        if held:
             yield _batch(held, schema)
-            held, size = [], 0
-    if held:
-        yield _batch(held, schema)
+    finally:
+        held.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: the worker lives on, idle or with other work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -18,22 +18,25 @@ name; the results are in one struct column.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import batches_of, fresh, make_folder, open_input, open_output, prepare, rows_of
+from larder.llm.common import batches_of, fresh, give_back, make_folder, open_input, open_output, prepare, rows_of
 from larder.session import materialise, scratch_path
 
 WINDOW = 10
 BLOCK_WORDS = 2
 #: Patterns of one block and bytes of text of one chunk: what a task holds at once.
-BLOCK_PATTERNS = 250_000
-CHUNK_BYTES = 32 << 20
+BLOCK_PATTERNS = 40_000
+CHUNK_BYTES = 4 << 20
 
 #: Bytes below 0x80 that are no letters or digits separate words; capitals become small.
 _TO_WORDS = bytes(
@@ -144,13 +147,38 @@ def pattern_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "t
     )
     n_blocks = -(-windows.count() // block_patterns)
     folder = make_folder(scratch_path(spark, "benchmark-blocks"))
-    places = []
-    for number in range(n_blocks):
-        rows = windows.filter(F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks)) == number).toArrow()
-        places.append(f"{folder}/{number}.arrow")
-        with open_output(places[-1]) as sink, pa.ipc.new_stream(sink, rows.schema) as writer:
-            writer.write_table(rows)
-    return places
+    if not n_blocks:
+        return []
+
+    def write(batches):
+        sink = writer = current = None
+        try:
+            for batch in batches:
+                numbers = batch.column(2).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+                for first, last in itertools.pairwise(cuts):
+                    if first == last:
+                        continue
+                    if current != numbers[first]:
+                        if writer is not None:
+                            writer.close()
+                            sink.close()
+                        current = int(numbers[first])
+                        place = f"{folder}/{current}-{uuid.uuid4().hex}.arrow"
+                        sink = open_output(place)
+                        writer = pa.ipc.new_stream(sink, _WINDOWS)
+                        yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([place])], names=["number", "place"])
+                    part = batch.slice(first, last - first)
+                    writer.write_batch(pa.RecordBatch.from_arrays([part.column(0).cast(pa.binary()), part.column(1).cast(pa.string())], schema=_WINDOWS))
+        finally:
+            if writer is not None:
+                writer.close()
+                sink.close()
+
+    # each block is written by the task that gets its windows; the driver learns the places only
+    numbered = windows.select("window", "item", F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks)).cast("int").alias("number"))
+    written = numbered.repartition(n_blocks, "number").sortWithinPartitions("number").mapInArrow(write, "number int, place string")
+    return [row["place"] for row in written.orderBy("number").collect()]
 
 
 def _loaded(place: str) -> PatternBlock:
@@ -165,27 +193,31 @@ def with_hits(docs: DataFrame, blocks: list[str], out: str, text_col: str = "tex
     kept = docs.select(*carry)
     names = [*kept.columns, out]
 
+    def searched(chunk: pa.RecordBatch, only: PatternBlock | None) -> pa.RecordBatch:
+        words = [words_of(text) for text in chunk.column(0).to_pylist()]
+        spans, items = [[] for _ in words], [set() for _ in words]
+        for place in blocks:
+            block = only or _loaded(place)
+            for i, doc in enumerate(words):
+                block.find(doc, spans[i], items[i])
+        rows = []
+        for doc, found, known in zip(words, map(merged, spans), items, strict=True):
+            rows.append(
+                {
+                    "n_words": len(doc),
+                    "n_hit": sum(last - first + 1 for first, last in found),
+                    "items": sorted(known),
+                    "spans": [{"first": first, "last": last} for first, last in found],
+                }
+            )
+        return pa.RecordBatch.from_arrays([*chunk.columns[1:], pa.array(rows, _RESULT)], names=names)
+
     def search(batches):
         only = _loaded(blocks[0]) if len(blocks) == 1 else None
         for chunk in _chunks(batches):
-            words = [words_of(text) for text in chunk.column(0).to_pylist()]
-            spans, items = [[] for _ in words], [set() for _ in words]
-            for place in blocks:
-                block = only or _loaded(place)
-                for i, doc in enumerate(words):
-                    block.find(doc, spans[i], items[i])
-            rows = []
-            for doc, found, known in zip(words, map(merged, spans), items, strict=True):
-                rows.append(
-                    {
-                        "n_words": len(doc),
-                        "n_hit": sum(last - first + 1 for first, last in found),
-                        "items": sorted(known),
-                        "spans": [{"first": first, "last": last} for first, last in found],
-                    }
-                )
-            columns = [*chunk.columns[1:], pa.array(rows, _RESULT)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield searched(chunk, only)
+        del only
+        give_back()
 
     text = fresh(kept, "searched")
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema), f"`{out}` {RESULT_DDL}"])

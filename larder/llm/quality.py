@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import batches_of, fresh, make_folder, open_input, open_output, prepare
+from larder.llm.common import batches_of, fresh, give_back, make_folder, open_input, open_output, prepare
 from larder.llm.words import HashIndex, text_bytes
 from larder.operators.ranks import quantiles
 from larder.session import materialise, scratch_path
@@ -317,10 +317,14 @@ def with_log_perplexity(docs: DataFrame, places: list[str], out: str, text_col:
 
     def score(batches):
         scorer = Scorer(places, order)
-        for batch in batches:
-            sizes = np.diff(text_bytes(batch.column(0))[1])
-            mean = -scorer.texts(batch.column(0)) / np.maximum(sizes, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(mean, mask=sizes == 0)], names=names)
+        try:
+            for batch in batches:
+                sizes = np.diff(text_bytes(batch.column(0))[1])
+                mean = -scorer.texts(batch.column(0)) / np.maximum(sizes, 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(mean, mask=sizes == 0)], names=names)
+        finally:
+            scorer.held.clear()
+            give_back()
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema), f"`{out}` double"])
     return docs.select(F.col(text_col).cast("binary").alias(text), *carry).mapInArrow(score, schema)

@@ -44,7 +44,7 @@ MAGIC = b"TOKRANS1"
 #: Sum of the frequencies, ids per block, lanes per block, steps between checkpoints.
 SCALE_BITS, BLOCK_IDS, LANES, CHECKPOINT_STEPS = 18, 1 << 20, 4096, 128
 #: Words that a worker keeps with their ids.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 300_000
 
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
