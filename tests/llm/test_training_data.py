@@ -342,9 +342,63 @@ def test_language_edges(spark, odd, nothing):
     assert language_id.language_id(nothing).count() == 0
 
 
+def test_grams_of_a_sliced_text_are_those_of_the_whole(monkeypatch):
+    texts = ["Ab", "", "x" * 49 + " Hello wörld, " * 30, "abc", "y" * 150]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+
+    def grams():
+        found = collections.defaultdict(list)
+        for first, last, keys, ends in language_id._parts(column):
+            for i in range(first, last):
+                found[i] += keys[ends[i - first] : ends[i - first + 1]].tolist()
+        return [found[i] for i in range(len(texts))]
+
+    whole = grams()
+    for size in (4, 7, 50):
+        monkeypatch.setattr(language_id, "_SLICE", size)
+        assert grams() == whole
+    text = " ab "
+    assert whole[0] == [int.from_bytes(text.encode(), "little")]
+
+
+def test_language_equals_brute_force_over_all_grams(docs, monkeypatch):
+    """The stored filter contains exactly the n-grams that the rule names, and predicts from their number."""
+    monkeypatch.setattr(language_id, "SEGMENT_SLOTS", 1 << 12)
+    rows = docs.select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        data = re.sub("[A-Z]", lambda m: m[0].lower(), f" {text} ").encode()
+        return [data[i : i + 4] for i in range(len(data) - 3)]
+
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            counts[r.lang].update(grams(r.text))
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    rates = {lang: {g: n / totals[lang] for g, n in c.items() if n >= 3} for lang, c in counts.items()}
+    highest = collections.Counter()
+    for found in rates.values():
+        for g, rate in found.items():
+            highest[g] = max(highest[g], rate)
+    owned = {lang: {g for g, rate in found.items() if rate >= 0.3 * highest[g]} for lang, found in rates.items()}
+    model = language_id.train(docs.filter(~language_id.held_out()).select(F.col("text").cast("binary").alias("text"), "lang")).load()
+    assert model.languages == sorted(totals, key=lambda lang: (-totals[lang], lang))
+    for i, lang in enumerate(model.languages):
+        keys = np.array([int.from_bytes(g, "little") for g in owned[lang]], np.uint64)
+        assert (model.containing(keys) >> np.uint64(i) & np.uint64(1)).all()
+    got = {r.doc_id: r for r in language_id.language_id(docs).collect()}
+    for r in rows:
+        found = grams(r.text or "")
+        exact = [sum(g in owned[lang] for g in found) for lang in model.languages]
+        best = sorted(exact, reverse=True)
+        if r.text and re.search(r"[^\W\d_]", r.text) and best[0] > best[1] + 0.02 * len(found):
+            assert got[r.doc_id].lang_pred == model.languages[int(np.argmax(exact))]
+            assert got[r.doc_id].score == pytest.approx(best[0] / len(found), abs=0.02)
+
+
 def test_filter_returns_all_languages_of_a_gram():
     grams = np.arange(200, dtype=np.uint64)
-    model = language_id.LanguageFilter([f"l{i}" for i in range(70)], np.concatenate([grams, grams[:100]]), np.concatenate([np.full(200, 1), np.full(100, 69)]))
+    model = language_id.LanguageFilter.of([f"l{i}" for i in range(70)], np.concatenate([grams, grams[:100]]), np.concatenate([np.full(200, 1), np.full(100, 69)]))
     assert (model.containing(grams) >> np.uint64(1) & np.uint64(1)).all() and (model.containing(grams[:100], 1) >> np.uint64(5) & np.uint64(1)).all()
 
 
