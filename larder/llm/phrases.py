@@ -10,14 +10,17 @@ shards, phrases of frequent words are nearly done.
 
 Phrases are 64-bit hashes of language and words while they are counted; each step's
 counts, summed in tasks first, are merged with those before by one aggregation, and
-the table they replace is deleted. Which phrases have reached the threshold is a bit
+the table they replace is deleted. A phrase whose cycle must be over and that stayed
+below the threshold is left out of the merged table. Which phrases have reached the threshold is a bit
 set per length, in segments that tasks write and other tasks read, of a size fixed for
 the corpus. Bits are only ever set. A phrase is counted in step t if its two parts are
 set before t and were not both set before t - shards; that is exactly one cycle, also
 for a phrase let in early by another one's bit, whose count is then exact as well. A
 phrase that lacks a frequent part can't be frequent, so false bits add work only.
 
-A last scan gives the frequent hashes their words. Scores are exact: products are
+A last scan gives the frequent hashes of two and more words their words, shard by shard:
+a phrase is read off in the first shard that has it. Hashes of their parts follow from
+the words. Scores are exact: products are
 decimals of 38 digits (enough for counts up to 10^15), and quotients are floored after
 the remainder is taken off.
 
@@ -28,6 +31,7 @@ table gives no rows. Other columns are ignored. Phrases are told apart by their
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -44,8 +48,8 @@ from larder.session import materialise, scratch_path, small_table
 LONGEST, LEAST, SHARDS, TOP = 3, 10, 4, 2000
 #: A phrase goes if a longer one has this share of its occurrences, in percent.
 INSIDE_PERCENT = 50
-#: Bits of a set per byte of text (one bit per so many bytes), least and most as powers of two, and bits of a segment.
-BYTES_PER_BIT, LEAST_BITS, MOST_BITS, SEGMENT_BITS = 32, 20, 30, 23
+#: Bytes of text per bit of a set, and least and most bits of a set as powers of two.
+BYTES_PER_BIT, LEAST_BITS, MOST_BITS = 32, 20, 30
 #: Hashes that a task holds before it sums them, and bytes of text that it takes at once.
 HELD, SLICE = 1 << 21, 4 << 20
 
@@ -55,10 +59,20 @@ _SEPARATOR = _CUT.copy()
 _SEPARATOR[list(b" \t")] = True
 
 
+def _segment_bits(bits: int) -> int:
+    """Bits of a segment, as a power of two: 64 segments, fewer where they would be tiny."""
+    return min(bits, max(14, bits - 6))
+
+
 def _language(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
+def _languages(langs: list[str]) -> np.ndarray:
+    known = {lang: _language(lang) for lang in set(langs)}
+    return np.array([known[lang] for lang in langs], np.uint64)
+
+
 class Phrases:
     """The phrases of some texts by length: ``keys[n - 1][i]`` is that of the ``n`` words from word ``i``, where ``inside[n - 1][i]``."""
 
@@ -108,7 +122,7 @@ class KeySet:
     """Keys of one length that reached the threshold, as bits in segments; a missing segment has none."""
 
     def __init__(self, places: list[str], bits: int):
-        self.shift, size = np.uint64(64 - bits), 1 << min(bits, SEGMENT_BITS)
+        self.shift, size = np.uint64(64 - bits), 1 << _segment_bits(bits)
         self.any = any(places)
         if self.any:
             self.bytes = np.concatenate([_segment(place, size) for place in places])
@@ -132,12 +146,12 @@ Places = dict[int, list[str]]
 
 
 def no_places(longest: int, bits: int) -> Places:
-    return {n: [""] * (1 << max(0, bits - SEGMENT_BITS)) for n in range(1, longest + 1)}
+    return {n: [""] * (1 << (bits - _segment_bits(bits))) for n in range(1, longest + 1)}
 
 
 def with_bits(reached: DataFrame, before: Places, bits: int, folder: str) -> Places:
     """Segments with the bits of rows (size, key) set too; tasks write them, by segment."""
-    inner = min(bits, SEGMENT_BITS)
+    inner = _segment_bits(bits)
 
     def write(batches):
         held, current = None, None
@@ -205,7 +219,7 @@ def _counted(batches: Iterator[pa.RecordBatch], now: Places, then: Places | None
 
     for batch in batches:
         for texts, langs in _slices(batch):
-            codes = np.array([_language(lang) for lang in langs], np.uint64)
+            codes = _languages(langs)
             found = Phrases(texts, codes, longest)
             if before is None:
                 held[1].append(found.keys[0])
@@ -230,15 +244,9 @@ def _count_rows(n: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.Rec
 
 
 def _named(batches: Iterator[pa.RecordBatch], wanted: Places, longest: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Language and words (size, key, lang, phrase) of the wanted keys, few times each; size 0 is the language alone."""
-    sets = [KeySet(wanted[n], bits) for n in range(1, longest + 1)]
-    seen = [np.empty(0, np.uint64) for _ in range(longest + 1)]
-
-    def rows(n: int, keys: np.ndarray, langs: list[str], phrases: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(langs, pa.string()), pa.array(phrases, pa.string())],
-            names=["size", "key", "lang", "phrase"],
-        )
+    """Language and words (size, key, lang, phrase) of the wanted keys of two and more words, few times each."""
+    sets = {n: KeySet(wanted[n], bits) for n in range(2, longest + 1)}
+    seen = {n: np.empty(0, np.uint64) for n in sets}
 
     def unseen(n: int, keys: np.ndarray) -> np.ndarray:
         """Places of the first of each new key."""
@@ -252,17 +260,35 @@ def _named(batches: Iterator[pa.RecordBatch], wanted: Places, longest: int, bits
 
     for batch in batches:
         for texts, langs in _slices(batch):
-            codes = np.array([_language(lang) for lang in langs], np.uint64)
-            found = Phrases(texts, codes, longest)
-            first = unseen(0, codes)
-            yield rows(0, codes[first], [langs[i] for i in first], [""] * len(first))
+            found = Phrases(texts, _languages(langs), longest)
             ends = np.cumsum(found.words.counts)
-            for n in range(1, longest + 1):
+            for n in sets:
                 at = np.flatnonzero(found.inside[n - 1])
-                at = at[sets[n - 1].has(found.keys[n - 1][at])]
+                at = at[sets[n].has(found.keys[n - 1][at])]
                 at = at[unseen(n, found.keys[n - 1][at])]
                 text = np.searchsorted(ends, at, side="right")
-                yield rows(n, found.keys[n - 1][at], [langs[i] for i in text], [found.text(i, n).decode() for i in at.tolist()])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(at), n, np.int32)),
+                        pa.array(found.keys[n - 1][at].view(np.int64)),
+                        pa.array([langs[i] for i in text], pa.string()),
+                        pa.array([found.text(i, n).decode() for i in at.tolist()], pa.string()),
+                    ],
+                    names=["size", "key", "lang", "phrase"],
+                )
+
+
+def _part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase, ...) with the keys of the language and the phrase."""
+    for batch in batches:
+        codes = _languages(batch.column(0).to_pylist())
+        longest = max((p.count(" ") + 1 for p in batch.column(1).to_pylist()), default=1)
+        found = Phrases(batch.column(1), codes, longest)
+        first = np.cumsum(found.words.counts) - found.words.counts
+        keys = np.array([found.keys[n - 1][i] for i, n in zip(first.tolist(), found.words.counts.tolist(), strict=True)], np.uint64)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(codes.view(np.int64)), pa.array(keys.view(np.int64))], names=[*batch.schema.names, "lang_key", "key"]
+        )
 
 
 def _remove(uri: str) -> None:
@@ -290,7 +316,7 @@ class Shards:
 
 
 def count_phrases(shards: Shards, longest: int, least: int, bits: int) -> tuple[DataFrame, int]:
-    """Counts (size, key, c) of all phrases that completed their cycle, and the number of steps."""
+    """Counts (size, key, c) of all frequent phrases, and the number of steps; others may be there too."""
     spark = shards.spark
     folder = make_folder(scratch_path(spark, "phrase-bits"))
     places, counts, where, t = [no_places(longest, bits)], None, None, 0
@@ -301,11 +327,14 @@ def count_phrases(shards: Shards, longest: int, least: int, bits: int) -> tuple[
         def scan(batches, now=now, then=then):
             return _counted(batches, now, then, longest, bits)
 
-        step = shards.read(t % shards.number).mapInArrow(scan, "size int, key long, c long")
-        merged = (step if counts is None else step.unionByName(counts)).groupBy("size", "key").agg(F.sum("c").alias("c"))
+        step = shards.read(t % shards.number).mapInArrow(scan, "size int, key long, c long").withColumn("since", F.lit(t))
+        merged = (step if counts is None else step.unionByName(counts)).groupBy("size", "key")
+        merged = merged.agg(F.sum("c").alias("c"), F.min("since").alias("since"))
+        # seen for as many steps as there are shards: the cycle is over
+        merged = merged.filter((F.col("size") == 0) | (F.col("c") >= least) | (F.col("since") > t - shards.number + 1))
         before, where = where, scratch_path(spark, "phrase-counts")
         merged.write.parquet(where)
-        counts = spark.read.schema("size int, key long, c long").parquet(where)
+        counts = spark.read.schema("size int, key long, c long, since int").parquet(where)
         if before:
             _remove(before)
         reached = counts.filter((F.col("c") >= least) & F.col("size").between(1, longest - 1)).select("size", "key")
@@ -339,34 +368,47 @@ def collocations(
         bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_BIT).bit_length()))
     dealt = Shards(docs, lang_col, text_col, shards)
     counts, _ = count_phrases(dealt, longest, least, bits)
-    frequent = materialise(counts.filter((F.col("c") >= least) | (F.col("size") == 0)), "phrase-frequent")
-    wanted = with_bits(frequent.filter("size > 0").select("size", "key"), no_places(longest, bits), bits, make_folder(scratch_path(spark, "phrase-wanted")))
+    frequent = materialise(counts.filter((F.col("c") >= least) | (F.col("size") == 0)).select("size", "key", "c"), "phrase-frequent")
+    return _ranked(named_phrases(dealt, frequent.filter("size >= 2"), longest, bits), frequent, top)
+
 
-    def name(batches):
-        return _named(batches, wanted, longest, bits)
+def named_phrases(dealt: Shards, frequent: DataFrame, longest: int, bits: int) -> DataFrame:
+    """Frequent phrases (size, key, c) with language and words; stored."""
+    folder = make_folder(scratch_path(dealt.spark, "phrase-wanted"))
+    left, parts = frequent, []
+    for number in range(dealt.number):
+        wanted = with_bits(left.select("size", "key"), no_places(longest, bits), bits, folder)
 
-    names = dealt.read().mapInArrow(name, "size int, key long, lang string, phrase string")
-    names = names.groupBy("size", "key").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
-    found = materialise(frequent.join(names, ["size", "key"]).select("size", "lang", "phrase", F.col("c").alias("a")), "phrases")
-    return _ranked(found, top)
+        def name(batches, wanted=wanted):
+            return _named(batches, wanted, longest, bits)
 
+        names = dealt.read(number).mapInArrow(name, "size int, key long, lang string, phrase string")
+        names = names.groupBy("size", "key").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
+        parts.append(materialise(left.join(names, ["size", "key"]), "phrases"))
+        left = materialise(left.join(parts[-1], ["size", "key"], "left_anti"), "phrases-left")
+    return functools.reduce(DataFrame.unionByName, parts)
 
-def _ranked(found: DataFrame, top: int) -> DataFrame:
-    """Scores, removals and ranks from all frequent phrases (size, lang, phrase, a); size 0 has a language's number of words."""
-    totals = small_table(found.filter("size = 0").select("lang", F.col("a").alias("n")))
-    candidates = found.filter("size >= 2").withColumn("words", F.split("phrase", " "))
-    part = found.filter("size >= 1").select("lang", F.col("phrase").alias("part"), F.col("a").alias("times"))
+
+def _ranked(candidates: DataFrame, frequent: DataFrame, top: int) -> DataFrame:
+    """Scores, removals and ranks of phrases (size, lang, phrase, c), with the counts (size, key, c) of all."""
+    candidates = candidates.select("lang", "phrase", "size", F.col("c").alias("a"), F.split("phrase", " ").alias("words"))
 
     def run(first: str, length: str) -> Column:
         return F.expr(f"array_join(slice(words, {first}, {length}), ' ')")
 
     cuts = candidates.select("lang", "phrase", "size", "a", "words", F.explode(F.expr("sequence(1, size - 1)")).alias("k"))
-    cuts = cuts.select("lang", "phrase", "size", "a", "k", run("1", "k").alias("front"), run("k + 1", "size - k").alias("back"))
-    front = part.select("lang", F.col("part").alias("front"), F.col("times").alias("l"))
-    back = part.select("lang", F.col("part").alias("back"), F.col("times").alias("r"))
-    scored = cuts.join(front, ["lang", "front"]).join(back, ["lang", "back"])
+    halves = F.array(
+        F.struct(F.lit("l").alias("side"), run("1", "k").alias("part"), F.col("k").alias("size")),
+        F.struct(F.lit("r").alias("side"), run("k + 1", "size - k").alias("part"), (F.col("size") - F.col("k")).alias("size")),
+    )
+    parts = cuts.select("lang", "phrase", "a", "k", F.explode(halves).alias("half"))
+    parts = parts.select("lang", "half.part", "half.side", "half.size", "phrase", "a", "k").mapInArrow(
+        _part_keys, "lang string, part string, side string, size int, phrase string, a long, k int, lang_key long, key long"
+    )
+    both = parts.join(frequent, ["size", "key"]).groupBy("lang", "lang_key", "phrase", "a", "k")
+    scored = both.agg(*[F.max(F.when(F.col("side") == side, F.col("c"))).alias(side) for side in ("l", "r")])
     scored = scored.withColumn("score", floor_quotient(F.col("a"), F.col("l"), F.col("r")))
-    lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    lowest = scored.groupBy("lang", "lang_key", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     inner = candidates.filter("size >= 3").select("lang", "a", "words", "size", F.explode(F.expr("sequence(2, size - 1)")).alias("length"))
     inner = inner.select("lang", "a", "words", "length", F.explode(F.expr("sequence(1, size - length + 1)")).alias("first"))
@@ -375,4 +417,5 @@ def _ranked(found: DataFrame, top: int) -> DataFrame:
 
     order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    totals = small_table(frequent.filter("size = 0").select(F.col("key").alias("lang_key"), F.col("c").alias("n")))
+    return ranked.join(totals, "lang_key").select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
