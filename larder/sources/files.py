@@ -88,7 +88,10 @@ FILES_PER_TASK = 200
 
 
 def data_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Every Parquet file below a folder: path, name within the folder, table, length. No content is read."""
+    """Every Parquet file below a folder: path, name within the folder, table, length. No content is read.
+
+    An empty file is none: Spark lists it nowhere, so a file that was emptied is missing.
+    """
     name = F.substring_index("path", f"/{directory.rstrip('/').rsplit('/', 1)[-1]}/", -1)
     return (
         spark.read.format("binaryFile")
