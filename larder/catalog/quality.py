@@ -205,6 +205,7 @@ def columns_exist(stages):
 
 @query("src_manifest_check", "panel", f"SELECT parse_filename(file) AS file, 'intact' AS status FROM glob('{_GIVEN}/*.parquet')")
 def manifest_check(stages):
-    """The given files against the lengths and checksums recorded before."""
+    """The given tables, files or folders of parts, against the lengths and checksums recorded before."""
     recorded = stages.given_manifest
-    return files.compare_manifests(recorded, files.file_checksums(stages.spark, stages.folder)).select("file", "status")
+    found = files.compare_manifests(recorded, files.file_checksums(stages.spark, stages.folder))
+    return files.status_by_table(found)

@@ -178,6 +178,13 @@ def compare_manifests(recorded: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def status_by_table(compared: DataFrame) -> DataFrame:
+    """One status per file or folder directly in the folder: that of its files, changed if they differ."""
+    return compared.groupBy(F.substring_index("file", "/", 1).alias("file")).agg(
+        F.when(F.min("status") == F.max("status"), F.min("status")).otherwise("changed").alias("status")
+    )
+
+
 def write_extract(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """CSV with a header, globally sorted by key.
 
