@@ -108,9 +108,17 @@ def _spread_out(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.
     return np.array(chosen)
 
 
+def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to points; what a row doesn't know (NaN) adds nothing to its distances."""
+    known = ~np.isnan(x)
+    squares = (points**2).sum(axis=1)[None, :] if known.all() else known @ (points**2).T
+    x = np.where(known, x, 0.0)
+    return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ points.T + squares, 0.0)
+
+
 def _nearest(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's nearest point and squared distance to it."""
-    far = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ points.T + (points**2).sum(axis=1)[None, :], 0.0)
+    far = _distances(x, points)
     near = far.argmin(axis=1)
     return near, far[np.arange(len(x)), near]
 
@@ -152,12 +160,13 @@ def starting_centres(df: DataFrame, columns: Sequence[str], ks: Sequence[int], n
     names, spread = list(columns), OVERSAMPLING * max(ks)
     rows = df.select("household_id", *[F.col(c).cast("double").alias(c) for c in names])
     lowest = F.struct(F.xxhash64("household_id", F.lit(SEED)), "household_id")
-    points = np.array([rows.agg(F.min_by(F.array(*names), lowest)).first()[0]], float)
+    # a candidate's unknown coordinates are zero, the median of scaled inputs
+    points = np.nan_to_num(np.array([rows.agg(F.min_by(F.array(*names), lowest)).first()[0]], float))
     for turn in range(1, SEED_ROUNDS + 1):
         drawn = _drawn(rows, names, points, turn, spread)
         if not len(drawn):
             break
-        points = np.unique(np.vstack([points, drawn]), axis=0)
+        points = np.unique(np.vstack([points, np.nan_to_num(drawn)]), axis=0)
     weights = _sums(rows, names, {"candidates": points})["candidates"][:, 0]
     return {
         (k, start): _spread_out(points, weights, k, np.random.default_rng([SEED, k, start]))
@@ -170,6 +179,7 @@ def _sums(df: DataFrame, columns: Sequence[str], centres: dict, weigh: Callable
     """For every run, from one pass: households, coordinate sums, squared norms and cost per centre.
 
     ``weigh`` gives the weights of rows (households) by runs (in the order of ``centres``).
+    A coordinate that a household doesn't know counts as that of its centre.
     """
     names, width = list(columns), len(columns) + 3
     stacked = np.vstack(list(centres.values()))
@@ -180,16 +190,21 @@ def _sums(df: DataFrame, columns: Sequence[str], centres: dict, weigh: Callable
     alike = [(np.flatnonzero(sizes == k), k, (edges[:-1][sizes == k][:, None] + np.arange(k)).ravel()) for k in np.unique(sizes)]
 
     def add(sums: np.ndarray, x: np.ndarray, weights: np.ndarray | None) -> None:
-        norms = (x**2).sum(axis=1)
-        z = np.column_stack([np.ones(len(x)), x, norms])
+        unknown = np.isnan(x).astype(float)
+        given = np.where(unknown > 0, 0.0, x)
+        z = np.column_stack([np.ones(len(x)), given, (given**2).sum(axis=1)])
         rows = np.arange(len(x))[:, None]
         for runs, k, numbers in alike:
             points = stacked[numbers]
-            far = np.maximum(norms[:, None] - 2 * x @ points.T + (points**2).sum(axis=1)[None, :], 0.0).reshape(len(x), -1, k)
+            far = _distances(x, points).reshape(len(x), -1, k)
             place = np.arange(len(runs)) * k + far.argmin(axis=2)
             member = np.zeros((len(x), len(numbers)))
             member[rows, place] = 1.0 if weights is None else weights[:, runs]
             sums[numbers, :-1] += member.T @ z
+            if unknown.any():
+                filled = member.T @ unknown
+                sums[numbers, 1:-2] += filled * points
+                sums[numbers, -2] += (filled * points**2).sum(axis=1)
             sums[numbers, -1] += np.einsum("ij,ij->j", member, far.reshape(len(x), -1))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,10 +353,9 @@ def stability(df: DataFrame, columns: Sequence[str], centres: np.ndarray, replic
 
 
 def nearest_centre(columns: Sequence[str], centres: np.ndarray) -> Column:
-    """Index of the closest centre as a column expression."""
-    distances = F.array(
-        *[sum(F.pow(F.col(c) - float(v), 2) for c, v in zip(columns, centre)) for centre in centres]
-    )
+    """Index of the closest centre as a column expression; unknown coordinates add nothing."""
+    part = lambda c, v: F.coalesce(F.pow(F.col(c) - float(v), 2), F.lit(0.0))
+    distances = F.array(*[sum(part(c, v) for c, v in zip(columns, centre)) for centre in centres])
     return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
 
 
@@ -361,16 +375,16 @@ def silhouettes(df: DataFrame, columns: Sequence[str], fits: dict[int, Fit]) ->
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = dict.fromkeys(fits, 0.0)
         for batch in batches:
-            x = batch.to_numpy(float)
-            norms = (x**2).sum(axis=1)
+            rows = batch.to_numpy(float)
             for k, fit in fits.items():
                 n, sums, squares = fit.sums[:, 0], fit.sums[:, 1:-2], fit.sums[:, -2]
-                label, _ = _nearest(x, fit.centres)
-                total = np.maximum(norms[:, None] * n + squares - 2 * x @ sums.T, 0.0)
-                rows = np.arange(len(x))
-                own = total[rows, label] / np.maximum(n[label] - 1, 1)
+                label, _ = _nearest(rows, fit.centres)
+                x = np.where(np.isnan(rows), fit.centres[label], rows)
+                total = np.maximum((x**2).sum(axis=1)[:, None] * n + squares - 2 * x @ sums.T, 0.0)
+                at = np.arange(len(x))
+                own = total[at, label] / np.maximum(n[label] - 1, 1)
                 other = np.where(n > 0, total / np.maximum(n, 1), np.inf)
-                other[rows, label] = np.inf
+                other[at, label] = np.inf
                 best = other.min(axis=1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     score = np.where(n[label] > 1, (best - own) / np.maximum(best, own), 0.0)
