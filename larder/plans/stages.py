@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.columns import exposure_group, rfm_class
-from larder.plans.views import v_campaign_exposure, v_clv_split, v_household_features
+from larder.plans.views import household_periods, v_campaign_exposure, v_clv_split, v_household_features
 from larder.session import configure, materialise, scratch_path
 from larder.sources.panel import Panel, derive_panel
 
@@ -41,13 +41,18 @@ class Stages:
 
         return materialise(file_checksums(self.spark, self.folder), "manifest")
 
+    @cached_property
+    def periods(self) -> DataFrame:
+        """Measures per household of the whole study and before the split, from one pass over the lines."""
+        return materialise(household_periods(self.panel), "periods")
+
     @cached_property
     def features(self) -> DataFrame:
-        return materialise(v_household_features(self.panel), "features")
+        return materialise(v_household_features(self.panel, self.periods), "features")
 
     @cached_property
     def split(self) -> DataFrame:
-        return materialise(v_clv_split(self.panel), "split")
+        return materialise(v_clv_split(self.panel, self.periods), "split")
 
     @cached_property
     def exposure(self) -> DataFrame:
