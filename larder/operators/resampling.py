@@ -20,24 +20,34 @@ from larder.session import use_all_cores
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
 # each row meets thousands of replicates
 ROWS_PER_TASK, MOST_ROWS = 1_000, 50_000
-_BLOCK = 2_000_000  # cells of the row-by-replicate block a task works on
+# cells of the row-by-replicate block a task works on, few enough for its cache, and of a block per value that it sums up
+_BLOCK, _BLOCK_PER_SUM = 250_000, 4
+_DRAWN_AT_ONCE = 60_000
+
+# the draw by the first 16 of a cell's random bits; 255 where a level lies within, so that all bits decide
+_STARTS = np.arange((1 << 16) + 1) / (1 << 16)
+_BY_START = np.searchsorted(_POISSON, _STARTS[:-1]).astype(np.uint8)
+_BY_START[np.searchsorted(_POISSON, _STARTS[1:], side="right") != _BY_START] = 255
 
 
 def poisson_draws(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
     """Poisson(1) weights, rows by replicates; replicate 0 has weight one."""
+    draws = np.empty((len(keys), len(replicates)))
     with np.errstate(over="ignore"):
-        bits = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-        bits = bits + replicates.astype(np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95) + np.uint64(seed)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            bits = (bits ^ (bits >> np.uint64(shift))) * np.uint64(factor)
-        bits ^= bits >> np.uint64(31)
-    uniform = (bits >> np.uint64(11)) * 2.0**-53
-    draws = np.zeros(uniform.shape)
-    for level in _POISSON:
-        above = uniform > level
-        if not above.any():
-            break
-        draws += above
+        of_key = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        of_replicate = replicates.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        step = max(1, _DRAWN_AT_ONCE // max(1, len(replicates)))
+        for at in range(0, len(keys), step):
+            bits = of_key[at : at + step, None] + of_replicate[None, :]
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                bits ^= bits >> np.uint64(shift)
+                bits *= np.uint64(factor)
+            bits ^= bits >> np.uint64(31)
+            drawn = _BY_START[(bits >> np.uint64(48)).astype(np.uint16)]
+            draws[at : at + step] = drawn
+            open_cells = np.nonzero(drawn == 255)
+            uniform = (bits[open_cells] >> np.uint64(11)) * 2.0**-53
+            draws[at : at + step][open_cells] = np.searchsorted(_POISSON, uniform)
     draws[:, replicates == 0] = 1.0
     return draws
 
@@ -68,7 +78,7 @@ def reduce_rows(
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[object, np.ndarray] = {}
-        step = max(1, _BLOCK // len(numbers))
+        step = max(1, _BLOCK // len(numbers), _BLOCK_PER_SUM * width)
         for batch in batches:
             for name, rows in batch.groupby(group):
                 ids, data = rows[key].to_numpy(), rows[names].to_numpy(float)
@@ -184,6 +194,7 @@ class EffectBootstrap:
             fitted = (m[:, 1] >= self.min_arm) & (m[:, 0] - m[:, 1] >= self.min_arm)
             scaled[group] = np.column_stack([fitted, ~constant & fitted[:, None]])
             beta[group] = np.where(scaled[group], start[group], 0.0) if start else np.zeros((len(n), d + 1))
+        pairs = np.triu_indices(d + 1)  # curvatures are symmetric: each is summed once
         for _ in range(self.STEPS):
             current = dict(beta)
 
@@ -191,13 +202,14 @@ class EffectBootstrap:
                 z = np.column_stack([np.ones(len(data)), data[:, :-2]])
                 mu = 1.0 / (1.0 + np.exp(-np.clip(z @ current[group].T, -35, 35)))
                 slope = (draws * (data[:, -2][:, None] - mu)).T @ z
-                outer = (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
+                outer = z[:, pairs[0]] * z[:, pairs[1]]
                 return np.column_stack([slope, (draws * mu * (1.0 - mu)).T @ outer])
 
             largest = 0.0
-            for group, sums in self._pass(block, (d + 1) + (d + 1) ** 2, numbers).items():
+            for group, sums in self._pass(block, (d + 1) + len(pairs[0]), numbers).items():
                 slope = sums[:, : d + 1] - weight[group] * beta[group]
-                curve = sums[:, d + 1 :].reshape(-1, d + 1, d + 1)
+                curve = np.zeros((len(sums), d + 1, d + 1))
+                curve[:, pairs[0], pairs[1]] = curve[:, pairs[1], pairs[0]] = sums[:, d + 1 :]
                 curve = curve + weight[group][:, :, None] * np.eye(d + 1) + 1e-9 * np.eye(d + 1)
                 slope = np.where(scaled[group], slope, 0.0)
                 step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
@@ -211,39 +223,56 @@ class EffectBootstrap:
     def _caps(self, moments: dict[str, np.ndarray], beta: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Per replicate the interpolated cap quantile of the raw weights, exact.
 
-        Draws are counted in the cells of each bracket; the cell with the wanted rank,
-        from its least to its largest weight, is the next bracket.
+        A first pass counts the draws in coarse cells of all weights. Then draws are counted in
+        the cells of each bracket; the cell with the wanted rank, from its least to its largest
+        weight, is the next bracket. Only weights in a bracket need more than a comparison.
         """
         low, high, target, share = {}, {}, {}, {}
+        cells, bounds = self.CELLS, self.clip
         for group, m in moments.items():
             position = self.cap * np.maximum(m[:, 0] - 1.0, 0.0)
             target[group] = np.floor(position)[:, None] + np.array([1.0, 2.0])
             target[group] = np.minimum(target[group], np.maximum(m[:, :1], 1.0))
             share[group] = position - np.floor(position)
-            low[group] = np.zeros_like(target[group])
-            high[group] = np.ones_like(target[group]) / min(self.clip[0], 1.0 - self.clip[1]) * 2.0
-        cells, bounds = self.CELLS, self.clip
+        size = 2.0 / min(self.clip[0], 1.0 - self.clip[1]) / cells
+
+        def coarse(group, data, draws):
+            w, _ = _raw_weights(beta[group], data, bounds)
+            cell = np.minimum((w / size).astype(int), cells - 1) + np.arange(w.shape[1]) * cells
+            return np.bincount(cell.ravel(), draws.ravel(), w.shape[1] * cells).reshape(-1, cells)
+
+        for group, counts in self._pass(coarse, cells).items():
+            upto = np.cumsum(counts, axis=1)
+            hit = np.column_stack([np.argmax(upto >= target[group][:, side : side + 1], axis=1) for side in (0, 1)])
+            # a little wider than the cell, so that rounding puts no weight outside
+            low[group], high[group] = (hit - 1e-6) * size, (hit + 1 + 1e-6) * size
         for _ in range(self.NARROWINGS):
             lo, hi = dict(low), dict(high)
 
             def block(group, data, draws):
                 w, _ = _raw_weights(beta[group], data, bounds)
                 reps = w.shape[1]
+                least, most = lo[group].min(axis=1), hi[group].max(axis=1)
+                under = w < least
+                row, rep = np.nonzero(~under & (w <= most) & (draws > 0))
+                value, drawn = w[row, rep], draws[row, rep]
+                before, total = np.einsum("ij,ij->j", draws, under), draws.sum(axis=0)
                 counts, ends = [], []
                 for side in (0, 1):
-                    start, stop = lo[group][:, side], hi[group][:, side]
+                    start, stop = lo[group][rep, side], hi[group][rep, side]
                     width = np.where(stop > start, stop - start, 1.0)
-                    cell = np.clip(np.floor((w - start) / width * cells), 0, cells - 1).astype(int)
+                    cell = np.clip(np.floor((value - start) / width * cells), 0, cells - 1).astype(int)
                     # of two ends that a cell can't tell apart, the upper one is in the last cell
-                    cell = np.where((w >= stop) & (stop > start), cells - 1, cell)
-                    place = np.where(w < start, 0, np.where(w > stop, cells + 1, cell + 1))
-                    flat = np.arange(reps) * (cells + 2) + place
-                    counts.append(np.bincount(flat.ravel(), draws.ravel(), reps * (cells + 2)).reshape(reps, -1))
-                    in_cell = (draws > 0) & (place > 0) & (place <= cells)
+                    cell = np.where((value >= stop) & (stop > start), cells - 1, cell)
+                    inside = (value >= start) & (value <= stop)
+                    flat = (rep * cells + cell)[inside]
+                    found = np.bincount(flat, drawn[inside], reps * cells).reshape(reps, cells)
+                    below = before + np.bincount(rep, drawn * (value < start), reps)
+                    counts += [below, found, total - below - found.sum(axis=1)]
                     for sign in (-1.0, 1.0):
-                        end = np.full(reps * (cells + 2), -np.inf)
-                        np.maximum.at(end, flat[in_cell], sign * w[in_cell])
-                        ends.append(end.reshape(reps, -1)[:, 1:-1])
+                        end = np.full(reps * cells, -np.inf)
+                        np.maximum.at(end, flat, sign * value[inside])
+                        ends.append(end.reshape(reps, cells))
                 return np.column_stack([*counts, *ends])
 
             width = cells + 2
