@@ -20,13 +20,14 @@ shards and no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +58,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_LETTERS_THEN_MARKS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII and Latin-1 letters, then marks other than apostrophes.
+_LETTERS_THEN_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Lower case of such letters' bytes; the second bytes of Latin-1 capitals are at 0x80 to 0x9e, but for 0x97.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or (0x80 <= b <= 0x9E and b != 0x97) else b for b in range(256))
 
 
-def _split(word: bytes) -> list[bytes]:
-    """Parts whose ids, in a row, are the word's: ASCII letters in lower case, then marks other than apostrophes."""
-    if not word.isascii() or b"<|" in word:
-        return [word]
-    if word.isalpha():
-        return [word.lower()]
-    if found := _LETTERS_THEN_MARKS.fullmatch(word):
-        return [found[1].lower(), found[2]]
-    return [word]
+@contextlib.contextmanager
+def _letters_only(tokenizer) -> Iterator[None]:
+    """In the block the tokenizer leaves out what words of lower-case letters don't need."""
+    from tokenizers import normalizers, pre_tokenizers
+
+    before = tokenizer.normalizer, tokenizer.pre_tokenizer
+    tokenizer.normalizer = normalizers.Sequence([])
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    try:
+        yield
+    finally:
+        tokenizer.normalizer, tokenizer.pre_tokenizer = before
+
+
+def _word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids end a word; None if words of letters get other ids by themselves, or ids don't show the ends."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    letters = [c for c in map(chr, [*range(65, 91), *range(0xC0, 0x100)]) if c.isalpha()]
+    words = " ".join([*letters, *(a + b for a in letters for b in letters)])
+    lower = words.encode().translate(_LOWER).decode()
+    ids = [tokenizer.encode(w, add_special_tokens=False).ids for w in (words, lower)]
+    with _letters_only(tokenizer):
+        ids.append(tokenizer.encode(lower, add_special_tokens=False).ids)
+    return ends if ids[0] == ids[1] == ids[2] and ends[ids[2]].sum() == len(words.split()) else None
 
 
 class WordEncoder:
@@ -82,6 +105,7 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.words_kept = words_kept
         (self.between,) = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.ends = _word_ends(self.tokenizer)
         self._clear()
 
     def _clear(self) -> None:
@@ -101,7 +125,8 @@ class WordEncoder:
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
             new, first = distinct(found.hashes[unknown])
-            self._learn([found.word(i) for i in unknown[first].tolist()])
+            raw, places = found.data.tobytes(), unknown[first]
+            self._learn([raw[s:e] for s, e in zip(found.starts[places].tolist(), found.ends[places].tolist(), strict=True)])
             self.words.add(new)
             at[unknown] = self.words.find(found.hashes[unknown])
         pieces = self.two[at].reshape(-1)
@@ -119,23 +144,47 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Take words in their order; most share their letters with words known before."""
-        parts, unknown = self.parts, []
-        two = np.zeros((len(new), 2), np.int32)
-        for i, word in enumerate(new):
-            for k, part in enumerate(_split(word)):
-                number = parts.get(part)
-                if number is None:
-                    number = parts[part] = len(parts)
-                    unknown.append(part)
-                two[i, k] = number
-        self.two = np.concatenate([self.two, two])
-        if unknown:
-            ids, sizes = self._encode_words(unknown)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, ids])
-
-    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts, first, second = self.parts, [], []
+        letters, others = [], []  # unknown parts with their numbers
+        for word in new:
+            if word.isalpha():
+                body, marks = word.lower(), b""
+            elif found := _LETTERS_THEN_MARKS.fullmatch(word):
+                body, marks = found[1].translate(_LOWER), found[2]
+            else:
+                body, marks = b"", word
+            for part, unknown, numbers in ((body, letters, first), (marks, others, second)):
+                size = len(parts)
+                number = parts.setdefault(part, size)
+                if number == size:
+                    unknown.append((part, number))
+                numbers.append(number)
+        self.two = np.concatenate([self.two, np.array([first, second], np.int32).T])
+        added = len(parts) - len(self.sizes)
+        self.starts = np.concatenate([self.starts, np.zeros(added, np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.zeros(added, np.int64)])
+        for unknown, encode in ((letters, self._encode_letters), (others, self._encode_words)):
+            if unknown:
+                words, numbers = zip(*unknown, strict=True)
+                ids, sizes = encode(words)
+                numbers = np.array(numbers)
+                self.starts[numbers] = len(self.flat) + np.cumsum(sizes) - sizes
+                self.sizes[numbers] = sizes
+                self.flat = np.concatenate([self.flat, ids])
+
+    def _encode_letters(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters in a row and how many each has: an id that ends a word ends it."""
+        if self.ends is not None:
+            texts = [b" ".join(words[at : at + 512]).decode() for at in range(0, len(words), 512)]
+            with _letters_only(self.tokenizer):
+                found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(words):
+                return ids, np.diff(last, prepend=-1)
+        return self._encode_words(words)
+
+    def _encode_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in a row and how many each has: many words in one call, with a digit of its own between them.
 
         Words with that digit go alone, after a digit too.
@@ -272,7 +321,7 @@ def decode_block(data: bytes, table: FrequencyTable, first: int = 0, last: int |
 
 
 def spool(batches: Iterator[pa.RecordBatch], place: str, words: WordEncoder) -> Iterator[tuple]:
-    """Write the ids of ordered (doc_id, text) batches; rows (documents, ids, None, None), then (None, None, id, count)."""
+    """Write the ids of ordered (doc_id, text) batches; rows (documents, ids, None, vocabulary), then (None, None, id, count)."""
     counts = np.zeros(words.vocabulary, np.int64)
     docs = total = 0
     kind = np.uint16 if words.vocabulary <= 1 << 16 else np.uint32
@@ -287,7 +336,7 @@ def spool(batches: Iterator[pa.RecordBatch], place: str, words: WordEncoder) ->
             packed = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype(kind))])
             writer.write_batch(pa.RecordBatch.from_arrays([batch.column(0), packed], schema=_SPOOL))
     if docs:
-        yield docs, total, None, None
+        yield docs, total, None, words.vocabulary
         for i in np.flatnonzero(counts):
             yield None, None, int(i), int(counts[i])
 
@@ -393,7 +442,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, shard_bytes: int = S
         .mapInArrow(tokenize, "shard long, spool string, documents long, ids long, id long, count long"),
         "token-spool",
     )
-    vocabulary = encoder(tokenizer_file).vocabulary
+    # the tasks' tokenizers know it, so that the driver needs none
+    vocabulary = listed.filter("id IS NULL").agg(F.max("count")).first()[0] or 0
     counts = np.zeros(vocabulary, np.int64)
     # one row per id of the vocabulary at most
     for row in listed.filter("id IS NOT NULL").groupBy("id").agg(F.sum("count").alias("n")).collect():
