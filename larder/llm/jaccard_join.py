@@ -15,6 +15,8 @@
    least hash are compared with one pivot each, then, in rounds, one class of each
    component in a posting list with the list's first few. Only classes in different
    components then still need the join, so a group of copies never becomes all pairs.
+   The join takes the closest sketches first and the full difference in its last pass,
+   when few of a group's classes are still in different components.
 
 Every pair of classes that could link is either compared or already connected, so
 components are exact. Shingles are 64-bit hashes; the truncation in step 1 can only
@@ -50,6 +52,8 @@ SHINGLE, PERCENT = 3, 90
 ORDERS = 3
 PIVOT_HASHES = 4
 PIVOT_ROUNDS, PIVOTS_PER_LIST = 6, 8
+#: Percent of the allowed difference of sketches that the passes of the join take, the closest pairs first.
+PASSES = (90, 100)
 #: Longs of a parity sketch.
 SKETCH = 16
 #: Shingles per chunk, documents per chunk (they number in 16 bits), shingles per shard.
@@ -305,11 +309,11 @@ def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(components.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
-def _could_link(percent: int) -> F.Column:
-    """Whether sizes and sketches of sides ``a`` and ``b`` allow a link."""
+def _could_link(percent: int, share: int = 100) -> F.Column:
+    """Whether sizes and sketches of sides ``a`` and ``b`` allow a link, at ``share`` percent of the difference."""
     sizes = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(SKETCH)])
-    return sizes & (differ * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
+    return sizes & (differ * (100 + percent) * 100 <= (F.col("a.n") + F.col("b.n")) * (100 - percent) * share)
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
@@ -340,27 +344,38 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             break
         links.append(more)
         components = connected_components(reduce(DataFrame.unionByName, links))
-    placed = materialise(_with_component(prefixes, components), "jaccard-placed")
+    for share in PASSES:
+        placed = materialise(_with_component(prefixes, components), "jaccard-placed")
+        more = _linked(_joined(placed, others, percent, share), sets, percent)
+        links.append(more)
+        if share < 100 and not more.isEmpty():
+            components = connected_components(reduce(DataFrame.unionByName, links))
+    return reduce(DataFrame.unionByName, links)
+
+
+def _joined(placed: DataFrame, others: DataFrame, percent: int, share: int) -> DataFrame:
+    """Candidates (a, b) among classes in different components that meet under all orders."""
     lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
     left = placed.select("set_id", "n", "token", "sketch", "component").join(lists, "token", "left_semi")
     met = (
         left.alias("a")
         .join(
             left.alias("b"),
-            (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component")) & _could_link(percent),
+            (F.col("a.token") == F.col("b.token"))
+            & (F.col("a.set_id") < F.col("b.set_id"))
+            & (F.col("a.component") != F.col("b.component"))
+            & _could_link(percent, share),
         )
         .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
         .distinct()
     )
     under_all = reduce(lambda x, y: x & y, [F.arrays_overlap(F.col("x.others")[k], F.col("y.others")[k]) for k in range(ORDERS - 1)])
-    pairs = (
+    return (
         met.join(others.alias("x"), F.col("a") == F.col("x.set_id"))
         .join(others.alias("y"), F.col("b") == F.col("y.set_id"))
         .filter(under_all)
         .select("a", "b")
     )
-    links.append(_linked(pairs, sets, percent))
-    return reduce(DataFrame.unionByName, links)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
