@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import batches_of, fresh, mix64, prepare, rows_of, shuffle_tasks
+from larder.llm.common import batches_of, fresh, in_few_tasks, mix64, prepare, rows_of, shuffle_tasks
 from larder.llm.components import connected_components
 from larder.llm.words import sequences, words_of
 from larder.session import materialise
@@ -54,6 +54,8 @@ PIVOT_HASHES = 4
 PIVOT_ROUNDS, PIVOTS_PER_LIST = 6, 8
 #: Percent of the allowed difference of sketches that the passes of the join take, the closest pairs first.
 PASSES = (90, 100)
+#: Class pairs and shingles that a task compares.
+TASK_PAIRS, TASK_SHINGLES = 1 << 13, 1 << 21
 #: Longs of a parity sketch.
 SKETCH = 16
 #: Shingles per chunk, documents per chunk (they number in 16 bits), shingles per shard.
@@ -234,8 +236,8 @@ def _needed(percent: int, n: F.Column) -> F.Column:
     return F.ceil(n * percent / 100)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Sets of one document per wanted class: (set_id, shingles)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, shingles: int) -> DataFrame:
+    """Sets of one document per wanted class: (set_id, shingles); so many ``shingles`` in all."""
     schema = pa.schema([("set_id", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def sets(batches):
@@ -252,10 +254,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         .select("set_id", "text")
         .mapInArrow(sets, "set_id binary, shingles array<long>")
     )
-    return materialise(found.dropDuplicates(["set_id"]), "jaccard-sets")
+    return materialise(in_few_tasks(found.dropDuplicates(["set_id"]), shingles, TASK_SHINGLES), "jaccard-sets")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prefixes(sets: DataFrame, percent: int, shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of classes that can link: rows (set_id, n, token, sketch) of the first order's prefix, (set_id, others) with
     the prefixes under the other orders, and pivot keys."""
     tokens = sets.select("set_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
@@ -292,17 +294,24 @@ def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Data
         yield from batches_of(rows(), schema, rows_per_batch=1 << 14)
 
     ddl = "set_id binary, n long, ord long, token long, others array<array<long>>, sketch array<long>"
-    rows = materialise(shared.join(sets, "set_id").mapInArrow(cut, ddl), "jaccard-prefixes")
+    both = in_few_tasks(in_few_tasks(shared, shingles, TASK_SHINGLES).join(sets, "set_id"), shingles, TASK_SHINGLES)
+    rows = materialise(both.mapInArrow(cut, ddl), "jaccard-prefixes")
     return rows.filter("ord = 0").drop("ord", "others"), rows.filter("ord = 1").select("set_id", "others"), rows.filter("ord < 0")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of class pairs (a, b), those whose sets link."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, shingles: int) -> DataFrame:
+    """Of class pairs (a, b), those whose sets link; the sets hold so many ``shingles``."""
+    pairs = materialise(pairs, "jaccard-pairs")
+    number = pairs.count()
+    if not number:
+        return pairs
     left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     either = F.size("left") + F.size("right") - both
-    return materialise(pairs.join(left, "a").join(right, "b").filter(both * 100 >= either * percent).select("a", "b"), "jaccard-links")
+    tasks = max(-(-number // TASK_PAIRS), -(-shingles // TASK_SHINGLES))
+    found = in_few_tasks(in_few_tasks(pairs.join(left, "a"), tasks, 1).join(right, "b"), tasks, 1)
+    return materialise(found.filter(both * 100 >= either * percent).select("a", "b"), "jaccard-links")
 
 
 def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
@@ -316,47 +325,52 @@ def _could_link(percent: int, share: int = 100) -> F.Column:
     return sizes & (differ * (100 + percent) * 100 <= (F.col("a.n") + F.col("b.n")) * (100 - percent) * share)
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links among classes that connect all that are connected: (a, b)."""
-    prefixes, others, pivots = _prefixes(sets, percent)
+def _set_components(sets: DataFrame, percent: int, shingles: int) -> DataFrame:
+    """Components of the classes that link: (node, component)."""
+    prefixes, others, pivots = _prefixes(sets, percent, shingles)
+    rows = prefixes.count()
     pivot = pivots.groupBy("ord", "token").agg(F.min(F.struct("set_id", "n", "sketch")).alias("a")).select("ord", "token", "a.*")
     pairs = (
         pivot.alias("a")
         .join(pivots.alias("b"), (F.col("a.ord") == F.col("b.ord")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")) & _could_link(percent))
         .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-        .distinct()
     )
-    links = [_linked(pairs, sets, percent)]
+    links = [_linked(_few_distinct(pairs, rows), sets, percent, shingles)]
     components = connected_components(links[0])
     for _ in range(PIVOT_ROUNDS):
-        placed = _with_component(prefixes, components)
+        placed = in_few_tasks(_with_component(prefixes, components), rows)
         heads = placed.groupBy("token", "component").agg(F.min(F.struct("set_id", "n", "sketch")).alias("head")).select("token", "component", "head.*")
+        heads = in_few_tasks(heads, rows)
         first = Window.partitionBy("token").orderBy("set_id")
         firsts = heads.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= PIVOTS_PER_LIST)
         pairs = (
             firsts.alias("a")
             .join(heads.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")) & _could_link(percent))
             .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-            .distinct()
         )
-        more = _linked(pairs, sets, percent)
+        more = _linked(_few_distinct(pairs, rows), sets, percent, shingles)
         if more.isEmpty():
             break
         links.append(more)
         components = connected_components(reduce(DataFrame.unionByName, links))
     for share in PASSES:
-        placed = materialise(_with_component(prefixes, components), "jaccard-placed")
-        more = _linked(_joined(placed, others, percent, share), sets, percent)
-        links.append(more)
-        if share < 100 and not more.isEmpty():
+        placed = materialise(in_few_tasks(_with_component(prefixes, components), rows), "jaccard-placed")
+        more = _linked(_joined(placed, others, rows, percent, share), sets, percent, shingles)
+        if not more.isEmpty():
+            links.append(more)
             components = connected_components(reduce(DataFrame.unionByName, links))
-    return reduce(DataFrame.unionByName, links)
+    return components
+
+
+def _few_distinct(pairs: DataFrame, rows: int) -> DataFrame:
+    """Distinct pairs of at most a few for each of ``rows``, in as many tasks as these need."""
+    return in_few_tasks(in_few_tasks(pairs, rows).distinct(), rows)
 
 
-def _joined(placed: DataFrame, others: DataFrame, percent: int, share: int) -> DataFrame:
-    """Candidates (a, b) among classes in different components that meet under all orders."""
+def _joined(placed: DataFrame, others: DataFrame, rows: int, percent: int, share: int) -> DataFrame:
+    """Candidates (a, b) among classes in different components that meet under all orders; ``placed`` has ``rows``."""
     lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    left = placed.select("set_id", "n", "token", "sketch", "component").join(lists, "token", "left_semi")
+    left = in_few_tasks(placed.select("set_id", "n", "token", "sketch", "component").join(lists, "token", "left_semi"), rows)
     met = (
         left.alias("a")
         .join(
@@ -369,13 +383,11 @@ def _joined(placed: DataFrame, others: DataFrame, percent: int, share: int) -> D
         .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
         .distinct()
     )
+    met = materialise(met, "jaccard-met")
+    rows = max(rows, met.count())
     under_all = reduce(lambda x, y: x & y, [F.arrays_overlap(F.col("x.others")[k], F.col("y.others")[k]) for k in range(ORDERS - 1)])
-    return (
-        met.join(others.alias("x"), F.col("a") == F.col("x.set_id"))
-        .join(others.alias("y"), F.col("b") == F.col("y.set_id"))
-        .filter(under_all)
-        .select("a", "b")
-    )
+    one = in_few_tasks(met.join(others.alias("x"), F.col("a") == F.col("x.set_id")), rows)
+    return in_few_tasks(one.join(others.alias("y"), F.col("b") == F.col("y.set_id")), rows).filter(under_all).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -383,18 +395,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     known = sharing(rows, size)
-    classes = materialise(
-        known.filter("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep_id"), F.max("shared").alias("shared"), F.count("*").alias("members")),
-        "jaccard-classes",
-    )
-    sets = _sets_of(rows, classes.filter(F.col("shared") >= _needed(percent, F.col("n"))).select("set_id", "rep_id"), size)
-    components = connected_components(_links(sets, percent))
-    placed = _with_component(classes.select("set_id", "rep_id", "members"), components)
-    least = placed.groupBy("component").agg(F.min("rep_id").alias("component_id"), F.sum("members").alias("members"))
+    number = known.count()
+    grouped = known.filter("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep_id"), F.max("shared").alias("shared"), F.count("*").alias("members"))
+    classes = materialise(in_few_tasks(grouped, number), "jaccard-classes")
+    wanted = classes.filter(F.col("shared") >= _needed(percent, F.col("n")))
+    shingles = wanted.agg(F.sum("n")).first()[0] or 0
+    sets = _sets_of(rows, wanted.select("set_id", "rep_id"), size, shingles)
+    components = _set_components(sets, percent, shingles)
+    placed = in_few_tasks(_with_component(classes.select("set_id", "rep_id", "members"), components), number)
+    least = in_few_tasks(placed.groupBy("component").agg(F.min("rep_id").alias("component_id"), F.sum("members").alias("members")), number)
     # only classes of several documents or links have another's id
-    named = materialise(
-        placed.select("set_id", "component").join(least.filter("members > 1"), "component").select("set_id", "component_id"), "jaccard-named"
-    )
+    named = placed.select("set_id", "component").join(least.filter("members > 1"), "component").select("set_id", "component_id")
+    named = materialise(in_few_tasks(named, number), "jaccard-named")
     return known.join(named, "set_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
